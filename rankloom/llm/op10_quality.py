@@ -18,7 +18,7 @@ MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
 #: Bands reach this many interquartile ranges beyond the quartiles; languages with fewer documents use the band of all.
 SPREAD, LEAST_DOCS, PRECISION = 4.0, 100, 10_000
 #: The least half-widths of the bands, so that a language whose documents are all alike rejects none of them.
-FLOOR = {"chars_per_token": 0.75, "byte_share": 0.10, "entropy": 3.0}
+FLOOR = {"chars_per_token": 0.5, "byte_share": 0.05, "entropy": 2.0}
 _CACHE = 200_000
 _MULT = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
 
