@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import documents
 
 #: Documented bounds of the training sample: rows of each label, and words of clean sentences that the machine sees.
-MAX_TOXIC, MAX_CLEAN, MAX_NEGATIVES = 1500, 3000, 12_000
+MAX_TOXIC, MAX_CLEAN, MAX_NEGATIVES = 1000, 2000, 12_000
 DECAY, ORDER, SPAN, WINDOW, LANDMARKS, LETTERS, COST = 0.5, 4, 10, 24, 64, 48, 2000.0
 _SINGLES = re.compile(r"(?<![^\s])(?:[^\s][ \t]){2,}[^\s](?![^\s])")
 _CACHE = 300_000
@@ -98,7 +98,7 @@ class Kernel:
 
     def over(self, words: list[str], value: np.ndarray) -> np.ndarray:
         """Sum over each word's subsequences of decay times value[row of the table]."""
-        out = np.zeros((len(words), *value.shape[1:]))
+        out, many = np.zeros((len(words), *value.shape[1:])), 4096 if value.ndim == 1 else 64
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             if len(w) >= ORDER:
@@ -114,11 +114,11 @@ class Kernel:
                 r, c, row = r[row > 0], c[row > 0], row[row > 0]
                 if len(r):
                     first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                    for lo in range(0, len(first), 4096):  # bounds the memory of the products
-                        hi = first[lo + 4096] if lo + 4096 < len(first) else len(r)
+                    for lo in range(0, len(first), many):  # bounds the memory of the products
+                        hi = first[lo + many] if lo + many < len(first) else len(r)
                         x = value[row[first[lo] : hi]]
                         x = x * (fade[c[first[lo] : hi]] if x.ndim == 1 else fade[c[first[lo] : hi], None])
-                        out[part[r[first[lo : lo + 4096]]]] = np.add.reduceat(x, first[lo : lo + 4096] - first[lo], axis=0)
+                        out[part[r[first[lo : lo + many]]]] = np.add.reduceat(x, first[lo : lo + many] - first[lo], axis=0)
         return out
 
     def gram(self, words: list[str]) -> np.ndarray:
@@ -158,6 +158,10 @@ def grams(u: str) -> set[str]:
     return {u[i : i + n] for n in range(4, 9) for i in range(len(u) - n + 1)}
 
 
+def hash_of(g: str) -> int:
+    return zlib.crc32(g.encode()) & ((1 << 22) - 1)
+
+
 def choose_landmarks(bags: list[tuple[int, set[str]]], most: int = LANDMARKS, extra: int = 24) -> tuple[list[str], dict[str, str], dict[str, float]]:
     """Substrings of 4 to 8 characters that mark toxic documents, picked greedily by the toxic documents in which
     they explain a unit no earlier pick does, less clean ones; then units of clean documents as background.
@@ -169,10 +173,15 @@ def choose_landmarks(bags: list[tuple[int, set[str]]], most: int = LANDMARKS, ex
     n_pos = sum(y for y, _ in bags)
     need = max(3, 0.008 * n_pos)
     share = n_pos / max(1, len(bags) - n_pos)
+    rough = np.zeros(1 << 22, np.int32)  # hashed counts first, so that only frequent substrings are ever held by name
+    for u, ks in df[1].items():
+        for g in grams(u):
+            rough[hash_of(g)] += len(ks)
     good, bad = Counter(), Counter()
     for u, ks in df[1].items():
         for g in grams(u):
-            good[g] += len(ks)
+            if rough[hash_of(g)] >= need:
+                good[g] += len(ks)
     hope = {g for g, n in good.items() if n >= need}
     for u, ks in df[0].items():
         for g in grams(u) & hope:
@@ -294,9 +303,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in it:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "y": x["y"], "u": [" ".join(sorted(units(t))) for t in x["text"]]})
+            yield pd.DataFrame({"y": x["y"], "u": [" ".join(sorted(units(t))) for t in x["text"]]})
 
-    got = rows.mapInPandas(run, "doc_id long, y int, u string").toPandas().sort_values(["doc_id", "u"])
+    got = rows.mapInPandas(run, "y int, u string").toPandas().sort_values(["y", "u"], kind="stable")
     return train([(int(y), set(u.split(" ")) - {""}) for y, u in zip(got["y"], got["u"], strict=True)])
 
 
