@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,8 +25,7 @@ from rankloom.plans.session import cut, shared_dir
 # The Castagnoli polynomial (reflected) and the mask of record checksums.
 POLYNOMIAL, MASK_ADD = 0x82F63B78, 0xA282EAD8
 END_ID, SHARD_CHARS = 2, 64 << 20
-_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
-_CACHE = 300_000
+_PIECES, _PARTS = 300_000, 800_000
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "<u1"), ("at", "<u8"), ("bytes", "<u8"), ("n", "<u8")])
 
 
@@ -107,7 +106,9 @@ def payloads(blob: bytes, at: np.ndarray, size: np.ndarray) -> list[bytes]:
 
 class Encoder:
     """Ids of whole texts. The vocabulary's tokens never span white space, so a text's ids are those of its pieces
-    between ASCII white space; pieces met before come from a cache of _CACHE entries at most."""
+    between ASCII white space. Letters and the full stops or commas after them never share a token either, and
+    case is folded, so a piece is its folded core and its tail. Pieces and parts met before come from caches of
+    _PIECES and _PARTS entries at most."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -115,19 +116,38 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
         self.end = np.array([END_ID], self.dtype).tobytes()
 
+    @staticmethod
+    def cut(piece: bytes) -> tuple[bytes, bytes]:
+        core = piece.rstrip(b".,")
+        if not core or not core.decode("utf-8", "replace")[-1].isalpha():
+            core = piece
+        tail = piece[len(core) :]
+        return core.lower() if core.isascii() and b"<|" not in core else core, tail
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [_SPACE.split(t) for t in texts]
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        new = list(set().union(*pieces).difference(self.known))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, got, strict=True))
-        return [b"".join(map(self.known.__getitem__, p)) + self.end for p in pieces]
+        bags = [t.encode("utf-8", "replace").split() for t in texts]
+        if len(self.pieces) > _PIECES:
+            self.pieces.clear()
+        if len(self.parts) > _PARTS:
+            self.parts = {b"": b""}
+        new = {w: self.cut(w) for w in set().union(*bags).difference(self.pieces)}
+        miss = list({x for parts in new.values() for x in parts}.difference(self.parts))
+        for i in range(0, len(miss), 10_000):
+            some = miss[i : i + 10_000]
+            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+            self.parts.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(some, got, strict=True))
+        self.pieces.update((w, self.parts[c] + self.parts[t]) for w, (c, t) in new.items())
+        return [b"".join(map(self.pieces.__getitem__, bag)) + self.end for bag in bags]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One per worker, so that its caches serve all tasks the worker runs."""
+    return Encoder(path)
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -154,7 +174,7 @@ def write_records(docs: DataFrame, folder: str, path: str, shards: int) -> DataF
     fs.create_dir(at, recursive=True)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, shard = Encoder(path), TaskContext.get().partitionId()
+        encode, shard = encoder(path), TaskContext.get().partitionId()
         index, off, ids = [], 0, 0
         with _put(folder, f"{shard:05d}.rec") as out:
             for x in it:
