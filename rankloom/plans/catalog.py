@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from rankloom.plans import vector_queries
+
+_ALL = {**vector_queries.QUERIES}
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for k, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _ALL.items() if sql}
