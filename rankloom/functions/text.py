@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: One word class for every engine: letters, numbers and the underscore.
 WORD = r"[\p{L}\p{N}_]+"
@@ -39,13 +40,13 @@ def word_count(t: Column) -> Column:
     return F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def model_text(t: pd.Series) -> pd.Series:
     """NFC with white space compacted; case, accents and punctuation stay."""
     return t.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFC", x).split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_key(t: pd.Series) -> pd.Series:
     """NFKC, case-folded, punctuation and symbols as spaces: the general form of punctuation_key."""
 

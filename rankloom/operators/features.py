@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.operators.fusion import BY_QUERY, gap_to_top, ranked, z
+from rankloom.operators.fusion import by_query, gap_to_top, ranked, z
 
 
 def rerank_features(shortlist: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def disagreement(lists: DataFrame, k: int = 5) -> DataFrame:
 
 def softmax_rrf(lists: DataFrame, utility: DataFrame, temperature: float = 12.0, k: int = 20, depth: int = 50) -> DataFrame:
     """Reciprocal ranks weighted by the softmax of the sources' utility (qid, source, u)."""
-    e = F.exp(temperature * (F.col("u") - F.max("u").over(BY_QUERY)))
-    w = utility.withColumn("e", e).withColumn("w", F.col("e") / F.sum("e").over(BY_QUERY)).select("qid", "source", "w")
+    e = F.exp(temperature * (F.col("u") - F.max("u").over(by_query())))
+    w = utility.withColumn("e", e).withColumn("w", F.col("e") / F.sum("e").over(by_query())).select("qid", "source", "w")
     rows = lists.where(F.col("rank") <= depth).join(w, ["qid", "source"]).groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") / (F.lit(float(k)) + F.col("rank"))), 9).alias("score"))
     return ranked(rows).where(F.col("rank") <= depth)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY_QUERY = W.partitionBy("qid")
+
+def by_query() -> WindowSpec:
+    return W.partitionBy("qid")
+
+
 # Fixed values of a source that does not list a candidate: present, reciprocal rank, rank/50, z, gap.
 MISSING = (0.0, 0.0, 1.2, -3.0, 4.0)
 
@@ -16,13 +20,15 @@ def ranked(rows: DataFrame, score: str = "score", by: str = "doc_id", partition:
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*partition).orderBy(F.desc(score), by)).cast("long"))
 
 
-def z(x: Column, over=BY_QUERY, eps: float = 1e-8) -> Column:
+def z(x: Column, over: WindowSpec | None = None, eps: float = 1e-8) -> Column:
     """Population z-score; a deviation below eps counts as 1."""
+    over = over or by_query()
     s = F.stddev_pop(x).over(over)
     return (x - F.avg(x).over(over)) / F.when(s < eps, 1.0).otherwise(s)
 
 
-def gap_to_top(x: Column, over=BY_QUERY, eps: float = 1e-8) -> Column:
+def gap_to_top(x: Column, over: WindowSpec | None = None, eps: float = 1e-8) -> Column:
+    over = over or by_query()
     s = F.stddev_pop(x).over(over)
     return (F.max(x).over(over) - x) / F.when(s < eps, 1.0).otherwise(s)
 
@@ -63,8 +69,9 @@ def blend_grid(scores: DataFrame, weights: list[float]) -> DataFrame:
     return ranked(rows, partition=("w", "qid"))
 
 
-def orthogonal(r: Column, b: Column, over=BY_QUERY, eps: float = 1e-8) -> Column:
+def orthogonal(r: Column, b: Column, over: WindowSpec | None = None, eps: float = 1e-8) -> Column:
     """r without its part along b, per query."""
+    over = over or by_query()
     bb = F.sum(b * b).over(over)
     return r - F.sum(r * b).over(over) / F.when(bb < eps, 1.0).otherwise(bb) * b
 
@@ -73,7 +80,7 @@ def anchored_merge(a: DataFrame, b: DataFrame, k: int, size: int = 5) -> DataFra
     """(qid, slot, doc_id): the first k of a, filled from b in its order without repeats."""
     rows = a.where(F.col("rank") <= k).select("qid", "doc_id", F.lit(0).alias("p"), "rank").unionByName(b.select("qid", "doc_id", F.lit(1).alias("p"), "rank"))
     rows = rows.groupBy("qid", "doc_id").agg(F.min(F.struct("p", "rank")).alias("o"))
-    return rows.withColumn("slot", F.row_number().over(BY_QUERY.orderBy("o", "doc_id")).cast("long")).where(F.col("slot") <= size).select("qid", "slot", "doc_id")
+    return rows.withColumn("slot", F.row_number().over(by_query().orderBy("o", "doc_id")).cast("long")).where(F.col("slot") <= size).select("qid", "slot", "doc_id")
 
 
 def top_sets(rows: DataFrame, k: int = 5, name: str = "top") -> DataFrame:

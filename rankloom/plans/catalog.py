@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rankloom.plans import vector_queries
+from rankloom.plans import text_queries, vector_queries
 
-_ALL = {**vector_queries.QUERIES}
+_ALL = {**text_queries.QUERIES, **vector_queries.QUERIES}
 
 
 def queries() -> dict:

@@ -201,7 +201,7 @@ def orth_residual(s, d):
 
 def centred_residual(s, d):
     x = _scores(s, d).where("pos <= 20")
-    return r6(x.select("qid", "doc_id", (fusion.z(F.col("a")) + 0.3 * (F.col("b") - F.avg("b").over(fusion.BY_QUERY))).alias("score")))
+    return r6(x.select("qid", "doc_id", (fusion.z(F.col("a")) + 0.3 * (F.col("b") - F.avg("b").over(fusion.by_query()))).alias("score")))
 
 
 def _two(s, d):
@@ -225,7 +225,7 @@ TWO = SC + ", two AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY a D
 def agreement_blend(s, d):
     """Weight 0.8 for a where the two top fives share at most one document, else 0.5."""
     x = _two(s, d)
-    both = F.sum(((F.col("ra") <= 5) & (F.col("rb") <= 5)).cast("int")).over(fusion.BY_QUERY)
+    both = F.sum(((F.col("ra") <= 5) & (F.col("rb") <= 5)).cast("int")).over(fusion.by_query())
     w = F.when(both <= 1, 0.8).otherwise(0.5)
     x = x.withColumn("w", w).withColumn("score", F.round(F.col("w") * fusion.z(F.col("a")) + (1 - F.col("w")) * fusion.z(F.col("b")), 9))
     return fusion.ranked(x).where("rank <= 5").select("qid", "doc_id", "rank")
