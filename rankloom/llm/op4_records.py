@@ -25,7 +25,7 @@ from rankloom.plans.session import cut, shared_dir
 # The Castagnoli polynomial (reflected) and the mask of record checksums.
 POLYNOMIAL, MASK_ADD = 0x82F63B78, 0xA282EAD8
 END_ID, SHARD_CHARS = 2, 64 << 20
-_PIECES, _PARTS = 300_000, 800_000
+_BATCH_CHARS, _KEPT = 3 << 20, 1_000_000
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "<u1"), ("at", "<u8"), ("bytes", "<u8"), ("n", "<u8")])
 
 
@@ -104,11 +104,24 @@ def payloads(blob: bytes, at: np.ndarray, size: np.ndarray) -> list[bytes]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    m = 0x9E3779B97F4A7C15
+    up, down = np.full(n, m, np.uint64), np.full(n, pow(m, -1, 1 << 64), np.uint64)
+    up[:1] = down[:1] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
 class Encoder:
-    """Ids of whole texts. The vocabulary's tokens never span white space, so a text's ids are those of its pieces
-    between ASCII white space. Letters and the full stops or commas after them never share a token either, and
-    case is folded, so a piece is its folded core and its tail. Pieces and parts met before come from caches of
-    _PIECES and _PARTS entries at most."""
+    """Ids of whole texts, a batch at a time, each distinct piece tokenised once.
+
+    The vocabulary's tokens never span white space, a letter and the full stop or comma after it never share one,
+    and case is folded; so a text's ids are those of its pieces. Pieces are found and told apart by array
+    operations: a rolling hash names each, and every occurrence is then compared with the first of its name byte
+    by byte, so the result does not rest on the hash. Pieces of earlier batches are kept in arrays sorted by name, and
+    compared alike; beyond _KEPT pieces they are let go.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -116,37 +129,113 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {b"": b""}
+        self._forget()
+        self.last = np.zeros(max(1 << 16, self.tokenizer.get_vocab_size()), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.end = np.array([END_ID], self.dtype).tobytes()
-
-    @staticmethod
-    def cut(piece: bytes) -> tuple[bytes, bytes]:
-        core = piece.rstrip(b".,")
-        if not core or not core.decode("utf-8", "replace")[-1].isalpha():
-            core = piece
-        tail = piece[len(core) :]
-        return core.lower() if core.isascii() and b"<|" not in core else core, tail
+        code = np.arange(256)
+        self.space = np.isin(code, [32, 9, 10, 11, 12, 13])
+        self.stop = np.isin(code, [44, 46])
+        self.letter = (code >= 97) & (code <= 122)
+        self.lower = np.where((code >= 65) & (code <= 90), code + 32, code).astype(np.uint8)
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text by itself, as bytes."""
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in got]
+
+    def _distinct(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces and how many each has. Pieces of letters alone end in one word-end token each, so
+        many go through in one call and are counted there; where the ends don't add up each goes by itself."""
+        text = [w.decode("utf-8", "replace") for w in pieces]
+        plain = np.array([t.isalpha() for t in text], bool)
+        ids: list[bytes] = [b""] * len(text)
+        where = np.flatnonzero(plain).tolist()
+        batches = [where[i : i + 500] for i in range(0, len(where), 500)]
+        alone = np.flatnonzero(~plain).tolist()
+        got = self.tokenizer.encode_batch_fast([" ".join(text[i] for i in b) for b in batches], add_special_tokens=False)
+        for b, e in zip(batches, got, strict=True):
+            x = np.array(e.ids, self.dtype)
+            ends = np.flatnonzero(self.last[x]) + 1
+            if len(ends) != len(b):
+                alone += b
+                continue
+            raw, at = x.tobytes(), [0, *(ends * x.itemsize).tolist()]
+            for i, lo, hi in zip(b, at, at[1:], strict=False):
+                ids[i] = raw[lo:hi]
+        for i, x in zip(alone, self._pieces([text[i] for i in alone]), strict=True):
+            ids[i] = x
+        return np.frombuffer(b"".join(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+
+    def _forget(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.names, self.blob, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, self.dtype)
+        self.at, self.size, self.begin, self.many = none, none, none, none
+
+    def _known(self, name: np.ndarray, buf: np.ndarray, flat: bytes, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(ids, where each piece's begin, how many it has), adding the pieces not met before. name is sorted. None
+        if two different pieces share a name."""
+        if len(self.names) > _KEPT:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.names, name), max(0, len(self.names) - 1))
+        old = self.names[at] == name if len(self.names) else np.zeros(len(name), bool)
+        k = at[old]
+        if (self.size[k] != n[old]).any() or (self.blob[_spread(self.at[k], n[old])] != buf[_spread(start[old], n[old])]).any():
+            return None
+        a, m = start[~old], n[~old]
+        ids, many = self._distinct([flat[x:y] for x, y in zip(a.tolist(), (a + m).tolist(), strict=True)])
+        names = np.r_[self.names, name[~old]]
+        order = np.argsort(names, kind="stable")
+        self.at = np.r_[self.at, len(self.blob) + np.cumsum(m) - m][order]
+        self.size = np.r_[self.size, m][order]
+        self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(many) - many][order]
+        self.many = np.r_[self.many, many][order]
+        self.blob, self.ids, self.names = np.r_[self.blob, buf[_spread(a, m)]], np.r_[self.ids, ids], names[order]
+        k = np.searchsorted(self.names, name)
+        return self.ids, self.begin[k], self.many[k]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        bags = [t.encode("utf-8", "replace").split() for t in texts]
-        if len(self.pieces) > _PIECES:
-            self.pieces.clear()
-        if len(self.parts) > _PARTS:
-            self.parts = {b"": b""}
-        new = {w: self.cut(w) for w in set().union(*bags).difference(self.pieces)}
-        miss = list({x for parts in new.values() for x in parts}.difference(self.parts))
-        for i in range(0, len(miss), 10_000):
-            some = miss[i : i + 10_000]
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.parts.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(some, got, strict=True))
-        self.pieces.update((w, self.parts[c] + self.parts[t]) for w, (c, t) in new.items())
-        return [b"".join(map(self.pieces.__getitem__, bag)) + self.end for bag in bags]
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+        flat = b" ".join([*raw, b""])
+        buf = np.frombuffer(flat, np.uint8)
+        if b"<|" not in flat:  # special tokens are told by case
+            buf = self.lower[buf]
+            flat = buf.tobytes()
+        gap = np.r_[True, self.space[buf], True]
+        s, e = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+        cut = (e - s > 1) & self.stop[buf[e - 1]] & self.letter[buf[np.maximum(e - 2, 0)]]
+        at = np.arange(len(s)) + np.cumsum(cut) - cut
+        start, stop = np.empty(len(s) + int(cut.sum()), np.int64), np.empty(len(s) + int(cut.sum()), np.int64)
+        start[at], stop[at] = s, e - cut
+        start[at[cut] + 1], stop[at[cut] + 1] = e[cut] - 1, e[cut]
+        up, down = _power(1 << len(buf).bit_length())
+        total = np.r_[np.uint64(0), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)])]
+        name = (total[stop] - total[start]) * down[start] if len(start) else np.zeros(0, np.uint64)
+        _, first, of = np.unique(name, return_index=True, return_inverse=True)
+        n = stop - start
+        if (n != n[first][of]).any() or (buf[_spread(start, n)] != buf[_spread(start[first][of], n)]).any():
+            return [x + self.end for x in self._pieces(texts)]
+        got = self._known(name[first], buf, flat, start[first], n[first])
+        if got is None:
+            return [x + self.end for x in self._pieces(texts)]
+        ids, begin, many = got
+        out = ids[_spread(begin[of], many[of])]
+        owner = np.searchsorted(np.cumsum(size), start, side="right")
+        ends = (np.cumsum(np.bincount(owner, many[of], len(texts))) * self.dtype.itemsize).astype(np.int64).tolist()
+        blob = out.tobytes()
+        return [blob[a:b] + self.end for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0]+1 ... n[0] of them, then those of start[1] and so on."""
+    before = np.cumsum(n) - n
+    return np.repeat(start - before, n) + np.arange(int(n.sum()))
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One per worker, so that its caches serve all tasks the worker runs."""
+    """One per worker; loading the vocabulary takes a while."""
     return Encoder(path)
 
 
@@ -178,8 +267,8 @@ def write_records(docs: DataFrame, folder: str, path: str, shards: int) -> DataF
         index, off, ids = [], 0, 0
         with _put(folder, f"{shard:05d}.rec") as out:
             for x in it:
-                for s in range(0, len(x), 200):
-                    y = x.iloc[s : s + 200]
+                part = x["text"].str.len().cumsum() // _BATCH_CHARS
+                for _, y in x.groupby(part, sort=False):
                     data = encode([t or "" for t in y["text"]])
                     framed = frames(data)
                     for i, d, f in zip(y["doc_id"], data, framed, strict=True):
