@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import fold, tokens
+from rankloom.plans.session import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -20,19 +21,20 @@ def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
     """(qid, doc_id, rank, score): Okapi BM25 with k1 1.5, b 0.75; a negative idf becomes 0.25 times the mean idf over
     the vocabulary; one contribution per occurrence of a term in the query. Documents without a query term are not
-    listed. Only postings of query terms are joined: queries' terms (a stated query set) filter the explosion of
-    documents before any shuffle, while document frequencies, needed for the mean idf, come from one aggregate."""
-    n = docs.count()
-    post = postings(docs)
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("idf", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    stats = raw.agg(F.avg("idf").alias("mean"), F.lit(1).alias("one"))
-    avgdl = docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.avg("dl").alias("avgdl"))
+    listed. The terms of the queries (a stated query set) meet the documents' tokens before these are counted, so
+    only postings of query terms are shuffled; document frequencies, needed for the mean idf, are one aggregate over
+    the vocabulary, written once."""
+    rows = docs.select("doc_id", tokens(F.col("text")).alias("t"))
+    size = rows.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl")).first()
+    df = rows.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = cut(df.withColumn("idf", F.log(F.lit(float(size.n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    mean = raw.agg(F.avg("idf")).first()[0]
     q = queries.select("qid", F.explode(tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qf"))
-    wanted = raw.join(q.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(stats))
-    wanted = wanted.select("term", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    hits = post.join(wanted, "term").crossJoin(F.broadcast(avgdl))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    wanted = raw.join(q.select("term").distinct(), "term", "left_semi")
+    wanted = wanted.select("term", F.when(F.col("idf") < 0, F.lit(mean) * EPSILON).otherwise(F.col("idf")).alias("idf"))
+    hits = rows.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted, "term")
+    hits = hits.groupBy("doc_id", "dl", "term", "idf").agg(F.count("*").alias("tf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(size.avgdl)))
     scored = hits.select("term", "doc_id", part.alias("part")).join(q, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("qf")), 6).alias("score"))
     w = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top).select("qid", "doc_id", "rank", "score")
