@@ -308,7 +308,8 @@ def read_records(spark: SparkSession, folder: str, shards: DataFrame, width: int
                         yield pd.DataFrame({"doc_id": ids, "start": start + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": crc})
                         start += int(n.sum())
 
-    return base.repartition("shard").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = max(1, shards.count())  # a task for each, which adaptive execution doesn't merge
+    return base.repartition(files, "shard").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
