@@ -222,6 +222,15 @@ def manifest_tables(s, d):
     return out.select("name", "n", "key_sum")
 
 
+def length_buckets(s, d):
+    """Documents by word count: short, mid and long, cut at the floors of the thirds of all counts."""
+    x = sizes(s, d)
+    cut_at = x.agg(F.percentile(F.col("n").cast("double"), F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("p"))
+    x = x.crossJoin(F.broadcast(cut_at))
+    b = F.when(F.col("n") <= F.floor(F.col("p")[0]), "short").when(F.col("n") <= F.floor(F.col("p")[1]), "mid").otherwise("long")
+    return x.groupBy(b.alias("bucket")).agg(F.count("*").alias("n"))
+
+
 def passage_select(s, d):
     return r6(segment.best_passages(_terms(s, d), 60, 40).select("qid", "doc_id", "start", "density"))
 
@@ -252,6 +261,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS pack
     "truncate_coverage": (lambda s, d: r6(segment.packing_plan(sizes(s, d), [64, 128, 512])), NW + "SELECT budget::BIGINT AS budget, count(*) AS vectors, round(sum(least(n, budget)) / sum(n)::DOUBLE, 6) AS coverage FROM w, unnest([64, 128, 512]) AS x(budget) GROUP BY budget"),
     "token_windows": (lambda s, d: segment.token_windows(sizes(s, d), 220, 150).select("doc_id", "start", "size"), NW + ", p AS (SELECT doc_id, n, unnest(generate_series(0, greatest(0, ceil((n - 220) / 150.0))::BIGINT)) * 150 AS start FROM w WHERE n > 0) SELECT doc_id, start, least(220, n - start) AS size FROM p"),
     "over_budget_audit": (over_budget, NW + "SELECT count(*) AS docs, " + ", ".join(f"count(*) FILTER (n > {b}) AS over_{b}" for b in (128, 512, 1024)) + " FROM w"),
+    "length_buckets": (length_buckets, NW + ", c AS (SELECT floor(quantile_cont(n::DOUBLE, 1 / 3.0::DOUBLE)) AS a, floor(quantile_cont(n::DOUBLE, 2 / 3.0::DOUBLE)) AS b FROM w) SELECT CASE WHEN n <= a THEN 'short' WHEN n <= b THEN 'mid' ELSE 'long' END AS bucket, count(*) AS n FROM w, c GROUP BY 1"),
     "passage_select": (passage_select, BM + f", pt AS (SELECT qid, doc_id, {tok('b.text')} AS q, {tok('d.text')} AS d FROM bm JOIN benchmark b ON qid = item_id JOIN documents d USING (doc_id)), pw AS (SELECT qid, doc_id, q, d, unnest(generate_series(0, greatest(0, ceil((len(d) - 60) / 40.0))::BIGINT)) * 40 AS start FROM pt), pd AS (SELECT qid, doc_id, start, len(list_intersect(list_distinct(d[start + 1:start + 60]), list_distinct(q))) / sqrt(len(d[start + 1:start + 60])) AS density FROM pw) SELECT qid, doc_id, start, round(density, 6) AS density FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY density DESC, start) AS k FROM pd) WHERE k <= 2"),
     "title_features": (title_features, BM + f""", tt AS (SELECT doc_id, list_distinct({tok('string_split(text, chr(10))[1]')}) AS t FROM documents), ti AS (SELECT * FROM tt WHERE len(t) > 0), tn AS (SELECT count(*) AS c FROM ti),
 ti_df AS (SELECT u AS term, ln((c + 1.0::DOUBLE) / (count(*) + 1)) + 1 AS idf FROM ti, unnest(t) AS x(u), tn GROUP BY u, c),

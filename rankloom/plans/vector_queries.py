@@ -254,6 +254,19 @@ def gold_between_depths(s, d):
     return x.agg(F.count("*").alias("gold"), F.count("rank").alias("between"), F.count_distinct(F.when(F.col("rank").isNotNull(), F.col("qid"))).alias("queries"))
 
 
+def query_weights(s, d):
+    """1 + (1 - recall at 5), and 0.5 more for a query with several gold documents."""
+    per = _recall(s, d, "full")
+    return r6(per.select("qid", (2 - F.col("recall") + F.when(F.col("n_gold") > 1, 0.5).otherwise(0.0)).alias("weight")))
+
+
+def frozen_alpha(s, d):
+    """0.2 z(b) + 0.8 z(1/(10 + position)), ranked; the weight is fixed beforehand."""
+    x = _scores(s, d).withColumn("p", 1 / (10.0 + F.col("pos")))
+    x = x.withColumn("score", F.round(0.2 * fusion.z(F.col("b")) + 0.8 * fusion.z(F.col("p")), 9))
+    return r6(fusion.ranked(x).where("rank <= 5").select("qid", "doc_id", "rank", "score"))
+
+
 def z_blend_grid(s, d):
     per = _grid(s, d)
     return r6(per.groupBy("w").agg((F.sum(F.col("recall") * F.col("n")) / F.sum("n")).alias("recall"), (F.avg("recall") - 0.35 * F.stddev_pop("recall")).alias("robust")))
@@ -363,6 +376,8 @@ QUERIES: dict = {
     "boundary_blend": (boundary_blend, BASE + TWO + f", g5 AS (SELECT qid, round(max(a) FILTER (ra = 5) - max(a) FILTER (ra = 6), 9) AS g FROM two GROUP BY qid), md AS (SELECT round(quantile_cont(g, 0.5), 9) AS m FROM g5), g AS (SELECT two.*, CASE WHEN g5.g <= m THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS wt, {Z.format(x='a')} AS za, {Z.format(x='b')} AS zb FROM two JOIN g5 USING (qid), md WINDOW w AS (PARTITION BY qid)) SELECT qid, doc_id, rank FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(wt * za + (1 - wt) * zb, 9) DESC, doc_id) AS rank FROM g) WHERE rank <= 5"),
     "equal_ensemble": (equal_ensemble, BASE + SC + f", x AS (SELECT qid, doc_id, round(({Z.format(x='a')} + {Z.format(x='b')}) / 2, 9) AS score FROM sc WINDOW w AS (PARTITION BY qid)) SELECT qid, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 5"),
     "gold_between_depths": (gold_between_depths, BASE + "SELECT count(*) AS gold, count(f.rank) AS between, count(DISTINCT f.qid) AS queries FROM gold g LEFT JOIN (SELECT * FROM f WHERE rank BETWEEN 31 AND 50) f ON f.qid = g.qid AND f.doc_id = g.doc_id"),
+    "query_weights": (query_weights, BASE + "SELECT qid, round(2 - recall + CASE WHEN n > 1 THEN 0.5::DOUBLE ELSE 0 END, 6) AS weight FROM per WHERE source = 'full'"),
+    "frozen_alpha_blend": (frozen_alpha, BASE + SC + f", sp AS (SELECT *, 1 / (10.0::DOUBLE + pos) AS p FROM sc), x AS (SELECT qid, doc_id, round(0.2::DOUBLE * ({Z.format(x='b')}) + 0.8::DOUBLE * ({Z.format(x='p')}), 9) AS score FROM sp WINDOW w AS (PARTITION BY qid)) SELECT qid, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 5"),
     "utility_rrf": (utility_rrf, BASE + ", u AS (SELECT qid, source, score AS u FROM lists WHERE rank = 1), e AS (SELECT qid, source, exp(12 * (u - max(u) OVER (PARTITION BY qid))) AS e FROM u), w AS (SELECT qid, source, e / sum(e) OVER (PARTITION BY qid) AS w FROM e), p AS (SELECT qid, doc_id, round(sum(w / (20.0::DOUBLE + rank)), 9) AS score FROM lists JOIN w USING (qid, source) WHERE rank <= 50 GROUP BY ALL) SELECT qid, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM p) WHERE rank <= 10"),
     "slot5_gate": (lambda s, d: features.slot_swaps(full(s, d), gold(s, d), 0.01), BASE + ", x AS (SELECT qid, max(f.doc_id) FILTER (rank = 5) AS old, max(f.doc_id) FILTER (rank = 6) AS nx, max(score) FILTER (rank = 5) - max(score) FILTER (rank = 6) AS lead, max((g.doc_id IS NOT NULL)::INT) FILTER (rank = 5) AS g5, max((g.doc_id IS NOT NULL)::INT) FILTER (rank = 6) AS g6 FROM f LEFT JOIN gold g USING (qid, doc_id) GROUP BY qid) SELECT qid, old, CASE WHEN lead < 0.01 THEN nx ELSE old END AS new, lead < 0.01 AS swapped, lead < 0.01 AND g6 > g5 AS rescued FROM x WHERE nx IS NOT NULL"),
     "disagreement_top200": (lambda s, d: features.disagreement(lists(s, d)).orderBy(F.desc("disagreement"), "qid").limit(200), BASE + ", t AS (SELECT source, qid, list(doc_id) AS t FROM lists WHERE rank <= 5 GROUP BY ALL) SELECT a.qid, round(1 - avg(len(list_intersect(a.t, b.t)) / (10.0::DOUBLE - len(list_intersect(a.t, b.t)))), 6) AS disagreement FROM t a JOIN t b ON a.qid = b.qid AND a.source < b.source GROUP BY a.qid ORDER BY disagreement DESC, a.qid LIMIT 200"),
