@@ -107,3 +107,23 @@ def softmax_rrf(lists: DataFrame, utility: DataFrame, temperature: float = 12.0,
     w = utility.withColumn("e", e).withColumn("w", F.col("e") / F.sum("e").over(by_query())).select("qid", "source", "w")
     rows = lists.where(F.col("rank") <= depth).join(w, ["qid", "source"]).groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") / (F.lit(float(k)) + F.col("rank"))), 9).alias("score"))
     return ranked(rows).where(F.col("rank") <= depth)
+
+
+def boundary_stats(rows: DataFrame, values: list[str], base: str, cand: str, k: int = 5) -> DataFrame:
+    """Per query the churn between two rankings, and mean, most and least of each value over the documents that enter
+    and that leave the first k; 0 where none does. One aggregate."""
+    moves = {"enter": (F.col(cand) <= k) & (F.col(base) > k), "leave": (F.col(base) <= k) & (F.col(cand) > k)}
+    agg = [F.sum((moves["enter"] | moves["leave"]).cast("long")).alias("churn")]
+    for move, on in moves.items():
+        for v in values:
+            x = F.when(on, F.col(v))
+            agg += [F.coalesce(f(x), F.lit(0.0)).cast("double").alias(f"{move}_{v}_{name}") for name, f in (("mean", F.avg), ("max", F.max), ("min", F.min))]
+    return rows.groupBy("qid").agg(*agg)
+
+
+def agreement(lists: DataFrame, pairs: list[tuple[str, str]], k: int = 5) -> DataFrame:
+    """Per query the Jaccard similarity of the first k documents of each pair of sources."""
+    names = sorted({s for p in pairs for s in p})
+    per = lists.where((F.col("rank") <= k) & F.col("source").isin(names)).groupBy("qid", "doc_id").agg(*(F.max((F.col("source") == s).cast("int")).alias(f"_{s}") for s in names))
+    both = lambda a, b: F.sum(F.col(f"_{a}") * F.col(f"_{b}")) / F.greatest(F.sum(F.greatest(f"_{a}", f"_{b}")), F.lit(1))
+    return per.groupBy("qid").agg(*(both(a, b).alias(f"{a}_{b}") for a, b in pairs))

@@ -86,3 +86,43 @@ def anchored_merge(a: DataFrame, b: DataFrame, k: int, size: int = 5) -> DataFra
 def top_sets(rows: DataFrame, k: int = 5, name: str = "top") -> DataFrame:
     """(qid, array of the first k doc_ids in rank order)."""
     return rows.where(F.col("rank") <= k).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias(name))
+
+
+#: Weight of a where a configuration's condition does not hold.
+BASE_WEIGHT = 0.75
+
+
+def config_grid() -> list[tuple[str, float, int, float, float]]:
+    """(kind, w, k, hi, at) of 110 configurations: blends of z, Borda and reciprocal ranks by weight, and three that raise
+    the weight to hi where the top fives share at most at documents, or where the gap at the boundary of the blend or
+    the spread of a's ranks 5 to 8 lies below the at quantile of all queries."""
+    broad = [i / 100 for i in range(55, 100, 5)]
+    out = [("z", i / 1000, 0, 0.0, 0.0) for i in range(650, 901, 25)] + [("borda", w, 0, 0.0, 0.0) for w in broad]
+    out += [("rrf", w, k, 0.0, 0.0) for k in (0, 2, 5, 10, 20, 60) for w in broad]
+    raised = [(h, x) for h in (0.8, 0.85, 0.9, 0.95) for x in (0, 1, 2)]
+    out += [("agree", BASE_WEIGHT, 0, h, float(x + 2)) for h, x in raised]
+    return out + [(kind, BASE_WEIGHT, 0, h, (0.2, 0.35, 0.5)[x]) for kind in ("boundary", "plateau") for h, x in raised]
+
+
+def tournament(scores: DataFrame, configs: list[tuple] | None = None, k: int = 5) -> DataFrame:
+    """scores (qid, doc_id, a, b): each configuration's first k documents, (kind, w, k, hi, at, qid, doc_id, rank).
+
+    Per-query conditions come from one aggregate over each short list and their quantiles from one row, so the grid
+    multiplies rows only for the ranking itself."""
+    grid = scores.sparkSession.createDataFrame(config_grid() if configs is None else configs, "kind string, w double, k int, hi double, at double")
+    x = scores.withColumn("za", z(F.col("a"))).withColumn("zb", z(F.col("b")))
+    x = ranked(ranked(x, "a", name="ra"), "b", name="rb")
+    down = lambda c: F.sort_array(F.collect_list(F.round(c, 9)), asc=False)
+    per = x.groupBy("qid").agg(F.sum(((F.col("ra") <= k) & (F.col("rb") <= k)).cast("long")).alias("shared"), down(BASE_WEIGHT * F.col("za") + (1 - BASE_WEIGHT) * F.col("zb")).alias("s"), down(F.col("za")).alias("p"))
+    per = per.select("qid", "shared", F.round(F.get("s", F.lit(k - 1)) - F.get("s", F.lit(k)), 9).alias("gap"), F.round(F.get("p", F.lit(k - 1)) - F.get("p", F.lit(k + 2)), 9).alias("spread"))
+    levels = sorted({c[4] for c in (config_grid() if configs is None else configs) if c[0] in ("boundary", "plateau")}) or [0.5]
+    limit = per.agg(*(F.percentile(c, F.array(*map(F.lit, levels))).alias(f"{c}_at") for c in ("gap", "spread")))
+    x = x.join(per, "qid").crossJoin(F.broadcast(limit)).crossJoin(F.broadcast(grid.withColumnRenamed("k", "c")))
+    nth = F.array_position(F.array(*map(F.lit, levels)), F.col("at")).cast("int")
+    low = lambda c: F.col(c) <= F.round(F.get(f"{c}_at", nth - 1), 9)
+    raised = F.when(F.col("kind") == "agree", F.col("shared") <= F.col("at")).when(F.col("kind") == "boundary", low("gap")).when(F.col("kind") == "plateau", low("spread")).otherwise(F.lit(False))
+    w = F.when(raised, F.col("hi")).otherwise(F.col("w"))
+    score = F.when(F.col("kind") == "borda", -(F.col("w") * F.col("ra") + (1 - F.col("w")) * F.col("rb"))).when(F.col("kind") == "rrf", F.col("w") / (F.col("c") + F.col("ra")) + (1 - F.col("w")) / (F.col("c") + F.col("rb"))).otherwise(w * F.col("za") + (1 - w) * F.col("zb"))
+    names = ["kind", "w", "c", "hi", "at"]
+    out = ranked(x.withColumn("score", F.round(score, 9)), partition=(*names, "qid")).where(F.col("rank") <= k)
+    return out.select("kind", "w", F.col("c").cast("long").alias("k"), "hi", "at", "qid", "doc_id", "rank")

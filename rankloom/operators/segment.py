@@ -26,9 +26,10 @@ def atomic_split(regions: DataFrame, budget: int, n: str = "n") -> DataFrame:
     return rows.withColumn("n_tokens", F.least(F.lit(budget).cast("long"), F.col(n) - F.col("piece") * budget))
 
 
-def coarse_pack(regions: DataFrame, budget: int, key: str = "doc_id", order: str = "region", n: str = "n") -> DataFrame:
+def coarse_pack(regions: DataFrame, budget: int, key: str = "doc_id", order: str = "region", n: str = "n", joint: int = 0) -> DataFrame:
     """(key, pack, n_tokens): consecutive regions of a parent packed greedily; an oversized region closes the open
-    pack and is split by itself. A fold over the parent's region sizes, bounded by one document."""
+    pack and is split by itself. A fold over the parent's region sizes, bounded by one document. joint: tokens of the
+    separator between regions of a pack; 0 simulates by sums alone, over 0 counts what joined text comes to."""
     sizes = F.transform(F.array_sort(F.collect_list(F.struct(order, n))), lambda x: x[n].cast("long"))
     grouped = regions.groupBy(key).agg(sizes.alias("sizes"))
     b = F.lit(budget).cast("long")
@@ -38,8 +39,9 @@ def coarse_pack(regions: DataFrame, budget: int, key: str = "doc_id", order: str
         flushed = F.when(s["fill"] > 0, F.concat(s["out"], F.array(s["fill"]))).otherwise(s["out"])
         full = F.floor(x / b).cast("int")
         split = F.concat(flushed, F.array_repeat(b, full), F.when(x % b > 0, F.array(x % b)).otherwise(none))
-        out = F.when(x > b, split).when(s["fill"] + x > b, flushed).otherwise(s["out"])
-        fill = F.when(x > b, F.lit(0).cast("long")).when(s["fill"] + x > b, x).otherwise(s["fill"] + x)
+        to = F.when(s["fill"] > 0, s["fill"] + joint + x).otherwise(x)
+        out = F.when(x > b, split).when(to > b, flushed).otherwise(s["out"])
+        fill = F.when(x > b, F.lit(0).cast("long")).when(to > b, x).otherwise(to)
         return F.struct(out.alias("out"), fill.alias("fill"))
 
     start = F.struct(none.alias("out"), F.lit(0).cast("long").alias("fill"))
@@ -47,13 +49,13 @@ def coarse_pack(regions: DataFrame, budget: int, key: str = "doc_id", order: str
     return grouped.select(key, F.posexplode(done).alias("pack", "n_tokens")).withColumn("pack", F.col("pack").cast("long"))
 
 
-def window_starts(n: Column, width: int, stride: int) -> Column:
+def window_starts(n: Column, width: int | Column, stride: int | Column) -> Column:
     """Starts of windows of width over n tokens; the last is the first that reaches the end."""
     last = F.greatest(F.lit(0), F.ceil((n - width) / stride)).cast("long")
     return F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: i * stride)
 
 
-def token_windows(rows: DataFrame, width: int, stride: int, n: str = "n") -> DataFrame:
+def token_windows(rows: DataFrame, width: int | Column, stride: int | Column, n: str = "n") -> DataFrame:
     rows = rows.where(F.col(n) > 0).withColumn("start", F.explode(window_starts(F.col(n), width, stride)))
     return rows.withColumn("size", F.least(F.lit(width).cast("long"), F.col(n) - F.col("start")))
 
@@ -73,3 +75,42 @@ def best_passages(pairs: DataFrame, width: int, stride: int, top: int = 2) -> Da
     rows = rows.withColumn("density", hits / F.sqrt(F.size(w))).select("qid", "doc_id", "start", "density")
     order = W.partitionBy("qid", "doc_id").orderBy(F.desc("density"), "start")
     return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top)
+
+
+# The least evidence budget, what a pair's format takes besides, and the lexical window.
+LEAST_BUDGET, FORMAT, LEXICAL = 64, 2, (220, 150)
+
+
+def pair_budget(n_query: Column, n_title: Column, most: int, special: int) -> Column:
+    """Tokens that a pair leaves for evidence."""
+    return F.greatest(F.lit(LEAST_BUDGET), most - n_query - special - n_title - FORMAT).cast("long")
+
+
+def evidence_windows(pairs: DataFrame, mode: str, most: int = 512, special: int = 4) -> DataFrame:
+    """(qid, doc_id, start, size) of the windows that a packaging mode makes of pairs (qid, doc_id, q, d, n_title):
+    head, full, overlap50, three_quarters, or lexical (the densest window). Empty evidence gives no window."""
+    if mode == "lexical":
+        best = best_passages(pairs.where(F.size("d") > 0), *LEXICAL, top=1).join(pairs.select("qid", "doc_id", F.size("d").alias("n")), ["qid", "doc_id"])
+        return best.select("qid", "doc_id", "start", F.least(F.lit(LEXICAL[0]).cast("long"), F.col("n") - F.col("start")).alias("size"))
+    rows = pairs.select("qid", "doc_id", F.size("d").cast("long").alias("n"), pair_budget(F.size("q"), F.col("n_title"), most, special).alias("b"))
+    wide = F.greatest(F.lit(LEAST_BUDGET), F.bround(0.75 * F.col("b"))).cast("long")
+    width = wide if mode == "three_quarters" else F.col("b")
+    stride = {"head": width, "full": width, "overlap50": F.floor(F.col("b") / 2), "three_quarters": F.floor(wide / 2)}[mode]
+    rows = token_windows(rows.withColumn("w", width).withColumn("st", stride), F.col("w"), F.col("st"))
+    return rows.where("start = 0" if mode == "head" else "true").select("qid", "doc_id", "start", "size")
+
+
+def evidence_bundle(title: Column, a: Column, b: Column, labels: tuple[str, str, str] = ("TITLE", "EVIDENCE A", "EVIDENCE B")) -> Column:
+    """Title and up to two different passages under their labels; a blank passage or a repeated one is left out."""
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    part = lambda name, c: F.concat(F.lit(f"[{name}]\n"), F.trim(c))
+    more = [F.when(flat(a) != "", part(labels[1], a)), F.when((flat(b) != "") & (flat(a) != flat(b)), part(labels[2], b))]
+    return F.concat_ws("\n\n", part(labels[0], F.coalesce(title, F.lit(""))), *more)
+
+
+def balanced_bundle(a: Column, b: Column, fixed: Column, most: int = 512, least: int = 96) -> Column:
+    """Both token arrays cut to half of what fixed tokens leave of most, each to 48 at least, and joined."""
+    budget = F.greatest(F.lit(least), most - fixed)
+    half = F.greatest(F.lit(least // 2), F.floor(budget / 2)).cast("int")
+    rest = F.greatest(F.lit(least // 2), budget - half).cast("int")
+    return F.concat_ws("\n", F.array_join(F.slice(a, F.lit(1), half), " "), F.array_join(F.slice(b, F.lit(1), rest), " "))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rankloom.plans import text_queries, vector_queries
+from rankloom.plans import evidence_queries, selection_queries, text_queries, vector_queries
 
-_ALL = {**text_queries.QUERIES, **vector_queries.QUERIES}
+_ALL = {**text_queries.QUERIES, **vector_queries.QUERIES, **evidence_queries.QUERIES, **selection_queries.QUERIES}
 
 
 def queries() -> dict:

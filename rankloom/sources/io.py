@@ -75,6 +75,25 @@ def manifest_diff(now: DataFrame, then: DataFrame) -> DataFrame:
     return then.join(now, ["path", "size_bytes", "sha256"], "left_anti")
 
 
+def snapshot_fingerprint(files: DataFrame) -> DataFrame:
+    """One row (n_files, size_bytes, fingerprint) of a manifest: SHA-256 over its files' names and hashes in name order.
+    A snapshot's manifest is a short list, whatever its files hold."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    line = F.array_sort(F.collect_list(F.concat_ws(" ", name, F.col("sha256"))))
+    return files.agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("size_bytes"), F.sha2(F.array_join(line, "\n"), 256).alias("fingerprint"))
+
+
+def export_bundle(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Tables as Parquet below a new folder, with a manifest table beside them; returns the manifest. Each executor
+    writes and hashes its own files; an existing folder is an error."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in sorted(tables.items()):
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+    files = manifest(spark, path).where(F.col("path").endswith(".parquet"))
+    files.write.mode("errorifexists").parquet(f"{path}-manifest")
+    return spark.read.parquet(f"{path}-manifest")
+
+
 def cached(spark: SparkSession, root: str, contract: dict, make) -> DataFrame:
     """The table of make(), kept under the hash of its contract; an existing one is read, never overwritten."""
     import hashlib
