@@ -22,6 +22,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """docs' rows as a struct named row beside the columns in keys, so that no column of docs can clash with them;
+    select("row.*") unpacks."""
+    return docs.select(F.struct("*").alias("row"), *(c.alias(k) for k, c in keys.items()))
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8; bytes.split() breaks at exactly the white space of WORD."""
     return (text or "").encode("utf-8", "surrogatepass").split()

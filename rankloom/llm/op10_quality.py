@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import documents, words
+from rankloom.llm.common import documents, packed, words
 from rankloom.plans.session import cut
 
 # The symbols, white space, and the base limits.
@@ -153,8 +153,8 @@ def judge(docs: DataFrame, path: str | None = None, spread: float = SPREAD) -> D
 def keep(docs: DataFrame, **params) -> DataFrame:
     """The rows of docs that the rules keep, columns unchanged."""
     good = judge(docs, **params).where("kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    h = F.xxhash64(F.col("text").cast("string"))
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_id")) & (h == F.col("_th")), "left_semi")
+    rows = packed(docs, id=F.col("doc_id").cast("long"), h=F.xxhash64(F.col("text").cast("string")))
+    return rows.join(good, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_th")), "left_semi").select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

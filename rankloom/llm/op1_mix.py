@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import documents, word_count
+from rankloom.llm.common import documents, packed, word_count
 from rankloom.plans.session import cut
 
 WEIGHTS, LIMIT, BLOCK = (5, 2, 1), 3, 4096
@@ -86,13 +86,13 @@ def mixed(docs: DataFrame, **params) -> DataFrame:
     """
     takes = mix(docs, **params).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
     takes = takes.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    out = sized.join(takes, same)
-    nth = F.when(F.col("_rows") > 1, F.row_number().over(W.partitionBy("doc_id", "source", "_words").orderBy(F.xxhash64("text")))).otherwise(1)
+    rows = packed(docs, id=F.col("doc_id"), source=F.col("source"), words=word_count(F.col("text")), h=F.xxhash64("text"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("words") == F.col("_size"))
+    out = rows.join(takes, same)
+    nth = F.when(F.col("_rows") > 1, F.row_number().over(W.partitionBy("id", "source", "words").orderBy("h"))).otherwise(1)
     own = F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("int")
-    out = out.withColumn("_own", own.cast("int")).where("_own > 0")
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(docs.columns)
+    out = out.withColumn("own", own.cast("int")).where("own > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("own")))).select("row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import documents
+from rankloom.llm.common import documents, packed
 from rankloom.plans.session import cut
 
 # The kinds in their order and their patterns.
@@ -54,7 +54,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     t = text or ""
     out = [(a, 0, b) for a, b in emails(t)]
     for m in IP.finditer(t):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m[0].split(".")):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(t):
         d = m[0].replace(" ", "").replace("-", "")
@@ -185,20 +185,21 @@ def sanitise(docs: DataFrame, **params) -> DataFrame:
     columns stay, texts without findings are unchanged, null stays null."""
     found = find(docs, **params).where(F.size("terms") > 0).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "terms").dropDuplicates(["_id", "_th"])
     text = F.col("text").cast("string")
-    rows = docs.withColumn("_h", F.xxhash64(text))
+    rows = packed(docs, id=F.col("doc_id").cast("long"), h=F.xxhash64(text), t=text)
     if found.isEmpty():
-        rows = rows.withColumn("_terms", F.array().cast("array<struct<s:int,e:int,removed:boolean>>"))
+        rows = rows.withColumn("terms", F.array().cast("array<struct<s:int,e:int,removed:boolean>>"))
     else:
-        rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left").withColumn("_terms", F.col("terms"))
+        rows = rows.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_th")), "left")
 
     @F.pandas_udf("string")
     def put(t: pd.Series, terms: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else clean(x, [(r["s"], r["e"], r["removed"]) for r in (y if y is not None else ())]) for x, y in zip(t, terms, strict=True)], dtype=object)
 
-    rows = rows.withColumn("text", put(text, F.col("_terms")))
+    rows = rows.select("row", put("t", "terms").alias("t"))
+    row = F.col("row").withField("text", F.col("t"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
-    return rows.select(docs.columns)
+        row = row.withField("n_chars", F.coalesce(F.char_length("t").cast("long"), F.col("row.n_chars")))
+    return rows.select(row.alias("row")).select("row.*")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

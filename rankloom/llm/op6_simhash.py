@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import documents, group_ids, spanning, whole_groups, words
+from rankloom.llm.common import documents, group_ids, packed, spanning, whole_groups, words
 from rankloom.operators.graph import connected_components
 from rankloom.plans.session import cut
 
@@ -111,9 +111,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = simhash_groups(docs)
     first = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
-    stay = docs.join(first.select(F.col("doc_id").alias("_keep")), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(F.col(c) for c in docs.columns if c not in ("doc_id", "text")))
-    return stay.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    rows = packed(docs, id=F.col("doc_id").cast("long"), h=F.xxhash64("text"))
+    stay = rows.join(first.select(F.col("doc_id").alias("keep")), F.col("id").eqNullSafe(F.col("keep")), "left_semi")
+    rest = [F.col("row")[c.name] for c in docs.schema if c.name not in ("doc_id", "text") and "map<" not in c.dataType.simpleString()]
+    order = W.partitionBy("id").orderBy("h", *rest)
+    return stay.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("row.*")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

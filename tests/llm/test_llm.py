@@ -18,7 +18,7 @@ from rankloom.llm.common import spanning, words
 # Extra columns carry names that operators use inside.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, h string, size int, spans string, copies int"
 LONG = " ".join(f"word{i % 977}" for i in range(30_000)) + " " + "x" * 200_000
-TEXTS = [None, "", " \t\n", "one", "Released under the MIT License.", "mail a.b@x.example.com or 10.0.0.1, card 4111 1111 1111 1111, +1 (555) 555-0000.", "mail a.b@x.example.com or 10.0.0.1, card 4111 1111 1111 1111, +1 (555) 555-0000.", LONG, "漢字 é ﬁ <|endoftext|> don't STOP!!, now."]
+TEXTS = [None, "", " \t\n", "one", "Released under the MIT License.", "mail a.b@x.example.com or 10.0.0.1, card 4111 1111 1111 1111, +1 (555) 555-0000.", "mail a.b@x.example.com or 10.0.0.1, card 4111 1111 1111 1111, +1 (555) 555-0000.", LONG, "漢字 é ﬁ <|endoftext|> don't STOP!!, now.", "1." + "0" * 5000 + "7.2.3 is an address"]
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +58,18 @@ def test_every_operator_takes_odd_rows_and_empty_tables(spark, odd, none):
     assert op7_licenses.scan(none).count() == 0
 
 
+def test_stages_keep_columns_whose_names_clash(spark):
+    names = ["_id", "_th", "_h", "_terms", "_words", "_keep", "_nth", "_own", "_i", "_size", "_copies", "_rows", "id", "h", "row", "terms", "words", "own", "nth", "t", "keep", "source_key", "class"]
+    base = [(i, " ".join(f"word{(i * 31 + k * k) % 211}" for k in range(60)) + " mail a.b@x.example.com", "en", "ab"[i % 2], 5) for i in range(40)]
+    df = spark.createDataFrame(base, "doc_id long, text string, lang string, source string, n_chars long").select("*", *(F.concat(F.lit(n), "doc_id").alias(n) for n in names))
+    for stage in (op10_quality.keep, op6_simhash.keep_one, op3_pii.sanitise, op1_mix.mixed):
+        got = stage(df)
+        assert got.columns == df.columns, stage
+        rows = got.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), stage
+        assert stage(df.where("false")).count() == 0
+
+
 def test_mix_follows_targets_and_repeats_itself(spark):
     r = random.Random(1)
     rows = [(i, "w " * r.randrange(0, 40), "abcdefg"[min(6, int(r.expovariate(0.5)))]) for i in range(3000)]
