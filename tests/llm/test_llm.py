@@ -265,6 +265,33 @@ def test_licenses_against_exact_windows(spark):
         assert sum(not (g & set(op7_licenses.anchors(op7_licenses.TEMPLATES))) for g in grams) < 0.8 * len(grams)
 
 
+def test_licenses_of_all_common_families(spark):
+    want = {
+        "This work is licensed under the GNU General Public License, version 3.": ["gpl-3-version"],
+        "See the GNU General Public License, version 2, for details.": ["gpl-2-version"],
+        "You may use it under the GNU Lesser General Public License v2.1 or later.": ["lgpl-2.1-v"],
+        "Offered under the GNU AFFERO GENERAL PUBLIC LICENSE, Version 3": ["agpl-3-version"],
+        "// SPDX-License-Identifier: GPL-2.0-or-later": ["gpl-2-spdx"],
+        "# SPDX-License-Identifier: MIT": ["mit-spdx"],
+        "Licensed under CC BY-NC 4.0.": ["cc-by-nc-4.0-short"],
+        "Text: CC BY 3.0": ["cc-by-3.0-short"],
+        "Images are CC-BY-SA-2.5, thanks.": ["cc-by-sa-2.5-short"],
+        "A Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License holds.": ["cc-by-nc-nd-4.0-name"],
+        "It has the BSD 3-Clause license.": ["bsd-3-clause"],
+        "Licensed under the ISC license": ["isc-licensed"],
+        "Mozilla Public License, version 2.0": ["mpl-2.0-version"],
+        "It came by 4.0 under a general and public roof.": [],
+    }
+    x = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {i: [] for i in range(len(want))}
+    for r in op7_licenses.scan(x).collect():
+        got[r.doc_id].append(r.license)
+        assert r.containment == 1
+    assert list(got.values()) == list(want.values())
+    one = spark.createDataFrame([(1, "one two " + "Licensed under CC BY 4.0")], "doc_id long, text string")
+    assert [r.start_word for r in op7_licenses.scan(one).collect()] == [4]
+
+
 def test_packing_is_whole_and_fits(spark):
     r = np.random.default_rng(9)
     sizes = np.r_[r.integers(1, 700, 500), 4096, 4096, 1]
