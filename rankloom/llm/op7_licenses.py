@@ -146,7 +146,8 @@ def _first_best(hits: Column, starts: Column, size: Column, n_own: Column, least
 
 def _best(t: Column, hits: Column, least: float) -> Column:
     """The best window of template t; null if none reaches least. Bands retrieve regions of twice the template and a
-    stride; in those, containment is exact over the windows of the grid.
+    stride; in those, containment is exact over the windows of the grid, and where none of them reaches least, over
+    windows of twice the template from each of its shingles on, so that inserted words lose nothing.
 
     A region that holds an occurrence has Jaccard similarity 0.8 at least with the template, apart from shingles of
     other templates; sixteen bands of one row then meet but for chances of 0.2**16."""
@@ -156,7 +157,8 @@ def _best(t: Column, hits: Column, least: float) -> Column:
     met = F.filter(_starts(own, t["stride"], region), meets)
     near = F.filter(own, lambda x: F.exists(met, lambda s: (x["i"] >= s) & (x["i"] < s + region)))
     n_own = F.size(t["own"])
-    return _first_best(near, _starts(near, t["stride"], t["size"]), t["size"], n_own, least)
+    narrow = _first_best(near, _starts(near, t["stride"], t["size"]), t["size"], n_own, least)
+    return F.coalesce(narrow, _first_best(near, F.transform(near, lambda x: x["i"]), t["wide"], n_own, least))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:

@@ -292,6 +292,15 @@ def test_licenses_of_all_common_families(spark):
     assert [r.start_word for r in op7_licenses.scan(one).collect()] == [4]
 
 
+def test_licenses_with_words_put_in(spark):
+    w = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'.split()
+    rows = [(100 * k + off, " ".join(["before"] * off + w[:16] + ["put"] * k + w[16:] + ["after"] * 9)) for k in range(7) for off in range(7)]
+    x = spark.createDataFrame(rows + [(999, " ".join(w[:16]) + " put" * 200 + " " + " ".join(w[16:]))], "doc_id long, text string")
+    got = {r.doc_id: r.containment for r in op7_licenses.scan(x).where("license = 'apache-2.0-notice'").collect()}
+    assert sorted(got) == [i for i, _ in rows]
+    assert min(got.values()) >= 0.8
+
+
 def test_packing_is_whole_and_fits(spark):
     r = np.random.default_rng(9)
     sizes = np.r_[r.integers(1, 700, 500), 4096, 4096, 1]
