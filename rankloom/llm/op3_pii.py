@@ -22,7 +22,7 @@ EMAIL_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Window of words on either side, least distinct contexts, and the share of an entity's information that a term
+#: Words on either side that tell contexts apart, least distinct contexts, and the share of an entity's information that a term
 #: may give away before it is generalised or removed.
 REACH, SUPPORT, ALPHA, REMOVE = 8, 3, 1.2, 1.05
 _TERM = re.compile(r"[^\W\d_]{3,}")
@@ -70,26 +70,33 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def contexts(t: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int, int]]:
-    """(entity, term, start, end, context hash) of the words within REACH of each span and in none of them."""
-    taken = sorted((a, b) for a, _, b in spans)
-    out = []
+def outside(t: str, spans: list[tuple[int, int, int]], lo: int = 0, hi: int | None = None) -> Iterator[re.Match]:
+    """The words of t from lo to hi that touch none of the sorted spans."""
+    k, end = 0, 0
+    for m in _TERM.finditer(t, lo, len(t) if hi is None else hi):
+        while k < len(spans) and spans[k][0] < m.end():
+            end, k = max(end, spans[k][2]), k + 1
+        if m.start() >= end:
+            yield m
+
+
+def entities(t: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int]]:
+    """(entity, context hash) of each span, by the words within REACH of it and in no span."""
+    out = set()
     for a, k, b in spans:
         lo, hi = max(0, a - _REACH_CHARS), min(len(t), b + _REACH_CHARS)
-        near = [m for m in _TERM.finditer(t, lo, a) if m.start() > lo or lo == 0][-REACH:]
-        near += [m for m in _TERM.finditer(t, b, hi) if m.end() < hi or hi == len(t)][:REACH]
-        near = [m for m in near if not any(x < m.end() and m.start() < y for x, y in taken)]
-        own = zlib.crc32(" ".join(m[0].lower() for m in near).encode())
-        ent = hashlib.blake2b(f"{k}:{t[a:b].lower()}".encode(), digest_size=8).hexdigest()
-        out += [(ent, m[0].lower(), m.start(), m.end(), own) for m in near]
-    return out
+        near = [m for m in outside(t, spans, lo, a) if m.start() > lo or lo == 0][-REACH:]
+        near += [m for m in outside(t, spans, b, hi) if m.end() < hi or hi == len(t)][:REACH]
+        own = zlib.crc32(" ".join(m[0].lower() for m in near).encode("utf-8", "surrogatepass"))
+        out.add((hashlib.blake2b(f"{k}:{t[a:b].lower()}".encode(), digest_size=8).hexdigest(), own))
+    return sorted(out)
 
 
-_ROW = "doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long, ctx array<struct<ent:string,term:string,s:int,e:int,own:long>>"
+_ROW = "doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, ents array<struct<ent:string,own:long>>, words array<string>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One narrow row per row of docs: base counts and spans, word total, and the contexts of its entities."""
+    """One row per row of docs: base counts and spans, its entities, and where it has any its distinct words."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in it:
@@ -99,67 +106,120 @@ def scan(docs: DataFrame) -> DataFrame:
                 spans = base_spans(t)
                 n = Counter(k for _, k, _ in spans)
                 text = joined(spans)
-                rows.append((n[0], n[1], n[2], n[3], hashlib.sha256(text.encode()).hexdigest(), text, t.count(" ") + t.count("\n") + 1, [dict(zip(("ent", "term", "s", "e", "own"), c, strict=True)) for c in contexts(t, spans)]))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_terms", "ctx"])
+                own = sorted({m[0].lower() for m in outside(t, spans)}) if spans else []
+                rows.append((n[0], n[1], n[2], n[3], hashlib.sha256(text.encode()).hexdigest(), text, [{"ent": e, "own": o} for e, o in entities(t, spans)], own))
+            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "ents", "words"])
             yield out.assign(doc_id=x["doc_id"].astype("Int64"), th=x["th"])
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text).alias("th")).mapInPandas(run, _ROW)
 
 
-def term_counts(docs: DataFrame, marked: list[int]) -> DataFrame:
-    """(term, c) over all texts, for the terms whose hash bucket is marked: a superset of the candidates, whose
-    size does not depend on how many there are, counted within a task before the shuffle."""
-    known = docs.sparkSession.sparkContext.broadcast(bytes(1 if i in set_ else 0 for set_ in [set(marked)] for i in range(_BUCKETS)))
+def _marked(terms: DataFrame) -> bytes:
+    """A byte for each hash bucket of terms, on where it holds one: its size does not depend on how many there are."""
+    buckets = terms.select((F.crc32(F.col("term").cast("binary")) % _BUCKETS).cast("int").alias("b")).distinct()
+    on = bytearray(_BUCKETS)
+    for r in buckets.collect():  # at most _BUCKETS numbers
+        on[r.b] = 1
+    return bytes(on)
+
+
+def _in(on: bytes, w: str) -> int:
+    return on[zlib.crc32(w.encode("utf-8", "surrogatepass")) % _BUCKETS]
+
+
+def least_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, least): the distinct texts of one batch that hold the term, at the batch that has most; for the terms'
+    hash buckets. No more than the distinct texts of all docs, so common terms go before places are listed."""
+    known = docs.sparkSession.sparkContext.broadcast(_marked(terms))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         on = known.value
+        most: Counter = Counter()
         for x in it:
             n: Counter = Counter()
-            for t in x["text"]:
-                n.update(_TERM.findall((t or "").lower()))
-            some = [(w, c) for w, c in n.items() if on[zlib.crc32(w.encode()) % _BUCKETS]]
-            yield pd.DataFrame(some, columns=["term", "c"])
+            for t in set(x["text"]):
+                n.update({w.lower() for w in set(_TERM.findall(t or ""))})
+            for w, c in n.items():
+                if c > most[w] and _in(on, w):
+                    most[w] = c
+            if len(most) > 200_000:
+                yield pd.DataFrame(list(most.items()), columns=["term", "c"])
+                most = Counter()
+        yield pd.DataFrame(list(most.items()), columns=["term", "c"])
 
     got = docs.select(F.col("text").cast("string")).mapInPandas(run, "term string, c long")
-    return got.groupBy("term").agg(F.sum("c").alias("c"))
+    return got.groupBy("term").agg(F.max("c").alias("least"))
+
+
+def places(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(th, term, at) of the terms in every distinct text; at: the places in no base span, over the whole text."""
+    known = docs.sparkSession.sparkContext.broadcast(_marked(terms))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        on = known.value
+        for x in it:
+            rows = []
+            for t, th in zip(x["text"], x["th"], strict=True):
+                t = t or ""
+                found = {w for w in {w.lower() for w in set(_TERM.findall(t))} if _in(on, w)}
+                at: dict[str, list] = {w: [] for w in found}
+                for m in outside(t, base_spans(t)) if found else ():
+                    if m[0].lower() in at:
+                        at[m[0].lower()].append({"s": m.start(), "e": m.end()})
+                rows += [(th, w, v) for w, v in at.items()]
+            yield pd.DataFrame(rows, columns=["th", "term", "at"])
+
+    text = F.col("text").cast("string")
+    got = docs.select(text, F.xxhash64(text).alias("th")).mapInPandas(run, "th long, term string, at array<struct<s:int,e:int>>")
+    return got.join(terms.select("term").distinct(), "term", "left_semi").dropDuplicates(["th", "term"])
 
 
 def revealing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame | None:
-    """(ent, term, removed) of the terms that give away an entity; None if no term meets an entity often enough.
+    """(th, term, at, removed) of the terms that give away an entity, in every distinct text; None if there are none.
 
-    With N words in the corpus, w(e) words in the distinct contexts of entity e, c(t) occurrences of term t and
-    c(e,t) distinct contexts of e that hold t: the term discloses PMI = log2(c(e,t) N / (w(e) c(t))) of the
-    entity's information IC = log2(N / w(e)). It is generalised from PMI >= IC/alpha on and removed from IC/1.05
-    on, if at least support distinct contexts hold both, so copies of one text never make a term revealing.
+    With N distinct texts in the corpus, w(e) that hold entity e, c(t) that hold term t and c(e,t) that hold both,
+    anywhere in them: the term discloses PMI = log2(c(e,t) N / (w(e) c(t))) of the entity's information
+    IC = log2(N / w(e)). It is generalised from PMI >= IC/alpha on and removed from IC/1.05 on, if the entity has at
+    least support distinct contexts in the texts that hold both. All counts are of distinct texts, so copies change
+    no verdict.
     """
-    met = rows.select(F.explode("ctx").alias("x")).select("x.ent", "x.term", "x.own").distinct()
-    near = met.groupBy("ent", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    texts = rows.where(F.size("ents") > 0).select("th", "ents", "words").dropDuplicates(["th"])
+    met = texts.select("th", F.explode("ents").alias("x"), "words").select("th", "x.ent", "x.own", "words")
+    wide = met.groupBy("ent").agg(F.count_distinct("th").alias("w"), F.count_distinct("own").alias("n_own")).where(F.col("n_own") >= support)
+    wide = cut(wide.select("ent", "w"))
+    if wide.isEmpty():
+        return None
+    pairs = met.join(wide.select("ent"), "ent", "left_semi").select("ent", "th", "own", F.explode("words").alias("term"))
+    near = pairs.groupBy("ent", "term").agg(F.count_distinct("own").alias("n_own"), F.count_distinct("th").alias("both"))
+    total = rows.select("th").distinct().count()
+    ic, n = F.log2(F.lit(float(total)) / F.col("w")), F.lit(float(total))
+    pmi = lambda c: F.log2(F.col("both") * n / (F.col("w") * F.col(c)))
+    near = near.where(F.col("n_own") >= support).drop("n_own").join(wide, "ent").where((ic > 0) & (pmi("both") >= ic / alpha))
     near = cut(near)
     if near.isEmpty():
         return None
-    marks = near.select((F.crc32(F.col("term").cast("binary")) % _BUCKETS).cast("int").alias("b")).distinct()
-    counts = term_counts(docs, [r.b for r in marks.collect()])  # at most _BUCKETS numbers
-    total = rows.agg(F.sum("n_terms").alias("n")).first().n
-    wide = met.join(near.select("ent").distinct(), "ent", "left_semi").groupBy("ent").agg(F.count("*").alias("w"))
-    n = F.lit(float(total))
-    x = near.join(wide, "ent").join(counts, "term")
-    x = x.withColumn("ic", F.log2(n / F.col("w"))).withColumn("pmi", F.log2(F.col("both") * n / (F.col("w") * F.col("c"))))
-    return x.where(F.col("pmi") >= F.col("ic") / alpha).select("ent", "term", (F.col("pmi") >= F.col("ic") / REMOVE).alias("removed"))
+    near = cut(near.join(least_counts(docs, near), "term").where(pmi("least") >= ic / alpha))
+    if near.isEmpty():
+        return None
+    at = cut(places(docs, near))
+    x = near.join(at.groupBy("term").agg(F.count("*").alias("c")), "term").where(pmi("c") >= ic / alpha)
+    x = x.groupBy("term").agg(F.max(pmi("c") >= ic / REMOVE).alias("removed"))
+    return at.join(x, "term")
 
 
 def find(docs: DataFrame, **params) -> DataFrame:
     """doc_id, th (hash of the text), base counts, base_sha256, spans (all, joined by start and kind) and terms (the
-    revealing ones, an array of structs) of every row of docs; null texts count as empty, repeated rows all stay."""
+    revealing ones, an array of structs, wherever they stand) of every row of docs; null texts count as empty,
+    repeated rows all stay."""
     rows = cut(scan(docs))
     risky = revealing(docs, rows, **params)
     none = F.array().cast("array<struct<s:int,e:int,removed:boolean>>")
+    rows = rows.drop("ents", "words")
     if risky is None:
-        return rows.drop("ctx", "n_terms").withColumn("terms", none)
-    hits = rows.where(F.size("ctx") > 0).select("doc_id", "th", F.explode("ctx").alias("x")).select("doc_id", "th", "x.ent", "x.term", "x.s", "x.e").distinct()
-    hits = hits.join(risky, ["ent", "term"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e", "removed")).alias("terms"))
-    hits = hits.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    out = rows.drop("ctx", "n_terms").join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").drop("_id", "_th")
+        return rows.withColumn("terms", none)
+    hits = risky.select("th", F.explode("at").alias("x"), "removed").groupBy("th").agg(F.collect_set(F.struct("x.s", "x.e", "removed")).alias("terms"))
+    out = rows.join(hits.withColumnRenamed("th", "_th"), F.col("th") == F.col("_th"), "left").drop("_th")
     part = lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(s, ":")[0]).cast("int").alias("k"), F.split(s, ":")[2].cast("int").alias("b"))
     base = F.transform(F.filter(F.split("spans", ","), lambda s: s != ""), part)
     more = F.array_distinct(F.transform("terms", lambda x: F.struct(x["s"].alias("a"), F.lit(len(KINDS)).alias("k"), x["e"].alias("b"))))

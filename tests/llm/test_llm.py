@@ -151,6 +151,22 @@ def test_pii_terms_need_distinct_contexts(spark):
     assert "zanzibar" not in text[200] and "[EMAIL]" in text[200] and text[0] == filler[0]
 
 
+def _told():
+    near = [f"{a} agent zanzibar wrote to {b} from j.doe@mail.example.com about {c} things" for a, b, c in [("one", "two", "red"), ("ten", "six", "blue"), ("old", "new", "green"), ("big", "small", "pink")]]
+    far = [f"{t} and then came {' '.join(f'w{chr(97 + k)}{chr(97 + i)}x' for k in range(20))} with quixotel" for i, t in enumerate(near)]
+    filler = [f"plain text number {' '.join(chr(97 + i // k % 26) * 4 for k in (1, 5, 7))} wrote about things" for i in range(200)]
+    return far, filler
+
+
+def test_pii_terms_go_wherever_they_stand(spark):
+    far, filler = _told()
+    x = spark.createDataFrame(list(enumerate([*far, "agent zanzibar alone, and Zanzibar again", *filler])), "doc_id long, text string")
+    text = {r.doc_id: r.text for r in op3_pii.sanitise(x).collect()}
+    assert not any("zanzibar" in t.lower() for t in text.values())
+    assert not any("quixotel" in t for t in text.values())  # over twenty words from the address
+    assert text[9] == filler[4]
+
+
 def test_records_round_trip(spark, odd, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
