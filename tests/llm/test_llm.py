@@ -167,6 +167,15 @@ def test_pii_terms_go_wherever_they_stand(spark):
     assert text[9] == filler[4]
 
 
+def test_pii_copies_change_no_verdict(spark):
+    far, filler = _told()
+    spans = []
+    for n in (1, 60):
+        x = spark.createDataFrame([(i, t) for i, t in enumerate([*far, *filler]) for _ in range(n if i < len(far) else 1)], "doc_id long, text string")
+        spans.append({r.doc_id: r.spans for r in op3_pii.find(x).collect()})
+    assert "term" in spans[0][0] and spans[0] == spans[1]
+
+
 def test_records_round_trip(spark, odd, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
