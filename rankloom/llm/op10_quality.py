@@ -15,7 +15,7 @@ from rankloom.plans.session import cut
 # The symbols, white space, and the base limits.
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
-#: Bands reach this many interquartile ranges beyond the quartiles; languages with fewer documents use the band of all.
+#: Bands reach this many interquartile ranges beyond the quartiles; languages with fewer documents have no band.
 SPREAD, LEAST_DOCS, PRECISION = 4.0, 100, 10_000
 #: The least half-widths of the bands, so that a language whose documents are all alike rejects none of them.
 FLOOR = {"chars_per_token": 0.5, "byte_share": 0.05, "entropy": 2.0}
@@ -117,21 +117,22 @@ def measure(docs: DataFrame, path: str) -> DataFrame:
 
 def banded(rows: DataFrame, spread: float = SPREAD) -> DataFrame:
     """rows with outside: a fertility measure lies outside its language's band. Bands are quartiles of all documents
-    of the language that pass the base rules, widened by spread interquartile ranges, FLOOR at least."""
+    of the language that pass the base rules, widened by spread interquartile ranges, FLOOR at least. A language with
+    fewer than LEAST_DOCS of them has no band, and fertility rejects none of its documents: other languages' bands
+    say nothing about it."""
     names = list(FLOOR)
     fine = rows.where(~F.col("base_failed"))
     agg = [F.count("*").alias("n"), *(F.percentile_approx(c, [0.25, 0.75], PRECISION).alias(c) for c in names)]
     per = fine.groupBy("lang").agg(*agg)
-    every = fine.agg(*agg).select(*(F.col(c).alias(f"all_{c}") for c in names))
     per = cut(per.where(F.col("n") >= LEAST_DOCS).select("lang", *(F.col(c).alias(f"own_{c}") for c in names)))
     small = per.count() <= 10_000  # languages; over that the join is by shuffle
-    rows = rows.join(F.broadcast(per) if small else per, "lang", "left").crossJoin(F.broadcast(every))  # one row
+    rows = rows.join(F.broadcast(per) if small else per, "lang", "left")
     out = F.lit(False)
     for c in names:
-        q = F.coalesce(f"own_{c}", f"all_{c}")
+        q = F.col(f"own_{c}")
         reach = F.greatest(spread * (q[1] - q[0]), F.lit(FLOOR[c]))
         out = out | F.coalesce((F.col(c) < q[0] - reach) | (F.col(c) > q[1] + reach), F.lit(False))
-    return rows.withColumn("outside", out).drop(*(f"{k}_{c}" for k in ("own", "all") for c in names))
+    return rows.withColumn("outside", out).drop(*(f"own_{c}" for c in names))
 
 
 def judge(docs: DataFrame, path: str | None = None, spread: float = SPREAD) -> DataFrame:

@@ -394,6 +394,16 @@ def test_quality_rejects_by_fertility(spark):
     assert all(got[i].kept for i in range(150))
 
 
+def test_quality_keeps_clean_documents_of_small_languages(spark):
+    r = random.Random(9)
+    word = lambda lo, n: "".join(chr(lo + r.randrange(n)) for _ in range(r.randrange(3, 8)))
+    some = lambda lo, n: " ".join(word(lo, n) for _ in range(60))
+    rows = [(i, some(0x61, 26), "en") for i in range(150)] + [(200 + i, some(0x3B1, 24), "el") for i in range(5)] + [(300 + i, some(0x1200, 60), "am") for i in range(5)]
+    got = {x.doc_id: x for x in op10_quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(x.kept for x in got.values())
+    assert got[300].byte_share > 0.5
+
+
 def test_pipeline_runs_and_its_stages_agree(spark, sf, docs, texts):
     import corpus_pipeline
 
