@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -14,135 +15,246 @@ from rankloom.llm.common import spanning, whole_groups
 from rankloom.operators.graph import connected_components
 from rankloom.plans.session import cut
 
-#: Trees, share of a node's sample that goes both ways on either side of the split, vectors of one label aimed at
-#: in a leaf, rows of the sample the trees are fitted on, and rows of one leaf compared in one block.
-TREES, SPILL, LEAF, SAMPLE, CHUNK = 8, 0.1, 256, 16_384, 1024
+#: Trees, share of a node that goes both ways on either side of its split, and vectors of one label aimed at in a leaf.
+TREES, SPILL, LEAF = 8, 0.1, 256
+#: Rows of the sample the upper splits are fitted on, of which a fitted leaf holds FITTED at least; vectors that one
+#: group of leaves holds and one task compares; and rows of one block of products.
+SAMPLE, FITTED, GROUP, BLOCK = 16_384, 32, 16_384, 1024
 LEAST = 0.93
+#: Half the spill's width in standard deviations of a normal projection.
+_HALF = 0.2533
 
 
-class Forest:
-    """Complete binary trees. Node k of a tree splits at a random direction; a vector between low and high goes to
-    both children, so pairs close to a split stay together in one of them. Fitted on a bounded sample."""
-
-    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL, seed: int = 5) -> None:
-        self.depth, self.trees, self.dims = depth, trees, sample.shape[1]
-        nodes = (1 << depth) - 1
-        rng = np.random.default_rng(seed)
-        self.direction = rng.standard_normal((trees, nodes, self.dims)).astype(np.float32)
-        self.low, self.high = np.zeros((trees, nodes)), np.zeros((trees, nodes))
-        for t in range(trees):
-            members = {0: np.arange(len(sample))}
-            for k in range(nodes):
-                ix = members.pop(k, np.arange(0))
-                at = sample[ix] @ self.direction[t, k]
-                if len(at):
-                    self.low[t, k], self.high[t, k] = np.quantile(at, [0.5 - spill, 0.5 + spill])
-                members[2 * k + 1], members[2 * k + 2] = ix[at <= self.high[t, k]], ix[at >= self.low[t, k]]
-
-    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf number over all trees), sorted by row and leaf."""
-        rows, out = [], []
-        for t in range(self.trees):
-            row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                at = np.einsum("ij,ij->i", x[row], self.direction[t, node])
-                left, right = at <= self.high[t, node], at >= self.low[t, node]
-                row, node = np.r_[row[left], row[right]], np.r_[2 * node[left] + 1, 2 * node[right] + 2]
-            rows.append(row)
-            out.append(node - ((1 << self.depth) - 1) + t * (1 << self.depth))
-        row, leaf = np.concatenate(rows), np.concatenate(out)
-        order = np.lexsort((leaf, row))
-        return row[order], leaf[order]
-
-
-def _padded(e: pd.Series, dims: int) -> np.ndarray:
-    return np.array([np.r_[v, np.zeros(dims)][:dims] for v in e], np.float32) if len(e) else np.zeros((0, dims), np.float32)
-
-
-def place(batches: Iterator[pd.DataFrame], forest: Forest) -> Iterator[pd.DataFrame]:
+@dataclass
+class Tree:
+    """A node splits at a random direction; a vector between low and high goes to both children, so that pairs close
+    to a split stay together in one of them. The upper levels are fitted on a bounded sample. Below them, any number
+    of levels follow: each splits at a direction of its own through the fitted leaf's centre, with a band of the
+    same share of the leaf's spread. So depth follows the input, and what is known of a tree stays bounded."""
+
+    number: int
+    dims: int
+    low: np.ndarray
+    high: np.ndarray
+    centre: np.ndarray
+    spread: np.ndarray
+    _made: dict = field(default_factory=dict, repr=False)
+
+    @property
+    def depth(self) -> int:
+        return int(len(self.low) + 1).bit_length() - 1
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_made": {}}
+
+    def direction(self, level: int) -> np.ndarray:
+        """Directions of a fitted level's nodes, or the one of a level below."""
+        if level not in self._made:
+            shape = (1 << level, self.dims) if level < self.depth else (self.dims,)
+            self._made[level] = np.random.default_rng([5, self.number, level]).standard_normal(shape).astype(np.float32)
+        return self._made[level]
+
+    def paths(self, x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, path) of every node at depth that a row of x reaches; a path's bits are the turns from the root."""
+        row, path = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for level in range(depth):
+            w = self.direction(level)
+            if level < self.depth:
+                at, node = np.einsum("ij,ij->i", x[row], w[path]), (1 << level) - 1 + path
+                left, right = at <= self.high[node], at >= self.low[node]
+            else:
+                leaf = path >> (level - self.depth)
+                at, half = (x @ w)[row] - (self.centre @ w)[leaf], _HALF * self.spread[leaf]
+                left, right = at <= half, at >= -half
+            row, path = np.r_[row[left], row[right]], np.r_[2 * path[left], 2 * path[right] + 1]
+        return row, path
+
+
+def fit_tree(number: int, sample: np.ndarray, depth: int, spill: float = SPILL) -> Tree:
+    """The tree's fitted levels; sample has unit rows."""
+    nodes, dims = (1 << depth) - 1, sample.shape[1]
+    tree = Tree(number, dims, np.zeros(nodes), np.zeros(nodes), np.zeros((1 << depth, dims), np.float32), np.zeros(1 << depth))
+    members = [np.arange(len(sample))]
+    for level in range(depth):
+        below = []
+        for k, ix in enumerate(members):
+            at, node = sample[ix] @ tree.direction(level)[k], (1 << level) - 1 + k
+            if len(at):
+                tree.low[node], tree.high[node] = np.quantile(at, [0.5 - spill, 0.5 + spill])
+            below += [ix[at <= tree.high[node]], ix[at >= tree.low[node]]]
+        members = below
+    for k, ix in enumerate(members):
+        if len(ix):
+            tree.centre[k] = sample[ix].mean(axis=0)
+            tree.spread[k] = np.sqrt(((sample[ix] - tree.centre[k]) ** 2).sum(axis=1).mean())
+    return tree
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision; scaled by their largest component first, so that no norm over- or underflows."""
+    v = v / np.maximum(np.abs(v).max(axis=1, initial=0), np.finfo(np.float64).tiny)[:, None]
+    return v / np.maximum(np.sqrt((v * v).sum(axis=1)), 1e-300)[:, None]
+
+
+def _units(e: pd.Series) -> np.ndarray:
+    """Unit rows of equally long vectors."""
+    return unit(np.array(e.tolist(), np.float64).reshape(len(e), -1))
+
+
+def _fitted(v: np.ndarray, dims: int) -> np.ndarray:
+    """v with dims columns, as trees take them: short vectors padded by zeros, long ones by their first components."""
+    return np.pad(v, ((0, 0), (0, max(0, dims - v.shape[1]))))[:, :dims].astype(np.float32)
+
+
+def fit(classes: DataFrame, n: int, depth: int, trees: int, spill: float, sample: int) -> list[Tree]:
+    """One task a tree; the driver gets splits, centres and spreads, and no vector."""
+    share = min(1.0, sample / n)
+    picked = classes.where(F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(1 << 40)) < int(share * (1 << 40)))
+    dims = int(picked.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(1).first().dims) if not picked.isEmpty() else 1
+
+    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        parts = [_fitted(_units(e), dims) for _, e in x.groupby("dims")["e"]]
+        t = fit_tree(int(key[0]), np.vstack(parts), depth, spill)
+        return pd.DataFrame([(t.number, *(a.tobytes() for a in (t.low, t.high, t.centre, t.spread)))])
+
+    every = picked.select("dims", "e", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    got = every.groupBy("tree").applyInPandas(run, "tree int, low binary, high binary, centre binary, spread binary").collect()
+    got = got or [(t, b"", b"", bytes(4 * dims), bytes(8)) for t in range(trees)]
+    return [Tree(t, dims, np.frombuffer(lo), np.frombuffer(hi), np.frombuffer(c, np.float32).reshape(-1, dims), np.frombuffer(s)) for t, lo, hi, c, s in sorted(map(tuple, got))]
+
+
+def place(batches: Iterator[pd.DataFrame], forest: list[Tree]) -> Iterator[pd.DataFrame]:
+    """The groups of leaves that each row reaches: its node at depth top of every tree."""
     for x in batches:
-        for s in range(0, len(x), 2000):
-            y = x.iloc[s : s + 2000].reset_index(drop=True)
-            v = _padded(y["e"], forest.dims)
-            v /= np.maximum(np.linalg.norm(v, axis=1), 1e-30)[:, None]
-            row, leaf = forest.leaves(v)
-            cuts = np.searchsorted(row, np.arange(1, len(y)))
-            every = [a.astype(np.int32) for a in np.split(leaf, cuts)]
-            out = y.iloc[row].reset_index(drop=True)
-            yield out.assign(leaf=leaf, leaves=[every[r] for r in row], e=[np.asarray(v, np.float64).tobytes() for v in out["e"]])
-
-
-def compare(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
-    """Per block: each vector's links whose first common leaf is this one, so that no link counts twice over leaves
-    and trees, and the root of its tree in a spanning forest of those links. No pairs leave the block."""
-    keys = ["label", "dims", "leaf", "i", "j"]
+        for (dims, top), g in x.groupby(["dims", "top"]):
+            for s in range(0, len(g), 4096):
+                y = g.iloc[s : s + 4096].reset_index(drop=True)
+                v = _fitted(_units(y["e"]), forest[0].dims)
+                for t in forest:
+                    row, path = t.paths(v, int(top))
+                    yield y.iloc[row].assign(tree=t.number, node=path).reset_index(drop=True)
+
+
+def compare(batches: Iterator[pd.DataFrame], forest: list[Tree], least: float) -> Iterator[pd.DataFrame]:
+    """Per group of leaves: how often each vector's links have their first common leaf here, first by tree and then by
+    path, so that no link counts twice; and the root of its tree in a spanning forest of those links. Pairs stay in
+    the block of products they are found in."""
+    keys = ["label", "dims", "tree", "node", "i", "j"]
     for x in whole_groups(batches, keys, 4096):
-        for (_, _, leaf, i, j), g in x.groupby(keys, sort=False):
+        for (_, _, tree, node, i, j), g in x.groupby(keys, sort=False):
             if len(g) < 2:
                 continue
-            v = np.frombuffer(b"".join(g["e"]), np.float64).reshape(len(g), -1)
-            v = v / np.sqrt((v * v).sum(axis=1))[:, None]
-            near = np.triu(v @ v.T >= least, 1)
-            if i != j:
-                side = g["c"].to_numpy() == i
-                near &= side[:, None] != side[None, :]
-            p, q = np.nonzero(near)
-            if not len(p):
-                continue
-            own = g["leaves"].tolist()
-            wide = np.full((len(g), max(map(len, own))), -1, np.int64)
-            for r, a in enumerate(own):
-                wide[r, : len(a)] = a
-            first = np.zeros(len(p), bool)
-            for s in range(0, len(p), 10_000):
-                a, b = wide[p[s : s + 10_000]], wide[q[s : s + 10_000]]
-                shared = ((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any(axis=2)
-                first[s : s + 10_000] = np.where(shared, a, np.iinfo(np.int64).max).min(axis=1) == leaf
-            p, q = p[first], q[first]
-            if not len(p):
-                continue
-            n = g["mult"].to_numpy()
-            add = np.bincount(p, n[q], len(g)) + np.bincount(q, n[p], len(g))
-            root = spanning(len(g), p, q)
+            top, depth = int(g["top"].iloc[0]), int(g["depth"].iloc[0])
+            v, n, cid = _units(g["e"]), g["mult"].to_numpy(), g["cid"].to_numpy()
+            side = g["c"].to_numpy() == i if i != j else None
+            w = _fitted(v, forest[0].dims)
+            row, path = forest[tree].paths(w, depth)
+            own = np.lexsort((row, path))
+            own = own[path[own] >> (depth - top) == node]
+            edges = np.flatnonzero(np.r_[True, np.diff(path[own]) != 0, True]) if len(own) else [0]
+            reach = None
+            add, root = np.zeros(len(g), np.int64), np.arange(len(g))
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                members, leaf = row[own[lo:hi]], path[own[lo]]
+                for s in range(0, len(members), BLOCK):
+                    a = members[s : s + BLOCK]
+                    for u in range(s, len(members), BLOCK):
+                        b = members[u : u + BLOCK]
+                        near = v[a] @ v[b].T >= least
+                        if s == u:
+                            near = np.triu(near, 1)
+                        if side is not None:
+                            near &= side[a][:, None] != side[b][None, :]
+                        if not near.any():
+                            continue
+                        if reach is None:
+                            reach = _reach(forest[: tree + 1], w, depth)
+                        near &= ~_met(reach, a, b, near, tree, leaf)
+                        add[a] += near @ n[b]
+                        add[b] += near.T @ n[a]
+                        p, q = np.nonzero(near)
+                        root = spanning(len(g), np.r_[np.arange(len(g)), a[p]], np.r_[root, b[q]])
             on = np.flatnonzero(add)
-            cid = g["cid"].to_numpy()
-            yield pd.DataFrame({"cid": cid[on], "add": add[on].astype(np.int64), "root": cid[root[on]]})
+            if len(on):
+                yield pd.DataFrame({"cid": cid[on], "add": add[on], "root": cid[root[on]]})
+
+
+def _reach(trees: list[Tree], w: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each row, tree, path, number of each distinct leaf) of all leaves that the rows reach, by row."""
+    found = [t.paths(w, depth) for t in trees]
+    row = np.concatenate([r for r, _ in found])
+    tree = np.repeat(np.arange(len(trees)), [len(r) for r, _ in found])
+    path = np.concatenate([p for _, p in found])
+    order = np.argsort(row, kind="stable")
+    tree, path = tree[order], path[order]
+    by = np.lexsort((path, tree))
+    number = np.empty(len(by), np.int64)
+    number[by] = np.cumsum(np.r_[0, (np.diff(path[by]) != 0) | (np.diff(tree[by]) != 0)])
+    return np.searchsorted(row[order], np.arange(len(w) + 1)), tree, path, number
+
+
+def _met(reach: tuple, a: np.ndarray, b: np.ndarray, near: np.ndarray, tree: int, leaf: int) -> np.ndarray:
+    """Which pairs of a and b with a link share a leaf before this one."""
+    start, trees, path, number = reach
+    sides = []
+    for rows, some in ((a, near.any(axis=1)), (b, near.any(axis=0))):
+        rows, at = rows[some], np.flatnonzero(some)
+        width = start[rows + 1] - start[rows]
+        ix = np.repeat(start[rows] - np.cumsum(width) + width, width) + np.arange(width.sum())
+        early = (trees[ix] < tree) | (path[ix] < leaf)
+        sides.append((np.repeat(at, width)[early], number[ix][early]))
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    held = []
+    for (at, leaves), size in zip(sides, near.shape, strict=True):
+        m = np.zeros((size, len(both)), np.float32)
+        k = np.searchsorted(both, leaves)
+        fits = (k < len(both)) & (both[np.minimum(k, len(both) - 1)] == leaves) if len(both) else np.zeros(len(k), bool)
+        m[at[fits], k[fits]] = 1
+        held.append(m)
+    return held[0] @ held[1].T > 0
+
+
+def _levels(n: F.Column, most: int, spill: float) -> F.Column:
+    """Levels after which a node holds about most of n vectors; each leaves half and the spill."""
+    return F.greatest(F.lit(0), F.ceil(F.log(n / F.lit(float(most))) / -math.log(0.5 + spill))).cast("int")
 
 
-def near_vectors(vectors: DataFrame, least: float = LEAST, trees: int = TREES, spill: float = SPILL, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = LEAST, trees: int = TREES, spill: float = SPILL, leaf: int = LEAF, sample: int = SAMPLE, group: int = GROUP) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding, label).
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link with
     nothing. Equal vectors of one label are one class that is compared once and counts as often as it occurs, so
-    copies are never paired. Every class is in at least one leaf of every tree; a leaf of one label with over CHUNK
-    classes is compared in blocks of two chunks. Vectors of different lengths never link. Repeated vec_ids are
-    rows of their own.
+    copies are never paired. Every class is in at least one leaf of every tree; a label's depth follows its number of
+    classes. A vector is sent once to each group of leaves it reaches, a subtree that one task holds, and meets
+    its leaves there; a group of over group classes is compared in blocks of two chunks. Vectors of different
+    lengths never link. Repeated vec_ids are rows of their own; ties can't occur, as links have no order. Other
+    columns of vectors are not read. An empty table gives an empty result.
     """
-    e = F.col("embedding").cast("array<double>")
+    kind = dict(vectors.dtypes)["embedding"]
+    e = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
     fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(e, lambda v: v != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.when(F.coalesce(fine, F.lit(False)), e).alias("e"))
     good = rows.where(F.col("e").isNotNull()).groupBy("label", "e").agg(F.count("*").alias("mult"), F.min("vec_id").alias("least"))
-    classes = cut(good.withColumn("cid", F.monotonically_increasing_id()))
+    classes = cut(good.withColumn("cid", F.monotonically_increasing_id()).withColumn("dims", F.size("e")))
     alone = rows.where(F.col("e").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    size = classes.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).first()
+    per = classes.groupBy("label", "dims").agg(F.count("*").alias("n"))
+    per = per.select("label", "dims", "n", _levels(F.col("n"), leaf, spill).alias("depth"), _levels(F.col("n"), group, spill).alias("top"))
+    size = per.agg(F.sum("n").alias("n"), F.max("depth").alias("depth")).first()
     if not size.n:
         return alone.withColumn("kept", F.lit(True))
-    picked = classes.orderBy(F.xxhash64("cid")).limit(sample).select("e").toPandas()["e"]
-    dims = int(picked.map(len).mode()[0])
-    depth = max(0, min(math.ceil(math.log2(size.n / max(1, size.labels) / leaf)), int(math.log2(max(1, len(picked) / 8)))))
-    fit = _padded(picked, dims)
-    forest = Forest(fit / np.maximum(np.linalg.norm(fit, axis=1), 1e-30)[:, None], depth, trees, spill)
+    forest = fit(classes, size.n, min(size.depth, int(math.log2(max(1, min(size.n, sample) / FITTED)))), trees, spill, sample)
     known = classes.sparkSession.sparkContext.broadcast(forest)
 
-    placed = classes.select("label", F.size("e").alias("dims"), "cid", "mult", "e")
-    placed = placed.mapInPandas(lambda it: place(it, known.value), "label long, dims int, cid long, mult long, e binary, leaf long, leaves array<int>")
-    full = placed.groupBy("label", "dims", "leaf").agg(F.count("*").alias("n"))
-    full = full.where("n > 1").select("label", "dims", "leaf", F.ceil(F.col("n") / CHUNK).cast("int").alias("k"))
-    blocks = placed.join(full, ["label", "dims", "leaf"]).withColumn("c", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
+    many = classes.join(per.where("n > 1").drop("n"), ["label", "dims"]).select("label", "dims", "depth", "top", "cid", "mult", "e")
+    fields = f"label long, dims int, depth int, top int, cid long, mult long, e {'array<float>' if kind == 'array<float>' else 'array<double>'}, tree int, node long"
+    placed = many.mapInPandas(lambda it: place(it, known.value), fields)
+    full = placed.groupBy("label", "dims", "tree", "node").agg(F.count("*").alias("n"))
+    full = full.where("n > 1").select("label", "dims", "tree", "node", F.ceil(F.col("n") / group).cast("int").alias("k"))
+    blocks = placed.join(full, ["label", "dims", "tree", "node"]).withColumn("c", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
     blocks = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     blocks = blocks.withColumn("i", F.least("c", "o")).withColumn("j", F.greatest("c", "o")).drop("o", "k")
-    key = ["label", "dims", "leaf", "i", "j"]
-    links = cut(blocks.repartition(*key).sortWithinPartitions(*key).mapInPandas(lambda it: compare(it, least), "cid long, add long, root long"))
+    key = ["label", "dims", "tree", "node", "i", "j"]
+    links = cut(blocks.repartition(*key).sortWithinPartitions(*key).mapInPandas(lambda it: compare(it, known.value, least), "cid long, add long, root long"))
     degree = links.groupBy("cid").agg(F.sum("add").alias("add"))
     nodes = connected_components(links.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "cid", "component": "top"})
     classes = classes.join(degree, "cid", "left").join(nodes, "cid", "left").withColumn("top", F.coalesce("top", "cid"))
