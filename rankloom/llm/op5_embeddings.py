@@ -15,25 +15,26 @@ from rankloom.llm.common import spanning, whole_groups
 from rankloom.operators.graph import connected_components
 from rankloom.plans.session import cut
 
-#: Trees, share of a node that goes both ways on either side of its split, and vectors of one label aimed at in a leaf.
-TREES, SPILL, LEAF = 8, 0.1, 256
+#: Trees, vectors of one label aimed at in a leaf, and half the width of the band that goes both ways: SPILL of a node's
+#: spread, and REACH of the distance of vectors that just link at least.
+TREES, LEAF, SPILL, REACH = 8, 256, 0.2533, 0.4
 #: Rows of the sample the upper splits are fitted on, of which a fitted leaf holds FITTED at least; vectors that one
 #: group of leaves holds and one task compares; and rows of one block of products.
 SAMPLE, FITTED, GROUP, BLOCK = 16_384, 32, 16_384, 1024
 LEAST = 0.93
-#: Half the spill's width in standard deviations of a normal projection.
-_HALF = 0.2533
 
 
 @dataclass
 class Tree:
     """A node splits at a random direction; a vector between low and high goes to both children, so that pairs close
-    to a split stay together in one of them. The upper levels are fitted on a bounded sample. Below them, any number
-    of levels follow: each splits at a direction of its own through the fitted leaf's centre, with a band of the
-    same share of the leaf's spread. So depth follows the input, and what is known of a tree stays bounded."""
+    to a split stay together in one of them. The split is where the band holds few, so that it goes round a dense
+    group; and a node so dense that most of its pairs link splits no more: all go left. The upper levels are fitted on a
+    bounded sample. Below them, any number of levels follow: each splits at a direction of its own through the fitted
+    leaf's centre, with a band of the same width. So depth follows the input, and what is known of a tree stays bounded."""
 
     number: int
     dims: int
+    apart: float  # distance of unit vectors that just link
     low: np.ndarray
     high: np.ndarray
     centre: np.ndarray
@@ -64,29 +65,40 @@ class Tree:
                 left, right = at <= self.high[node], at >= self.low[node]
             else:
                 leaf = path >> (level - self.depth)
-                at, half = (x @ w)[row] - (self.centre @ w)[leaf], _HALF * self.spread[leaf]
-                left, right = at <= half, at >= -half
+                at, half = (x @ w)[row] - (self.centre @ w)[leaf], np.maximum(REACH * self.apart, SPILL * self.spread)[leaf]
+                dense = (self.spread <= self.apart / math.sqrt(2))[leaf]
+                left, right = dense | (at <= half), ~dense & (at >= -half)
             row, path = np.r_[row[left], row[right]], np.r_[2 * path[left], 2 * path[right] + 1]
         return row, path
 
 
-def fit_tree(number: int, sample: np.ndarray, depth: int, spill: float = SPILL) -> Tree:
+_SPLITS = np.linspace(0.3, 0.7, 9)
+
+
+def _spread(x: np.ndarray) -> float:
+    return float(np.sqrt(((x - x.mean(axis=0)) ** 2).sum(axis=1).mean())) if len(x) else 0.0
+
+
+def fit_tree(number: int, sample: np.ndarray, depth: int, least: float) -> Tree:
     """The tree's fitted levels; sample has unit rows."""
-    nodes, dims = (1 << depth) - 1, sample.shape[1]
-    tree = Tree(number, dims, np.zeros(nodes), np.zeros(nodes), np.zeros((1 << depth, dims), np.float32), np.zeros(1 << depth))
+    nodes, dims, apart = (1 << depth) - 1, sample.shape[1], math.sqrt(max(0.0, 2 - 2 * least))
+    tree = Tree(number, dims, apart, np.full(nodes, np.inf), np.full(nodes, np.inf), np.zeros((1 << depth, dims), np.float32), np.zeros(1 << depth))
     members = [np.arange(len(sample))]
     for level in range(depth):
         below = []
         for k, ix in enumerate(members):
-            at, node = sample[ix] @ tree.direction(level)[k], (1 << level) - 1 + k
-            if len(at):
-                tree.low[node], tree.high[node] = np.quantile(at, [0.5 - spill, 0.5 + spill])
+            at, node, spread = sample[ix] @ tree.direction(level)[k], (1 << level) - 1 + k, _spread(sample[ix])
+            if spread > apart / math.sqrt(2):
+                half, own = max(REACH * apart, SPILL * spread), np.sort(at)
+                split = np.quantile(own, _SPLITS)
+                both = (np.searchsorted(own, split + half, "right") - np.searchsorted(own, split - half)) / len(own)
+                c = split[np.argmin(both + np.abs(_SPLITS - 0.5) / 3)]
+                tree.low[node], tree.high[node] = c - half, c + half
             below += [ix[at <= tree.high[node]], ix[at >= tree.low[node]]]
         members = below
     for k, ix in enumerate(members):
         if len(ix):
-            tree.centre[k] = sample[ix].mean(axis=0)
-            tree.spread[k] = np.sqrt(((sample[ix] - tree.centre[k]) ** 2).sum(axis=1).mean())
+            tree.centre[k], tree.spread[k] = sample[ix].mean(axis=0), _spread(sample[ix])
     return tree
 
 
@@ -106,7 +118,7 @@ def _fitted(v: np.ndarray, dims: int) -> np.ndarray:
     return np.pad(v, ((0, 0), (0, max(0, dims - v.shape[1]))))[:, :dims].astype(np.float32)
 
 
-def fit(classes: DataFrame, n: int, depth: int, trees: int, spill: float, sample: int) -> list[Tree]:
+def fit(classes: DataFrame, n: int, depth: int, trees: int, least: float, sample: int) -> list[Tree]:
     """One task a tree; the driver gets splits, centres and spreads, and no vector."""
     share = min(1.0, sample / n)
     picked = classes.where(F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(1 << 40)) < int(share * (1 << 40)))
@@ -114,13 +126,14 @@ def fit(classes: DataFrame, n: int, depth: int, trees: int, spill: float, sample
 
     def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         parts = [_fitted(_units(e), dims) for _, e in x.groupby("dims")["e"]]
-        t = fit_tree(int(key[0]), np.vstack(parts), depth, spill)
+        t = fit_tree(int(key[0]), np.vstack(parts), depth, least)
         return pd.DataFrame([(t.number, *(a.tobytes() for a in (t.low, t.high, t.centre, t.spread)))])
 
     every = picked.select("dims", "e", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     got = every.groupBy("tree").applyInPandas(run, "tree int, low binary, high binary, centre binary, spread binary").collect()
     got = got or [(t, b"", b"", bytes(4 * dims), bytes(8)) for t in range(trees)]
-    return [Tree(t, dims, np.frombuffer(lo), np.frombuffer(hi), np.frombuffer(c, np.float32).reshape(-1, dims), np.frombuffer(s)) for t, lo, hi, c, s in sorted(map(tuple, got))]
+    apart = math.sqrt(max(0.0, 2 - 2 * least))
+    return [Tree(t, dims, apart, np.frombuffer(lo), np.frombuffer(hi), np.frombuffer(c, np.float32).reshape(-1, dims), np.frombuffer(s)) for t, lo, hi, c, s in sorted(map(tuple, got))]
 
 
 def place(batches: Iterator[pd.DataFrame], forest: list[Tree]) -> Iterator[pd.DataFrame]:
@@ -214,12 +227,12 @@ def _met(reach: tuple, a: np.ndarray, b: np.ndarray, near: np.ndarray, tree: int
     return held[0] @ held[1].T > 0
 
 
-def _levels(n: F.Column, most: int, spill: float) -> F.Column:
-    """Levels after which a node holds about most of n vectors; each leaves half and the spill."""
-    return F.greatest(F.lit(0), F.ceil(F.log(n / F.lit(float(most))) / -math.log(0.5 + spill))).cast("int")
+def _levels(n: F.Column, most: int) -> F.Column:
+    """Levels after which a node holds about most of n vectors; each leaves half and a tenth, the band's."""
+    return F.greatest(F.lit(0), F.ceil(F.log(n / F.lit(float(most))) / -math.log(0.6))).cast("int")
 
 
-def near_vectors(vectors: DataFrame, least: float = LEAST, trees: int = TREES, spill: float = SPILL, leaf: int = LEAF, sample: int = SAMPLE, group: int = GROUP) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = LEAST, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, group: int = GROUP) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding, label).
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link with
@@ -238,11 +251,11 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, trees: int = TREES, s
     classes = cut(good.withColumn("cid", F.monotonically_increasing_id()).withColumn("dims", F.size("e")))
     alone = rows.where(F.col("e").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     per = classes.groupBy("label", "dims").agg(F.count("*").alias("n"))
-    per = per.select("label", "dims", "n", _levels(F.col("n"), leaf, spill).alias("depth"), _levels(F.col("n"), group, spill).alias("top"))
+    per = per.select("label", "dims", "n", _levels(F.col("n"), leaf).alias("depth"), _levels(F.col("n"), group).alias("top"))
     size = per.agg(F.sum("n").alias("n"), F.max("depth").alias("depth")).first()
     if not size.n:
         return alone.withColumn("kept", F.lit(True))
-    forest = fit(classes, size.n, min(size.depth, int(math.log2(max(1, min(size.n, sample) / FITTED)))), trees, spill, sample)
+    forest = fit(classes, size.n, min(size.depth, int(math.log2(max(1, min(size.n, sample) / FITTED)))), trees, least, sample)
     known = classes.sparkSession.sparkContext.broadcast(forest)
 
     many = classes.join(per.where("n > 1").drop("n"), ["label", "dims"]).select("label", "dims", "depth", "top", "cid", "mult", "e")
