@@ -7,13 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import documents, word_count
+from rankloom.llm.common import documents
+from rankloom.llm.op4_records import encoder
+from rankloom.plans.session import cut
 
-#: Permitted sequence lengths, what opening a bin costs besides its length, and rows packed together.
+#: Permitted sequence lengths, what opening a bin costs besides its length, and pieces packed together.
 CAPACITIES, OVERHEAD, GROUP = (512, 1024, 2048, 4096), 16, 8192
+_BATCH_CHARS = 3 << 20
 
 
 def cheapest(size: int, left: np.ndarray, capacities: tuple[int, ...], overhead: int) -> int:
@@ -23,15 +26,10 @@ def cheapest(size: int, left: np.ndarray, capacities: tuple[int, ...], overhead:
     for c in capacities:
         if c < size:
             continue
-        room, fill = c - size, size
-        while room > 0:
-            n = _longest(left, room)
-            if not n:
-                break
-            k = max(1, min(int(left[n]), room // n))
-            fill, room = fill + k * n, room - k * n
-            if k == left[n] and room >= n:
-                room = min(room, n - 1) if n > 1 else 0
+        room, fill, longest = c - size, size, c
+        while n := _longest(left, min(room, longest)):
+            k = min(int(left[n]), room // n)
+            fill, room, longest = fill + k * n, room - k * n, n - 1
         cost = (c + overhead) / fill
         if best is None or cost < best:
             best, at = cost, c
@@ -40,9 +38,8 @@ def cheapest(size: int, left: np.ndarray, capacities: tuple[int, ...], overhead:
 
 def _longest(left: np.ndarray, room: int) -> int:
     """The longest length up to room of which some are left, 0 if none."""
-    part = left[room:0:-1]
-    i = int(part.argmax()) if not part.any() else int((part > 0).argmax())
-    return room - i if len(part) and part[i] > 0 else 0
+    some = np.flatnonzero(left[1 : room + 1])
+    return int(some[-1]) + 1 if len(some) else 0
 
 
 def pack(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[np.ndarray, np.ndarray]:
@@ -69,34 +66,75 @@ def pack(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead:
     return bins, caps[np.searchsorted(caps, fill)] if fill else np.zeros(0, np.int64)
 
 
-def best_fit(docs: DataFrame, tokens: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, group: int = GROUP) -> DataFrame:
-    """doc_id, piece, start, n_tokens, bin_id, capacity and fill: one row per piece of every row of docs.
-
-    tokens is a document's length, its words unless given. Documents over the largest capacity are cut into pieces
-    of it and a rest; nothing is dropped. Documents without tokens have one row of length 0 and no bin. Pieces are
-    hashed into groups of about group rows, and each is packed by itself: memory is bounded by the group, and the
-    waste from closing a group's last bins is below one in some thousands. Repeated rows are pieces of their own;
-    the hash includes the partition they are read from, so a much repeated row is dealt over groups.
+def _encoded(docs: DataFrame, path: str, top: int) -> DataFrame:
+    """doc_id, th (hash of the text), piece, start, n_tokens and ids (their bytes) of every piece of docs' whole texts."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder(path)
+        for x in it:
+            for _, y in x.groupby(x["text"].str.len().cumsum() // _BATCH_CHARS, sort=False):
+                rows = []
+                for i, th, blob in zip(y["doc_id"], y["th"], encode(y["text"].tolist()), strict=True):
+                    ids = np.frombuffer(blob, encode.dtype)
+                    rows += [(i, th, k, k * top, len(p), p.astype("<u4").tobytes()) for k, p in enumerate(np.split(ids, range(top, len(ids), top)))]
+                out = pd.DataFrame(rows, columns=["doc_id", "th", "piece", "start", "n_tokens", "ids"])
+                yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    return rows.mapInPandas(run, "doc_id long, th long, piece int, start long, n_tokens long, ids binary")
+
+
+def best_fit(docs: DataFrame, path: str | None = None, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, group: int = GROUP) -> DataFrame:
+    """doc_id, piece, start, n_tokens, bin_id, capacity, fill, at and ids: one row per piece of every row of docs.
+
+    A document's tokens are those of its whole text under a public vocabulary and an end mark, so null and empty texts
+    are one token. Documents over the largest capacity are cut into pieces of it and a rest; nothing is dropped. at is
+    a piece's place in its bin and ids its tokens, so a bin's pieces by at are the sequence (see sequences). Pieces
+    are hashed into groups of about group, counted in pieces, and each is packed by itself: memory is bounded by the
+    group, and the waste from closing a group's last bins is below one in some thousands. Within a group the order
+    is by length, id, piece and text, so ties are settled and reruns agree. Where rows repeat, they are pieces of their
+    own and dealt over the groups by the part of the encoded table they are in; the others' bins don't depend on
+    parts. An empty table gives an empty result; other columns of docs are not read.
     """
-    top = max(capacities)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (word_count(F.col("text")) if tokens is None else tokens).alias("n"))
-    rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / top), F.lit(1)).cast("int") - 1)))
-    rows = rows.select("doc_id", "piece", (F.col("piece").cast("long") * top).alias("start"), F.least(F.col("n") - F.col("piece").cast("long") * top, F.lit(top)).cast("long").alias("n_tokens"))
-    groups = max(1, -(-docs.count() // group))
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.spark_partition_id()), F.lit(groups)))
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    rows = cut(_encoded(docs, path, max(capacities)).withColumn("part", F.spark_partition_id()))
+    groups = max(1, -(-rows.count() // group))
+    twice = rows.where("piece = 0").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1")
+    twice = cut(twice.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")))
+    if not twice.isEmpty():
+        rows = rows.join(twice, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+        rows = rows.withColumn("part", F.when(F.col("_th").isNotNull(), F.col("part"))).drop("_id", "_th")
+    else:
+        rows = rows.withColumn("part", F.lit(None).cast("int"))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "th", "piece", "part"), F.lit(groups))).drop("part")
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        some = x["n_tokens"].to_numpy() > 0
-        bins, caps = pack(x["n_tokens"].to_numpy()[some], capacities, overhead)
-        base = int(x["g"].iloc[0]) << 24
-        out = {"bin_id": base + bins, "capacity": caps[bins], "fill": np.bincount(bins, x["n_tokens"].to_numpy()[some]).astype(np.int64)[bins]}
-        for k, v in out.items():
-            x[k] = pd.Series(v, index=np.flatnonzero(some), dtype="Int64").reindex(x.index)
-        return x.drop(columns="g")
+        x = x.sort_values(["n_tokens", "doc_id", "piece", "th"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        n = x["n_tokens"].to_numpy()
+        bins, caps = pack(n, capacities, overhead)
+        order = np.argsort(bins, kind="stable")
+        before = np.cumsum(n[order]) - n[order]
+        at = np.empty(len(n), np.int64)
+        at[order] = before - np.maximum.accumulate(np.where(np.r_[True, np.diff(bins[order]) != 0], before, 0))
+        x = x.assign(bin_id=(int(x["g"].iloc[0]) << 24) + bins, capacity=caps[bins], fill=np.bincount(bins, n).astype(np.int64)[bins], at=at)
+        x["ids"] = [np.frombuffer(b, "<u4").astype(np.int32) for b in x["ids"]]
+        return x[["doc_id", "piece", "start", "n_tokens", "bin_id", "capacity", "fill", "at", "ids"]]
+
+    return rows.groupBy("g").applyInPandas(run, "doc_id long, piece int, start long, n_tokens long, bin_id long, capacity long, fill long, at long, ids array<int>")
+
 
-    return rows.groupBy("g").applyInPandas(run, "doc_id long, piece int, start long, n_tokens long, bin_id long, capacity long, fill long")
+def sequences(packed: DataFrame, pad: int = 0) -> DataFrame:
+    """bin_id, capacity, doc_ids and ids of every bin of best_fit's result: the pieces' tokens one after the other,
+    filled up with pad to the capacity. A bin holds no more than its capacity, so no group is large."""
+    rows = packed.groupBy("bin_id", "capacity").agg(F.array_sort(F.collect_list(F.struct("at", "doc_id", "ids"))).alias("x"))
+    ids = F.flatten(F.transform("x", lambda p: p["ids"]))
+    ids = F.concat(ids, F.array_repeat(F.lit(pad), (F.col("capacity") - F.size(ids)).cast("int")))
+    return rows.select("bin_id", "capacity", F.transform("x", lambda p: p["doc_id"]).alias("doc_ids"), ids.alias("ids"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit(documents(spark, sf_dir))
+    return best_fit(documents(spark, sf_dir)).drop("ids")
