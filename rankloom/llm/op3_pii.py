@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: may give away before it is generalised or removed.
 REACH, SUPPORT, ALPHA, REMOVE = 8, 3, 1.2, 1.05
 _TERM = re.compile(r"[^\W\d_]{3,}")
-_REACH_CHARS, _BUCKETS = 400, 1 << 18
+_BUCKETS = 1 << 18
 
 
 def luhn(digits: str) -> bool:
@@ -70,24 +71,23 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def outside(t: str, spans: list[tuple[int, int, int]], lo: int = 0, hi: int | None = None) -> Iterator[re.Match]:
-    """The words of t from lo to hi that touch none of the sorted spans."""
+def outside(t: str, spans: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """The words of t that touch none of the sorted spans; one sweep over both."""
     k, end = 0, 0
-    for m in _TERM.finditer(t, lo, len(t) if hi is None else hi):
+    for m in _TERM.finditer(t):
         while k < len(spans) and spans[k][0] < m.end():
             end, k = max(end, spans[k][2]), k + 1
         if m.start() >= end:
             yield m
 
 
-def entities(t: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int]]:
-    """(entity, context hash) of each span, by the words within REACH of it and in no span."""
-    out = set()
+def entities(t: str, spans: list[tuple[int, int, int]], near: list[re.Match]) -> list[tuple[str, int]]:
+    """(entity, context hash) of each span, by the REACH words before and after it; near: the words in no span."""
+    out, low = set(), [m[0].lower() for m in near]
+    starts, ends = [m.start() for m in near], [m.end() for m in near]
     for a, k, b in spans:
-        lo, hi = max(0, a - _REACH_CHARS), min(len(t), b + _REACH_CHARS)
-        near = [m for m in outside(t, spans, lo, a) if m.start() > lo or lo == 0][-REACH:]
-        near += [m for m in outside(t, spans, b, hi) if m.end() < hi or hi == len(t)][:REACH]
-        own = zlib.crc32(" ".join(m[0].lower() for m in near).encode("utf-8", "surrogatepass"))
+        i, j = bisect_right(ends, a), bisect_left(starts, b)
+        own = zlib.crc32(" ".join(low[max(0, i - REACH) : i] + low[j : j + REACH]).encode("utf-8", "surrogatepass"))
         out.add((hashlib.blake2b(f"{k}:{t[a:b].lower()}".encode(), digest_size=8).hexdigest(), own))
     return sorted(out)
 
@@ -106,8 +106,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 spans = base_spans(t)
                 n = Counter(k for _, k, _ in spans)
                 text = joined(spans)
-                own = sorted({m[0].lower() for m in outside(t, spans)}) if spans else []
-                rows.append((n[0], n[1], n[2], n[3], hashlib.sha256(text.encode()).hexdigest(), text, [{"ent": e, "own": o} for e, o in entities(t, spans)], own))
+                near = list(outside(t, spans)) if spans else []
+                rows.append((n[0], n[1], n[2], n[3], hashlib.sha256(text.encode()).hexdigest(), text, [{"ent": e, "own": o} for e, o in entities(t, spans, near)], sorted({m[0].lower() for m in near})))
             out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "ents", "words"])
             yield out.assign(doc_id=x["doc_id"].astype("Int64"), th=x["th"])
 
@@ -210,8 +210,10 @@ def revealing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, alpha: f
 
 def find(docs: DataFrame, **params) -> DataFrame:
     """doc_id, th (hash of the text), base counts, base_sha256, spans (all, joined by start and kind) and terms (the
-    revealing ones, an array of structs, wherever they stand) of every row of docs; null texts count as empty,
-    repeated rows all stay."""
+    revealing ones, an array of structs, wherever they stand) of every row of docs. Null texts count as empty, an empty
+    table gives an empty result, repeated rows all stay and get the same spans. Spans of one start are in the order
+    of kinds; terms at a threshold count as above it. Texts of any length are read whole, in time that grows with
+    their length and spans. Other columns of docs are not read."""
     rows = cut(scan(docs))
     risky = revealing(docs, rows, **params)
     none = F.array().cast("array<struct<s:int,e:int,removed:boolean>>")
