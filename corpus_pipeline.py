@@ -11,22 +11,28 @@ from rankloom.plans.session import shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs that the quality rules keep. Null and empty texts fail them; repeated rows are judged alike."""
     return op10_quality.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies: that of the smallest doc_id."""
     return op6_simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows of docs, with personal data replaced in their texts."""
     return op3_pii.sanitise(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs as often as the target weights of the sources take them."""
     return op1_mix.mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of docs' texts in bins: one row per piece with its bin, its place there and its ids, from which
+    op8_packing.sequences makes the sequences."""
     return op8_packing.best_fit(docs)
 
 
@@ -42,7 +48,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again as the next one's docs."""
+    """All stages over documents, each written to the shared folder and read again as the next one's docs. What a
+    stage does with nulls, repeated rows, ties and empty tables is stated at its operator; extra columns pass through."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
