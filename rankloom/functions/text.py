@@ -31,9 +31,18 @@ def punctuation_key(t: Column) -> Column:
     return compact(F.regexp_replace(fold(t), r"[\p{P}\p{S}]", " "))
 
 
-def accent_key(t: Column) -> Column:
-    """punctuation_key without the accents of the Latin alphabets at hand."""
-    return F.translate(punctuation_key(t), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿđ", "aaaaaaceeeeiiiinooooouuuuyyd")
+@F.pandas_udf(T.StringType())
+def accent_key(t: pd.Series) -> pd.Series:
+    """The punctuation key without any accent: đ as d, decomposed, combining marks dropped."""
+
+    def key(x: str | None) -> str | None:
+        if x is None:
+            return None
+        x = x.lower().replace("ß", "ss").replace("đ", "d")
+        x = unicodedata.normalize("NFD", "".join(" " if unicodedata.category(c)[0] in "PS" else c for c in x))
+        return " ".join("".join(c for c in x if unicodedata.category(c) != "Mn").split())
+
+    return t.map(key)
 
 
 def word_count(t: Column) -> Column:
@@ -59,11 +68,18 @@ def nfkc_key(t: pd.Series) -> pd.Series:
     return t.map(key)
 
 
+@F.pandas_udf(T.BooleanType())
+def not_nfc(t: pd.Series) -> pd.Series:
+    return t.map(lambda x: None if x is None else not unicodedata.is_normalized("NFC", x))
+
+
 def flags(t: Column) -> dict[str, Column]:
     """Suspicious-character flags."""
     return {
-        "replacement": t.contains("�"),
-        "control": t.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"),
+        "replacement": t.contains("\ufffd"),
+        "nul": t.contains("\0"),
+        "control": t.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"),
+        "not_nfc": not_nfc(t),
         "edge_space": t.rlike(r"^\s|\s$"),
         "double_space": t.rlike(r"\s\s"),
         "html_like": t.rlike(r"<[^>]{1,120}>"),

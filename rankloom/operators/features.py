@@ -85,6 +85,16 @@ def hard_negatives(ranks: DataFrame, gold: DataFrame, per: int = 3) -> DataFrame
     return rows.where(~F.col("neg") | (F.col("nth") <= per)).select("qid", "doc_id", F.when(F.col("neg"), "negative").otherwise("gold").alias("reason"))
 
 
+def mirrored_pairs(rows: DataFrame, most: int = 48) -> DataFrame:
+    """rows (qid, doc_id, rank, score, positive): (qid, first, second, label, difference) of a query's first most pairs of a
+    positive and a negative, in the order of their ranks, each both ways. A query's rows are a short list."""
+    side = lambda p, n: rows.where(F.col("positive") == p).select("qid", F.col("doc_id").alias(f"{n}d"), F.col("rank").alias(f"{n}r"), F.col("score").alias(f"{n}s"))
+    x = side(True, "p").join(side(False, "n"), "qid").withColumn("nth", F.row_number().over(W.partitionBy("qid").orderBy("pr", "nr"))).where(F.col("nth") <= most)
+    x = x.select("qid", "pd", "nd", (F.col("ps") - F.col("ns")).alias("v"))
+    way = lambda a, b, y, v: x.select("qid", F.col(a).alias("first"), F.col(b).alias("second"), F.lit(y).cast("int").alias("label"), v.alias("difference"))
+    return way("pd", "nd", 1, F.col("v")).unionByName(way("nd", "pd", 0, -F.col("v")))
+
+
 def slot_swaps(ranks: DataFrame, gold: DataFrame, threshold: float) -> DataFrame:
     """(qid, old, new, swapped, rescued): slot 5 gives way to slot 6 if it leads by less than threshold."""
     at = lambda c, i: F.max(F.when(F.col("rank") == i, F.col(c)))

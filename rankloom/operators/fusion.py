@@ -33,10 +33,11 @@ def gap_to_top(x: Column, over: WindowSpec | None = None, eps: float = 1e-8) ->
     return (F.max(x).over(over) - x) / F.when(s < eps, 1.0).otherwise(s)
 
 
-def rrf(lists: DataFrame, k: int = 60, top: int = 100) -> DataFrame:
+def rrf(lists: DataFrame, k: int = 60, top: int | None = 100) -> DataFrame:
     """Reciprocal-rank fusion of (source, qid, doc_id, rank)."""
     rows = lists.groupBy("qid", "doc_id").agg(F.round(F.sum(1 / (F.lit(float(k)) + F.col("rank"))), 9).alias("rrf"))
-    return ranked(rows, "rrf").where(F.col("rank") <= top)
+    rows = ranked(rows, "rrf")
+    return rows if top is None else rows.where(F.col("rank") <= top)
 
 
 def candidate_features(lists: DataFrame, sources: list[str], depth: int = 50) -> DataFrame:

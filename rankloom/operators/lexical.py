@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,32 +25,62 @@ def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
     """(qid, doc_id, rank, score): Okapi BM25 with k1 1.5, b 0.75; a negative idf becomes 0.25 times the mean idf over
     the vocabulary; one contribution per occurrence of a term in the query. Documents without a query term are not
-    listed. The terms of the queries (a stated query set) meet the documents' tokens before these are counted, so
-    only postings of query terms are shuffled; document frequencies, needed for the mean idf, are one aggregate over
-    the vocabulary, written once."""
-    rows = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    size = rows.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl")).first()
-    df = rows.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = cut(df.withColumn("idf", F.log(F.lit(float(size.n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    listed. Texts are tokenised once, into postings that are counted where they are read and written once; document
+    frequencies are one aggregate over them. The terms of the queries (a stated query set) then meet the postings, by
+    broadcast up to a checked count, and each query and document has one partial sum per task."""
+    post = cut(postings(docs))
+    size = post.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.sum("dl")).first()[0] or 0
+    n = docs.count()
+    raw = post.groupBy("term").agg(F.count("*").alias("df"))
+    raw = cut(raw.withColumn("idf", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     mean = raw.agg(F.avg("idf")).first()[0]
     q = queries.select("qid", F.explode(tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qf"))
-    wanted = raw.join(q.select("term").distinct(), "term", "left_semi")
-    wanted = wanted.select("term", F.when(F.col("idf") < 0, F.lit(mean) * EPSILON).otherwise(F.col("idf")).alias("idf"))
-    hits = rows.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted, "term")
-    hits = hits.groupBy("doc_id", "dl", "term", "idf").agg(F.count("*").alias("tf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(size.avgdl)))
-    scored = hits.select("term", "doc_id", part.alias("part")).join(q, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("qf")), 6).alias("score"))
+    idf = F.when(F.col("idf") < 0, F.lit(mean) * EPSILON).otherwise(F.col("idf"))
+    q = cut(q.join(raw, "term").select("qid", "term", (F.col("qf") * idf).alias("weight")))
+    hits = post.join(F.broadcast(q) if q.count() <= 200_000 else q, "term")
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(size / max(1, n))))
+    scored = hits.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     w = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top).select("qid", "doc_id", "rank", "score")
 
 
-def char_tfidf(rows: DataFrame, key: str, text: str, n: int = 3, min_df: int = 2) -> DataFrame:
-    """(key, gram, weight): character n-grams inside padded words, sublinear tf, smoothed idf, unit norm."""
+def holding(docs: DataFrame, queries: DataFrame, block: int = 100_000) -> DataFrame:
+    """(qid, doc_id) where the document's text contains the whole of the query's question. queries is a stated query set,
+    taken in blocks by hash; one automaton of a block's questions goes over every text once, whatever their number."""
+    k = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(k):
+        asked = [(r.question, r.qid) for r in queries.where(F.pmod(F.xxhash64("qid"), F.lit(k)) == b).select("qid", "question").collect() if r.question]
+        found = docs.mapInPandas(partial(_hold, asked=asked), "qid long, doc_id long")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _hold(it: Iterator[pd.DataFrame], asked: list[tuple[str, int]]) -> Iterator[pd.DataFrame]:
+    import ahocorasick
+
+    ids: dict[str, list[int]] = {}
+    for q, i in asked:
+        ids.setdefault(q, []).append(i)
+    machine = ahocorasick.Automaton()
+    for q in ids:
+        machine.add_word(q, q)
+    machine.make_automaton()
+    for x in it:
+        hits = [(i, d) for d, t in zip(x["doc_id"], x["text"], strict=True) if t and ids for q in {q for _, q in machine.iter(t)} for i in ids[q]]
+        yield pd.DataFrame(hits, columns=["qid", "doc_id"])
+
+
+def char_tfidf(rows: DataFrame, key: str, text: str, sizes: tuple[int, ...] = (3, 4, 5), min_df: int = 2, most: int = 180_000) -> DataFrame:
+    """(key, gram, weight): character n-grams inside words padded by spaces, those of min_df rows at least and of them the
+    most frequent (the cap is the vocabulary's stated size), sublinear tf, smoothed idf, unit norm."""
     total = rows.count()
-    words = rows.select(key, F.explode(F.split(fold(F.col(text)), r"\s+")).alias("w")).where("w <> ''").withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
-    grams = words.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("w") - (n - 1))), lambda i: F.substr("w", i, F.lit(n)))).alias("gram"))
-    tf = grams.groupBy(key, "gram").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    words = rows.select(key, F.explode(F.split(fold(F.col(text)), r"\s+")).alias("w")).where("w <> ''").select(key, F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
+    of = lambda n: F.when(F.char_length("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("w") - (n - 1))), lambda i: F.substr("w", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    grams = words.select(key, F.explode(F.concat(*map(of, sizes))).alias("gram"))
+    tf = cut(grams.groupBy(key, "gram").agg(F.count("*").alias("tf")))
+    df = tf.groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("c")).where(F.col("df") >= min_df)
+    df = df.orderBy(F.desc("c"), "gram").limit(most).select("gram", "df")
     w = tf.join(df, "gram").withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1))
     return w.select(key, "gram", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))).alias("weight"))
 

@@ -68,3 +68,27 @@ def paired_gain(a: DataFrame, b: DataFrame, promote: float = 0.0) -> DataFrame:
     d = a.select("qid", F.col("recall").alias("ra")).join(b.select("qid", F.col("recall").alias("rb")), "qid").withColumn("d", F.col("rb") - F.col("ra"))
     out = d.agg(F.avg("d").alias("delta"), F.count_if(F.expr("d > 0")).alias("wins"), F.count_if(F.expr("d < 0")).alias("losses"), F.count_if(F.expr("d = 0")).alias("ties"))
     return out.withColumn("decision", F.when((F.col("delta") > promote) & (F.col("wins") > F.col("losses")), "PROMOTE").otherwise("KILL"))
+
+
+def marginal(lists: DataFrame, gold: DataFrame, base: list[str], challenger: str, depth: int) -> DataFrame:
+    """One row: recall of the base sources' first depth, with the challenger's, the difference, and the queries, wholly
+    covered queries and gold documents that the challenger rescues."""
+    near = lists.where((F.col("rank") <= depth) & F.col("source").isin(*base, challenger))
+    found = near.groupBy("qid", "doc_id").agg(F.max(F.col("source").isin(*base).cast("int")).alias("b"))
+    per = gold.distinct().join(found, ["qid", "doc_id"], "left").groupBy("qid").agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("hb"), F.count("b").alias("he"))
+    r = per.agg(F.avg(F.col("hb") / F.col("n")).alias("base_recall"), F.avg(F.col("he") / F.col("n")).alias("expanded_recall"), F.count_if(F.col("he") > F.col("hb")).alias("query_rescues"), F.count_if((F.col("hb") < F.col("n")) & (F.col("he") == F.col("n"))).alias("full_rescues"), F.sum(F.col("he") - F.col("hb")).alias("gold_rescues"))
+    return r.select("base_recall", "expanded_recall", (F.col("expanded_recall") - F.col("base_recall")).alias("delta"), "query_rescues", "full_rescues", "gold_rescues")
+
+
+def complementarity(lists: DataFrame, gold: DataFrame, depth: int) -> DataFrame:
+    """For each pair of sources: recall and full coverage of their union, queries and gold documents that only one of
+    them has, and the mean Jaccard of their first depth. A candidate's sources are one set, so no list meets another."""
+    g = gold.distinct().withColumn("gold", F.lit(1))
+    names = sorted(r.source for r in lists.select("source").distinct().collect())  # sources are few
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for i, a in enumerate(names) for b in names[i + 1 :]))).alias("x")
+    held = lists.where(F.col("rank") <= depth).groupBy("qid", "doc_id").agg(F.collect_set("source").alias("s")).join(g, ["qid", "doc_id"], "left")
+    rows = held.select("qid", "s", F.col("gold").isNotNull().alias("gold"), pairs).select("qid", "gold", "x.a", "x.b", F.array_contains("s", F.col("x.a")).alias("ia"), F.array_contains("s", F.col("x.b")).alias("ib"))
+    ia, ib, hit = F.col("ia"), F.col("ib"), F.col("gold")
+    per = rows.groupBy("a", "b", "qid").agg((F.count_if(ia & ib) / F.count_if(ia | ib)).alias("j"), F.count_if(hit & ia & ~ib).alias("ga"), F.count_if(hit & ib & ~ia).alias("gb"), F.count_if(hit & (ia | ib)).alias("gu"))
+    per = per.join(g.groupBy("qid").agg(F.count("*").alias("n")), "qid")
+    return per.groupBy("a", "b").agg(F.avg(F.col("gu") / F.col("n")).alias("union_recall"), F.avg((F.col("gu") == F.col("n")).cast("int")).alias("union_full"), F.count_if(F.col("ga") > 0).alias("a_rescues"), F.count_if(F.col("gb") > 0).alias("b_rescues"), F.sum("ga").alias("a_unique_gold"), F.sum("gb").alias("b_unique_gold"), F.avg("j").alias("jaccard"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.operators.segment import window_starts
+from rankloom.operators.segment import best_windows
 
 
 def logistic_oof(rows: DataFrame, features: list[str], c: float = 0.15, trees: bool = False, only: int | None = None) -> DataFrame:
@@ -62,10 +62,11 @@ def coverage_score(q: Column, passage: Column) -> Column:
 
 
 def best_passage_score(pairs: DataFrame, width: int, stride: int, scorer=coverage_score) -> DataFrame:
-    """(qid, doc_id, score): the best of a pair scorer over the windows of d; scorer maps two array columns to a score,
-    natively or by a pandas function. Windows stay within the row until they are scored."""
-    rows = pairs.where(F.size("d") > 0).withColumn("start", F.explode(window_starts(F.size("d"), width, stride)))
-    return rows.select("qid", "doc_id", scorer(F.col("q"), F.slice("d", (F.col("start") + 1).cast("int"), width)).alias("s")).groupBy("qid", "doc_id").agg(F.max("s").alias("score"))
+    """(qid, doc_id, score): the best of a pair scorer over the windows of d; scorer maps two array columns to a score. The
+    windows of a pair are scored within its row."""
+    rows = pairs.where(F.size("d") > 0)
+    best = best_windows(F.col("d"), width, stride, 1, lambda w: scorer(F.col("q"), w))
+    return rows.select("qid", "doc_id", F.element_at(best, 1)["score"].alias("score"))
 
 
 def yes_no(logits: Column, yes: int, no: int) -> Column:

@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def line_regions(docs: DataFrame, marker: str = r"\.$", key: str = "doc_id") -> DataFrame:
-    """Lines as regions with offsets: (doc_id, region, start, end, kind). A line that matches marker is a body line,
-    else a gap; offsets are code points, end exclusive. The offset is a prefix sum inside the row, not a shuffle."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    rows = docs.select(key, F.posexplode(F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.aggregate(F.slice(lines, 1, i), F.lit(0), lambda a, y: a + F.char_length(y) + 1).alias("start")))).alias("region", "x"))
-    rows = rows.select(key, F.col("region").cast("long").alias("region"), F.col("x.line").alias("line"), F.col("x.start").cast("long").alias("start"))
+    """Lines as regions with offsets: (doc_id, region, start, end, kind, line). A line that matches marker is a body line,
+    else a gap; offsets are code points, end exclusive. A text's lines are found and summed up in one pass and
+    without a shuffle; a null text is one empty line."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in it:
+            lines = [(t or "").split("\n") for t in x["text"]]
+            n = np.fromiter(map(len, lines), np.int64, len(lines))
+            first, flat = np.cumsum(n) - n, [line for part in lines for line in part]
+            size = np.fromiter(map(len, flat), np.int64, len(flat))
+            total = np.cumsum(size + 1) - size - 1
+            yield pd.DataFrame({"k": np.repeat(x["k"].to_numpy(), n), "region": np.arange(len(flat)) - np.repeat(first, n), "start": total - np.repeat(total[first], n), "line": flat})
+
+    rows = docs.select(F.col(key).alias("k"), F.col("text").cast("string").alias("text"))
+    rows = rows.mapInPandas(run, f"k {dict(rows.dtypes)['k']}, region long, start long, line string").withColumnRenamed("k", key)
     return rows.select(key, "region", "start", (F.col("start") + F.char_length("line")).alias("end"), F.when(F.col("line").rlike(marker), "body").otherwise("gap").alias("kind"), "line")
 
 
@@ -66,15 +79,21 @@ def packing_plan(regions: DataFrame, budgets: list[int], n: str = "n") -> DataFr
     return x.groupBy("budget").agg(F.count("*").alias("vectors"), (F.sum(F.least(n, "budget")) / F.sum(n)).alias("coverage"))
 
 
+def best_windows(d: Column, width: int, stride: int, top: int, score: Callable[[Column], Column]) -> Column:
+    """The top windows of an array as structs (score, start), best first, then the earlier; score maps a window to a number. All
+    windows are made and scored within the row, so a text is never copied for each of them."""
+    at = lambda i: F.struct((-score(F.slice(d, (i + 1).cast("int"), width))).alias("low"), i.alias("start"))
+    best = F.slice(F.array_sort(F.transform(window_starts(F.size(d), width, stride), at)), 1, top)
+    return F.transform(best, lambda x: F.struct((-x["low"]).alias("score"), x["start"].alias("start")))
+
+
 def best_passages(pairs: DataFrame, width: int, stride: int, top: int = 2) -> DataFrame:
     """pairs (qid, doc_id, q array, d array): windows of d scored by coverage of q's terms over the square root of
-    their length; the top windows by density, then earlier start. Windows are made inside the row."""
-    rows = pairs.withColumn("start", F.explode(window_starts(F.size("d"), width, stride)))
-    w = F.slice("d", (F.col("start") + 1).cast("int"), width)
-    hits = F.size(F.array_intersect(w, F.array_distinct("q")))
-    rows = rows.withColumn("density", hits / F.sqrt(F.size(w))).select("qid", "doc_id", "start", "density")
-    order = W.partitionBy("qid", "doc_id").orderBy(F.desc("density"), "start")
-    return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top)
+    their length; (qid, doc_id, nth, start, density) of the top windows by density, then earlier start."""
+    q = F.array_distinct("q")
+    density = lambda w: F.size(F.array_intersect(w, q)) / F.sqrt(F.size(w))
+    rows = pairs.select("qid", "doc_id", F.posexplode(best_windows(F.col("d"), width, stride, top, density)).alias("nth", "x"))
+    return rows.select("qid", "doc_id", "x.start", F.col("x.score").alias("density"), (F.col("nth") + 1).alias("nth"))
 
 
 # The least evidence budget, what a pair's format takes besides, and the lexical window.

@@ -111,17 +111,18 @@ def cross_held(scores: DataFrame, config: str, base: float, folds: tuple[int, in
     return y.select(F.col(f"x.{config}").alias("best_a"), F.col("x.b").alias("tested_b"), F.col(f"y.{config}").alias("best_b"), F.col("y.a").alias("tested_a"), "cross_mean", F.col(f"m.{config}").alias("best_mean"), F.col("m.mean").alias("mean"), ok.alias("passed"))
 
 
-def two_level_overlap(left: DataFrame, right: DataFrame, key: str, strict: str, loose: str) -> DataFrame:
+def two_level_overlap(left: DataFrame, right: DataFrame, key: str, strict: str, loose: str, itself: bool = True) -> DataFrame:
     """(key, same_key, n_strict, n_loose_only, excluded) of each row of left: whether right has its key, how many rows
     of right share its strict text, how many only the loose one; either of the first two excludes it. Right is counted
-    by text before the joins, so a frequent text never meets its copies in pairs."""
+    by text before the joins, so a frequent text never meets its copies in pairs. Without itself, left is a part of
+    right, a row doesn't count itself and its key says nothing."""
     both = right.groupBy(strict, loose).agg(F.count("*").alias("_b"))
     by_strict, by_loose = both.groupBy(strict).agg(F.sum("_b").alias("_s")), both.groupBy(loose).agg(F.sum("_b").alias("_l"))
     x = left.select(key, strict, loose).join(by_strict, strict, "left").join(by_loose, loose, "left").join(both, [strict, loose], "left")
     x = x.join(right.select(key).distinct().withColumn("same_key", F.lit(True)), key, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    x = x.select(key, F.coalesce("same_key", F.lit(False)).alias("same_key"), zero("_s").alias("n_strict"), (zero("_l") - zero("_b")).alias("n_loose_only"))
-    return x.withColumn("excluded", F.col("same_key") | (F.col("n_strict") > 0))
+    x = x.select(key, F.coalesce("same_key", F.lit(False)).alias("same_key"), (zero("_s") - (0 if itself else 1)).alias("n_strict"), (zero("_l") - zero("_b")).alias("n_loose_only"))
+    return x.withColumn("excluded", (F.col("same_key") & F.lit(itself)) | (F.col("n_strict") > 0))
 
 
 def ordered_digest(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:

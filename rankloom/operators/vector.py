@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -10,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Queries held by each task at a time in the blocked search.
-BLOCK = 4096
+from rankloom.plans.session import cut
+
+#: Queries held by each task at a time in the blocked search, and vectors aimed at in a bucket of near_pairs.
+BLOCK, BUCKET = 4096, 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,59 +27,168 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
-def topk(queries: DataFrame, docs: DataFrame, k: int, lo: int = 0, hi: int | None = None) -> DataFrame:
-    """(qid, doc_id, rank, score): the k documents of largest dot product over dimensions lo to hi, ties by doc_id.
+def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A stated query set in blocks of about block rows by hash: (ids in order, matrix)."""
+    k = max(1, -(-queries.count() // block))
+    for b in range(k):
+        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(k)) == b).select("qid", "embedding").toPandas().sort_values("qid")
+        if len(rows):
+            yield rows["qid"].to_numpy(), np.array(rows["embedding"].tolist(), np.float64).reshape(len(rows), -1)
 
-    queries is a stated query set; it reaches the driver in blocks of BLOCK rows and each block is one pass over
-    docs. A task multiplies its batch with the block and passes on k rows a query, so what is shuffled is the number of tasks
-    times the block times k, whatever the size of docs.
-    """
-    rows = queries.select("qid", "embedding").orderBy("qid").toPandas() if queries.count() <= BLOCK else None
-    if rows is None:
-        first = queries.orderBy("qid").limit(BLOCK)
-        return topk(first, docs, k, lo, hi).unionByName(topk(queries.join(first.select("qid"), "qid", "left_anti"), docs, k, lo, hi))
-    ids = rows["qid"].to_numpy()
-    q = np.array(rows["embedding"].tolist(), np.float64).reshape(len(rows), -1)[:, lo:hi]
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in it:
-            d = np.array(x["embedding"].tolist(), np.float64)[:, lo:hi]
-            s = np.round(q @ d.T, 9)
-            did = x["doc_id"].to_numpy()
-            for i in range(len(q)):
-                part = np.lexsort((did, -s[i]))[:k]
-                yield pd.DataFrame({"qid": ids[i], "doc_id": did[part], "score": s[i, part]})
-
-    found = docs.select("doc_id", "embedding").mapInPandas(run, "qid long, doc_id long, score double")
-    w = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("qid", "doc_id", "rank", "score")
 
+def _scores(q: np.ndarray, ids: np.ndarray, x: pd.DataFrame, lo: int, hi: int | None, itself: bool) -> np.ndarray:
+    """Scores of all queries with the rows of x; a query with itself gets -inf unless itself is set."""
+    s = np.round(q @ np.array(x["embedding"].tolist(), np.float64)[:, lo:hi].T, 9)
+    if not itself:
+        own = np.searchsorted(ids, x["doc_id"].to_numpy())
+        hit = np.flatnonzero((own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == x["doc_id"].to_numpy()))
+        s[own[hit], hit] = -np.inf
+    return s
 
-def similarities(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(qid, doc_id, score) of a stated query set against all docs, as expressions; the plain form of topk's scores."""
-    q = queries.select("qid", F.col("embedding").alias("qv"))
-    return docs.crossJoin(F.broadcast(q) if q.count() <= BLOCK else q).select("qid", "doc_id", F.round(dot(F.col("qv"), F.col("embedding")), 9).alias("score"))
 
+def topk(queries: DataFrame, docs: DataFrame, k: int, lo: int = 0, hi: int | None = None, itself: bool = False, block: int = BLOCK) -> DataFrame:
+    """(qid, doc_id, rank, score): the k documents of largest dot product over dimensions lo to hi, ties by doc_id; a
+    document of the query's own id is left out unless itself is set.
 
-def parent_max(sims: DataFrame, parents: DataFrame, k: int) -> DataFrame:
+    queries is a stated query set; it reaches the driver in blocks and each block is one pass over docs. A task keeps
+    its k best of every query and passes these on at its end, so what is shuffled is the number of tasks times
+    the queries times k, whatever the size of docs.
+    """
+    out = None
+    for ids, q in _blocks(queries, block):
+        run = partial(_best, ids=ids, q=q[:, lo:hi], k=k, lo=lo, hi=hi, itself=itself)
+        found = docs.select("doc_id", "embedding").mapInPandas(run, "qid long, doc_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], "qid long, doc_id long, rank long, score double")
+    w = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
+    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("qid", "doc_id", "rank", "score")
+
+
+def _best(it: Iterator[pd.DataFrame], ids: np.ndarray, q: np.ndarray, k: int, lo: int, hi: int | None, itself: bool) -> Iterator[pd.DataFrame]:
+    score, doc = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+    for x in it:
+        for at in range(0, len(x), 1024):
+            y = x.iloc[at : at + 1024]
+            s = np.hstack([score, _scores(q, ids, y, lo, hi, itself)])
+            d = np.hstack([doc, np.broadcast_to(y["doc_id"].to_numpy(np.int64), (len(q), len(y)))])
+            wide = min(k, s.shape[1])
+            score, doc, least = np.empty((len(q), wide)), np.empty((len(q), wide), np.int64), np.partition(-s, wide - 1, axis=1)[:, wide - 1]
+            for i in range(len(q)):
+                some = np.flatnonzero(-s[i] <= least[i])
+                some = some[np.lexsort((d[i, some], -s[i, some]))[:wide]]
+                score[i], doc[i] = s[i, some], d[i, some]
+    row, col = np.nonzero(score > -np.inf)
+    yield pd.DataFrame({"qid": ids[row], "doc_id": doc[row, col], "score": score[row, col]})
+
+
+def children(queries: DataFrame, docs: DataFrame, parents: DataFrame, close: float = 0.025, block: int = BLOCK) -> DataFrame:
+    """(qid, parent_id, n, s, witness): what a task's batch knows of each parent's children for each query: how many, the
+    three best scores and all within close of the best, in descending order, and the best child. One row for a query, parent
+    and batch; a query's own document is left out. parent_max, witness and support put these together."""
+    rows = docs.join(parents, "doc_id").select("doc_id", "parent_id", "embedding")
+    out = None
+    for ids, q in _blocks(queries, block):
+        found = rows.mapInPandas(partial(_children, ids=ids, q=q, close=close), "qid long, parent_id long, n long, s array<double>, witness long")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _children(it: Iterator[pd.DataFrame], ids: np.ndarray, q: np.ndarray, close: float) -> Iterator[pd.DataFrame]:
+    for x in it:
+        x = x.sort_values(["parent_id", "doc_id"], kind="stable").reset_index(drop=True)
+        edges = np.flatnonzero(np.r_[True, np.diff(x["parent_id"].to_numpy()) != 0, True]) if len(x) else [0]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            y = x.iloc[lo:hi]
+            s = _scores(q, ids, y, 0, None, False)
+            n = (s > -np.inf).sum(axis=1)
+            some = np.flatnonzero(n)
+            order = np.argsort(-s, axis=1, kind="stable")
+            top = np.take_along_axis(s, order, axis=1)
+            keep = np.minimum(n, np.maximum(3, (top >= top[:, :1] - close).sum(axis=1)))
+            yield pd.DataFrame({"qid": ids[some], "parent_id": int(y["parent_id"].iloc[0]), "n": n[some], "s": [top[i, : keep[i]] for i in some], "witness": y["doc_id"].to_numpy()[order[some, 0]]})
+
+
+def parent_max(found: DataFrame, k: int) -> DataFrame:
     """Best child per parent, then the k best parents of each query."""
-    best = sims.join(parents, "doc_id").groupBy("qid", "parent_id").agg(F.max("score").alias("score"))
+    best = found.groupBy("qid", "parent_id").agg(F.max(F.element_at("s", 1)).alias("score"))
     w = W.partitionBy("qid").orderBy(F.desc("score"), "parent_id")
     return best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def witness(sims: DataFrame, parents: DataFrame) -> DataFrame:
+def witness(found: DataFrame) -> DataFrame:
     """The child of largest similarity for each (query, parent); the smaller id wins ties."""
-    w = W.partitionBy("qid", "parent_id").orderBy(F.desc("score"), "doc_id")
-    return sims.join(parents, "doc_id").withColumn("nth", F.row_number().over(w)).where("nth = 1").select("qid", "parent_id", F.col("doc_id").alias("vec_id"), "score")
+    best = F.max(F.struct(F.element_at("s", 1).alias("score"), (-F.col("witness")).alias("w")))
+    return found.groupBy("qid", "parent_id").agg(best.alias("x")).select("qid", "parent_id", (-F.col("x.w")).alias("vec_id"), "x.score")
 
 
-def support(sims: DataFrame, parents: DataFrame, close: float = 0.025) -> DataFrame:
+def support(found: DataFrame, close: float = 0.025) -> DataFrame:
     """Best, second and third child similarity (the last repeats), their gap, and log counts of children, all and close."""
-    rows = sims.join(parents, "doc_id").groupBy("qid", "parent_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
+    rows = found.groupBy("qid", "parent_id").agg(F.sort_array(F.flatten(F.collect_list("s")), asc=False).alias("s"), F.sum("n").alias("n"))
     at = lambda i: F.element_at("s", F.least(F.lit(i), F.size("s")))
     near = F.size(F.filter("s", lambda x: x >= at(1) - close))
-    return rows.select("qid", "parent_id", at(1).alias("best"), at(2).alias("second"), at(3).alias("third"), (at(1) - at(2)).alias("gap"), F.log1p(F.size("s").cast("double")).alias("log_n"), F.log1p(near.cast("double")).alias("log_close"))
+    return rows.select("qid", "parent_id", at(1).alias("best"), at(2).alias("second"), at(3).alias("third"), (at(1) - at(2)).alias("gap"), F.log1p(F.col("n").cast("double")).alias("log_n"), F.log1p(near.cast("double")).alias("log_close"))
+
+
+def near_pairs(vectors: DataFrame, least: float, miss: float = 1e-6, bucket: int = BUCKET, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """((a, b, cosine), (id, rep)) for rows (id, embedding): the pairs a < b of representatives with cosine least or
+    more, and the representative, the least id, of every row. Equal vectors are one class, so copies are never paired.
+
+    Signs of random projections deal the classes into buckets, of about bucket rows, in as many tables as keep the
+    chance that a pair at exactly least meets in none below miss; one bucket while the classes fit in it. Buckets
+    are compared in blocks of two chunks, each pair where its first common table has it. Null and zero vectors
+    and those with a null or not finite number are in no pair and stand for themselves.
+    """
+    e = F.col("embedding").cast("array<double>")
+    fine = F.coalesce(~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(e, lambda v: v != 0), F.lit(False))
+    rows = vectors.select("id", F.when(fine, e).alias("e"))
+    classes = cut(rows.where("e is not null").groupBy("e").agg(F.min("id").alias("rep")))
+    member = rows.join(classes, "e", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    n = classes.count()
+    bits = max(0, math.ceil(math.log2(max(1, n) / bucket)))
+    tables = 1 if not bits else math.ceil(math.log(miss) / math.log1p(-((1 - math.acos(least) / math.pi) ** bits)))
+    keys = ["t", "code", "i", "j"]
+
+    def units(e: pd.Series) -> np.ndarray:
+        v = np.array(e.tolist(), np.float64).reshape(len(e), -1)
+        v = v / np.abs(v).max(axis=1, initial=1e-300)[:, None]
+        return v / np.sqrt((v * v).sum(axis=1))[:, None]
+
+    def codes(v: np.ndarray, upto: int) -> np.ndarray:
+        planes = np.random.default_rng(seed).standard_normal((tables, bits, v.shape[1]))[:upto]
+        return ((np.einsum("nd,tbd->ntb", v, planes) > 0) << np.arange(bits)).sum(axis=2)
+
+    def place(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in it:
+            for lo in range(0, len(x), 2048):
+                y = x.iloc[lo : lo + 2048]
+                c = codes(units(y["e"]), tables)
+                for t in range(tables):
+                    yield y.assign(t=t, code=c[:, t])
+
+    def compare(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        t, _, i, j = (int(v) for v in key)
+        x = x.sort_values("rep")
+        v, rep, found = units(x["e"]), x["rep"].to_numpy(), []
+        side = x["c"].to_numpy() == i
+        for lo in range(0, len(v), 512):
+            s = np.round(v[lo : lo + 512] @ v.T, 9)
+            near = (s >= least) & (rep[lo : lo + 512, None] < rep[None, :])
+            if i != j:
+                near &= side[lo : lo + 512, None] != side[None, :]
+            p, q = np.nonzero(near)
+            if t and len(p):
+                met = (codes(v[lo + p], t) == codes(v[q], t)).any(axis=1)
+                p, q = p[~met], q[~met]
+            found.append(pd.DataFrame({"a": rep[lo + p], "b": rep[q], "cosine": s[p, q]}))
+        return pd.concat(found)
+
+    placed = classes.mapInPandas(place, "e array<double>, rep long, t int, code long")
+    full = placed.groupBy("t", "code").agg(F.count("*").alias("n")).where("n > 1").select("t", "code", F.ceil(F.col("n") / (2 * bucket)).cast("int").alias("k"))
+    blocks = placed.join(full, ["t", "code"]).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    blocks = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    blocks = blocks.select("e", "rep", "c", "t", "code", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+    return blocks.groupBy(*keys).applyInPandas(compare, "a long, b long, cosine double"), member
 
 
 def centroids(docs: DataFrame, parents: DataFrame) -> DataFrame:

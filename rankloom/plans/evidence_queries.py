@@ -157,9 +157,10 @@ def yes_no_scores(s, d):
 
 
 def two_level_overlap(s, d):
-    """Every twentieth document against all others with smaller lines in common: same text, or same first line only."""
+    """Every twentieth document against all others: how many have its text, or its first line only."""
     x = docs(s, d).select("doc_id", F.md5("text").alias("strict"), F.md5(tx.punctuation_key(F.split("text", "\n")[0])).alias("loose"))
-    return select.two_level_overlap(x.where("doc_id % 20 = 0"), x.where("doc_id % 20 <> 0"), "doc_id", "strict", "loose")
+    found = select.two_level_overlap(x.where("doc_id % 20 = 0"), x, "doc_id", "strict", "loose", itself=False)
+    return found.drop("same_key")
 
 
 LOOSE = "md5(" + CMP.format(x="regexp_replace(replace(lower(string_split(text, chr(10))[1]), 'ß', 'ss'), '[\\p{P}\\p{S}]', ' ', 'g')") + ")"
@@ -178,7 +179,8 @@ def table_digests(s, d):
 
 
 def snapshot_fingerprint(s, d):
-    return io.snapshot_fingerprint(io.manifest(s, f"{d}/region.parquet").unionByName(io.manifest(s, f"{d}/nation.parquet")))
+    """One row over all files of the tables."""
+    return io.snapshot_fingerprint(io.manifest(s, d))
 
 
 QUERIES: dict = {
@@ -192,7 +194,7 @@ QUERIES: dict = {
     "hashed_encoding": (hashed_encoding, ENCODE),
     "passage_scores": (passage_scores, PT + ", w AS (SELECT qid, doc_id, q, d, unnest(generate_series(0, greatest(0, ceil((len(d) - 80) / 40.0))::BIGINT)) * 40 AS start FROM pt WHERE len(d) > 0) SELECT qid, doc_id, round(max(len(list_intersect(list_distinct(q), list_distinct(d[start + 1:start + 80]))) / greatest(1, len(list_distinct(q)))::DOUBLE), 6) AS score FROM w GROUP BY qid, doc_id"),
     "yes_no_scores": (yes_no_scores, "SELECT vec_id, round(embedding[4]::DOUBLE - embedding[8]::DOUBLE, 6) AS score FROM embeddings"),
-    "two_level_overlap": (two_level_overlap, f"WITH x AS (SELECT doc_id, md5(text) AS s, {LOOSE} AS l FROM documents), r AS (SELECT * FROM x WHERE doc_id % 20 <> 0), q AS (SELECT a.doc_id, (SELECT count(*) FROM r WHERE r.s = a.s) AS n_strict, (SELECT count(*) FROM r WHERE r.l = a.l AND r.s <> a.s) AS n_loose_only FROM x a WHERE doc_id % 20 = 0) SELECT doc_id, false AS same_key, n_strict, n_loose_only, n_strict > 0 AS excluded FROM q"),
+    "two_level_overlap": (two_level_overlap, f"WITH x AS (SELECT doc_id, md5(text) AS s, {LOOSE} AS l FROM documents), q AS (SELECT a.doc_id, (SELECT count(*) FROM x r WHERE r.s = a.s AND r.doc_id <> a.doc_id) AS n_strict, (SELECT count(*) FROM x r WHERE r.l = a.l AND r.s <> a.s) AS n_loose_only FROM x a WHERE doc_id % 20 = 0) SELECT doc_id, n_strict, n_loose_only, n_strict > 0 AS excluded FROM q"),
     "list_digests": (list_digests, BM + "SELECT qid, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS digest FROM bm GROUP BY qid"),
     "table_digests": (table_digests, " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', {', '.join(f'coalesce({x}::VARCHAR, ' + chr(39) + 'null' + chr(39) + ')' for x in c)})), 1, 8))::BIGINT)::BIGINT AS digest FROM {t}" for t, c in TRACED.items())),
     "snapshot_fingerprint": (snapshot_fingerprint, None),

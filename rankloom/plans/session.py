@@ -18,6 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where its files give tasks for fewer than half of them; else df as it is. Filters and
+    column pruning still reach the scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder and cut its lineage; survives the loss of any executor."""
     shared_dir(df.sparkSession)

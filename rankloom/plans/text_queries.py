@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import text as tx
 from rankloom.operators import features, lexical, metrics, model, segment, select
-from rankloom.plans.session import cut
+from rankloom.plans.session import cut, spread
 from rankloom.plans.vector_queries import r6
 from rankloom.streaming import events as ev
 
@@ -20,7 +20,7 @@ def table(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(s, d):
-    return table(s, d, "documents")
+    return spread(table(s, d, "documents"))
 
 
 def questions(s, d):
@@ -52,13 +52,10 @@ bm AS (SELECT qid, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTIT
 
 
 def gold_text(s, d):
-    """Documents that hold an item's whole text: candidates share the item's first five words, then contains decides."""
-    q = questions(s, d).withColumn("w", tx.tokens(F.col("question"), False)).where(F.size("w") >= 5)
-    q = q.select("qid", "question", F.array_join(F.slice("w", 1, 5), " ").alias("key"))
-    t = docs(s, d).select("doc_id", "text", tx.tokens(F.col("text"), False).alias("w")).where(F.size("w") >= 5)
-    keys = t.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " ")))).alias("key"))
-    pairs = keys.join(F.broadcast(q) if q.count() <= 100_000 else q, "key").select("qid", "question", "doc_id").distinct()
-    return pairs.join(t.select("doc_id", "text"), "doc_id").where(F.contains("text", "question")).select("qid", "doc_id")
+    """Documents that hold an item's whole text, of five words or more. The items are a stated query set: one automaton of
+    all their texts goes over each document once; over 100,000 of them go in blocks."""
+    q = questions(s, d).withColumn("w", F.size(tx.tokens(F.col("question"), False))).where("w >= 5").select("qid", "question")
+    return lexical.holding(docs(s, d).select("doc_id", "text"), q)
 
 
 def match_keys(s, d):
@@ -106,7 +103,7 @@ def dup_expansion(s, d):
 
 
 def text_overlap(s, d):
-    """Documents whose first 40 characters start another table's text, by equality of the key."""
+    """Documents that share their first line with others, and how many have it; a frequent line makes no pairs."""
     left = docs(s, d).select("doc_id", F.lower("lang").alias("lang"), F.md5(F.split("text", "\n")[0]).alias("key"))
     right = left.groupBy("key").agg(F.count("*").alias("n_right"))
     return left.join(right, "key").where("n_right > 1").select(F.col("doc_id").alias("left_id"), "n_right")
@@ -165,7 +162,7 @@ g AS (SELECT a, b, support, support / fa.f::DOUBLE AS cond, support / (fa.f + fb
 
 def colabel_score(s, d):
     g = cut(features.colabel_graph(baskets(s, d)))
-    keys = baskets(s, d).distinct().where("basket % 100 = 0")
+    keys = baskets(s, d).distinct()
     a = keys.select(F.col("basket").alias("key"), "item", (F.row_number().over(W.partitionBy("basket").orderBy("item")) - 1).alias("i"))
     return r6(features.colabel_best(g, a))
 
@@ -239,10 +236,10 @@ QUERIES: dict = {
     "bm25_topk": (_bm, BM + "SELECT * FROM bm"),
     "gold_text": (gold_text, f"SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(regexp_extract_all(b.text, '{WORD}')) >= 5"),
     "bm25_recall_curve": (lambda s, d: r6(metrics.curve(_bm(s, d), gold_text(s, d), (1, 5, 10))), BM + ", gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), k AS (SELECT unnest([1, 5, 10])::BIGINT AS k), h AS (SELECT k, gold.qid, count(*) AS n, count(*) FILTER (rank <= k) AS h FROM gold CROSS JOIN k LEFT JOIN bm USING (qid, doc_id) GROUP BY ALL) SELECT k, round(avg(h / n::DOUBLE), 6) AS macro_recall, round(avg((h = n)::INT), 6) AS full_coverage, round(sum(h) / sum(n)::DOUBLE, 6) AS micro_recall FROM h GROUP BY k"),
-    "match_keys": (match_keys, "SELECT doc_id, md5(" + FOLD.format(x=CMP.format(x="text")) + ") AS strict_key, md5(" + PUN + ") AS punctuation_key, md5(translate(" + PUN + ", 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿđ', 'aaaaaaceeeeiiiinooooouuuuyyd')) AS accent_key FROM documents"),
+    "match_keys": (match_keys, "SELECT doc_id, md5(" + FOLD.format(x=CMP.format(x="text")) + ") AS strict_key, md5(" + PUN + ") AS punctuation_key, md5(trim(regexp_replace(strip_accents(replace(" + PUN + ", 'đ', 'd')), ' +', ' ', 'g'))) AS accent_key FROM documents"),
     "model_text_lengths": (lambda s, d: docs(s, d).select("doc_id", F.char_length(tx.model_text("text")).cast("long").alias("n")), "SELECT doc_id, length(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))) AS n FROM documents"),
     "nfkc_keys": (lambda s, d: docs(s, d).select("doc_id", F.md5(tx.nfkc_key("text")).alias("key")), None),
-    "text_flags": (text_flags, "SELECT unnest(['replacement', 'control', 'edge_space', 'double_space', 'html_like']) AS flag, unnest([count(*) FILTER (contains(text, chr(65533))), count(*) FILTER (regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]')), count(*) FILTER (regexp_matches(text, '^\\s|\\s$')), count(*) FILTER (regexp_matches(text, '\\s\\s')), count(*) FILTER (regexp_matches(text, '<[^>]{1,120}>'))]) AS n FROM documents"),
+    "text_flags": (text_flags, "SELECT unnest(['replacement', 'nul', 'control', 'not_nfc', 'edge_space', 'double_space', 'html_like']) AS flag, unnest([count(*) FILTER (contains(text, chr(65533))), count(*) FILTER (contains(text, chr(0))), count(*) FILTER (regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}]')), count(*) FILTER (nfc_normalize(text) <> text), count(*) FILTER (regexp_matches(text, '^\\s|\\s$')), count(*) FILTER (regexp_matches(text, '\\s\\s')), count(*) FILTER (regexp_matches(text, '<[^>]{1,120}>'))]) AS n FROM documents"),
     "word_stats": (word_stats, NW.replace("doc_id, len", "lang, len") + "SELECT lang, min(n)::DOUBLE AS lo, round(avg(n), 6) AS mean, max(n)::DOUBLE AS hi, " + ", ".join(f"round(quantile_cont(n::DOUBLE, {q}), 6) AS {a}" for q, a in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.9, "p90"))) + " FROM w GROUP BY lang"),
     "archetypes": (archetypes, "WITH a AS (SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in tx.ARCHETYPES) + " ELSE 'GENERAL' END AS archetype FROM documents) SELECT archetype, count(*) AS n, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS fraction FROM a GROUP BY archetype"),
     "query_features": (query_features, f"SELECT item_id AS qid, round(least(len(regexp_extract_all(text, '{WORD}')), 60) / 60.0::DOUBLE, 6) AS words, round(least(length(text), 300) / 300.0::DOUBLE, 6) AS chars, regexp_matches(text, '[0-9]') AS has_number, len(regexp_extract_all(text, '[.,]')) AS marks FROM benchmark"),
@@ -269,11 +266,11 @@ pr AS (SELECT qid, doc_id, list_distinct({tok('b.text')}) AS q, t, list_intersec
 io AS (SELECT qid, doc_id, sum(idf) AS s FROM pr, unnest(x) AS y(u) JOIN ti_df ON term = u GROUP BY ALL), iq AS (SELECT item_id AS qid, sum(idf) AS s FROM (SELECT item_id, unnest(list_distinct({tok('text')})) AS u FROM benchmark) JOIN ti_df ON term = u GROUP BY ALL)
 SELECT qid, doc_id, len(x) AS overlap, round(len(x) / len(q)::DOUBLE, 6) AS query_coverage, round(len(x) / len(t)::DOUBLE, 6) AS title_coverage, round(len(x) / (len(q) + len(t) - len(x))::DOUBLE, 6) AS jaccard, round(coalesce(io.s, 0), 6) AS idf_overlap, round(coalesce(io.s / iq.s, 0), 6) AS idf_ratio FROM pr LEFT JOIN io USING (qid, doc_id) LEFT JOIN iq USING (qid)"""),
     "char_tfidf_pairs": (char_pairs, f"""WITH w AS (SELECT item_id AS id, ' ' || u || ' ' AS w FROM benchmark, unnest(string_split_regex({FOLD.format(x='text')}, '\\s+')) AS x(u) WHERE u <> ''),
-g AS (SELECT id, substr(w, i, 3) AS gram FROM (SELECT id, w, unnest(generate_series(1, greatest(1, length(w) - 2))) AS i FROM w)), tf AS (SELECT id, gram, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram HAVING count(*) >= 2), n AS (SELECT count(*) AS n FROM benchmark),
+g AS (SELECT id, substr(w, i, n) AS gram FROM (SELECT id, w, n, unnest(generate_series(1, length(w) - n + 1)) AS i FROM w, (VALUES (3), (4), (5)) AS v(n) WHERE n <= length(w))), tf AS (SELECT id, gram, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram HAVING count(*) >= 2), n AS (SELECT count(*) AS n FROM benchmark),
 v AS (SELECT id, gram, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS v FROM tf JOIN df USING (gram), n), u AS (SELECT id, gram, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM v), p AS (SELECT item_id AS a, lead(item_id) OVER (ORDER BY item_id) AS b FROM benchmark)
 SELECT a, b, round(coalesce(sum(x.v * y.v), 0), 6) AS lexical_cosine FROM p LEFT JOIN u x ON x.id = a LEFT JOIN u y ON y.id = b AND y.gram = x.gram WHERE b IS NOT NULL GROUP BY a, b"""),
     "colabel_graph": (lambda s, d: r6(features.colabel_graph(baskets(s, d))), CG + "SELECT a, b, support, round(cond, 6) AS cond, round(jaccard, 6) AS jaccard, round(pmi, 6) AS pmi FROM g"),
-    "colabel_score": (colabel_score, CG + ", k AS (SELECT basket AS key, item, row_number() OVER (PARTITION BY basket ORDER BY item) - 1 AS i FROM i WHERE basket % 100 = 0), ed AS (SELECT a AS item, b AS other, support, jaccard, pmi, cond FROM g WHERE support >= 2 UNION ALL SELECT b, a, support, jaccard, pmi, cond FROM g WHERE support >= 2), s AS (SELECT key, other, max(round(sqrt(cond * jaccard) * ln(1 + support) * (1 + greatest(pmi, 0) / 10) / (1 + 0.25::DOUBLE * i), 9)) AS score FROM k JOIN ed USING (item) WHERE (key, other) NOT IN (SELECT (key, item) FROM k) GROUP BY ALL) SELECT key, other AS best, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, other) AS r FROM s) WHERE r = 1"),
+    "colabel_score": (colabel_score, CG + ", k AS (SELECT basket AS key, item, row_number() OVER (PARTITION BY basket ORDER BY item) - 1 AS i FROM i), ed AS (SELECT a AS item, b AS other, support, jaccard, pmi, cond FROM g WHERE support >= 2 UNION ALL SELECT b, a, support, jaccard, pmi, cond FROM g WHERE support >= 2), s AS (SELECT key, other, max(round(sqrt(cond * jaccard) * ln(1 + support) * (1 + greatest(pmi, 0) / 10) / (1 + 0.25::DOUBLE * i), 9)) AS score FROM k JOIN ed USING (item) WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.key = k.key AND o.item = ed.other) GROUP BY ALL) SELECT key, other AS best, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, other) AS r FROM s) WHERE r = 1"),
     "propensity": (propensity, "WITH p AS (SELECT l_partkey AS part, l_orderkey % 5 AS fold, count(*) AS e, count(*) FILTER (l_returnflag = 'R') AS g FROM lineitem GROUP BY ALL), t AS (SELECT part, fold, sum(e) OVER w - e AS e, sum(g) OVER w - g AS g FROM p WINDOW w AS (PARTITION BY part)) SELECT part, fold, round(ln(1 + g), 6) AS log_freq, round(ln((g + 0.5::DOUBLE) / (e + 10)), 6) AS log_rate FROM t"),
     "balance_report": (balance_report, "WITH c AS (SELECT doc_id % 5 AS fold, lang, count(*) AS c FROM documents GROUP BY ALL), f AS (SELECT fold, sum(c) AS nf FROM c GROUP BY fold), a AS (SELECT lang, sum(c) AS ca, sum(sum(c)) OVER () AS n FROM c GROUP BY lang) SELECT fold, round(max(abs(coalesce(c, 0) / nf::DOUBLE - ca / n::DOUBLE)), 6) AS max_dev FROM f CROSS JOIN a LEFT JOIN c USING (fold, lang) GROUP BY fold"),
     "rare_strata": (rare_strata, "WITH x AS (SELECT lang, lang || '|' || source AS s, count(*) OVER (PARTITION BY lang, source) AS n FROM documents), y AS (SELECT lang, CASE WHEN n < 20 THEN lang || '|rare' ELSE s END AS s FROM x), m AS (SELECT min(c) AS low FROM (SELECT count(*) AS c FROM y GROUP BY s)) SELECT CASE WHEN low < 20 THEN lang ELSE s END AS stratum, count(*) AS n FROM y, m GROUP BY 1"),

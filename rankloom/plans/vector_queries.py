@@ -7,8 +7,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators import features, fusion, graph, metrics, select, vector
-from rankloom.plans.session import cut
+from rankloom.functions import text as tx
+from rankloom.operators import features, fusion, graph, lexical, metrics, select, vector
+from rankloom.plans.session import cut, spread
 
 SOURCES = ["full", "head", "tail"]
 PARTS = {"full": (0, None), "head": (0, 32), "tail": (32, None)}
@@ -23,7 +24,8 @@ def q_vec(spark, d):
 
 
 def d_vec(spark, d):
-    return vectors(spark, d).where("vec_id % 20 <> 0").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    """All vectors are searched; a query never meets itself."""
+    return vectors(spark, d).select(F.col("vec_id").alias("doc_id"), "embedding", "label")
 
 
 def parents(spark, d):
@@ -31,7 +33,7 @@ def parents(spark, d):
 
 
 def gold(spark, d):
-    """A query's gold documents: the five of its label with the smallest ids above its own."""
+    """A query's gold documents: those of its label whose ids lie within 60 above its own."""
     g = q_vec(spark, d).select("qid", "label").join(d_vec(spark, d).select("doc_id", "label"), "label").where("doc_id > qid and doc_id <= qid + 60")
     return g.select("qid", "doc_id")
 
@@ -52,9 +54,9 @@ def r6(df: DataFrame) -> DataFrame:
 
 
 BASE = """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 20 = 0),
-d AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v, label, vec_id % 50 AS parent_id FROM embeddings WHERE vec_id % 20 <> 0),
+d AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v, label, vec_id % 50 AS parent_id FROM embeddings),
 gold AS (SELECT qid, doc_id FROM q JOIN d USING (label) WHERE doc_id > qid AND doc_id <= qid + 60),
-sims AS (SELECT qid, doc_id, parent_id, round(list_dot_product(q.v, d.v), 9) AS "full", round(list_dot_product(q.v[1:32], d.v[1:32]), 9) AS head, round(list_dot_product(q.v[33:64], d.v[33:64]), 9) AS tail FROM q, d),
+sims AS (SELECT qid, doc_id, parent_id, round(list_dot_product(q.v, d.v), 9) AS "full", round(list_dot_product(q.v[1:32], d.v[1:32]), 9) AS head, round(list_dot_product(q.v[33:64], d.v[33:64]), 9) AS tail FROM q, d WHERE qid <> doc_id),
 lists AS (SELECT * FROM (SELECT source, qid, doc_id, score, row_number() OVER (PARTITION BY source, qid ORDER BY score DESC, doc_id) AS rank
   FROM (SELECT 'full' AS source, qid, doc_id, "full" AS score FROM sims UNION ALL SELECT 'head', qid, doc_id, head FROM sims UNION ALL SELECT 'tail', qid, doc_id, tail FROM sims)) WHERE rank <= 100),
 f AS (SELECT qid, doc_id, rank, score FROM lists WHERE source = 'full'),
@@ -64,8 +66,8 @@ per AS (SELECT source, ng.qid, n, count(g.doc_id) AS hits, count(g.doc_id) / n::
 Z = "({x} - avg({x}) OVER w) / CASE WHEN stddev_pop({x}) OVER w < 1e-8 THEN 1 ELSE stddev_pop({x}) OVER w END"
 
 
-def _sims(s, d):
-    return vector.similarities(q_vec(s, d), d_vec(s, d))
+def _children(s, d):
+    return vector.children(q_vec(s, d), d_vec(s, d), parents(s, d))
 
 
 def _recall(s, d, source):
@@ -101,49 +103,107 @@ grid AS (SELECT ws.w, (ng.qid // 20) % 5 AS fold, avg(coalesce(h, 0) / n::DOUBLE
 """
 
 
-def dense_topk(s, d):
-    return r6(_ranked_plain(s, d))
+def _near(s, d):
+    """Pairs of distinct vectors with cosine 0.90 or more over the first eight dimensions, of all rows, and each row's
+    representative."""
+    v = vectors(s, d).select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("embedding"))
+    pairs, member = vector.near_pairs(v, 0.9)
+    return cut(pairs), member
 
 
-def _ranked_plain(s, d):
-    return fusion.ranked(_sims(s, d)).where("rank <= 10").select("qid", "doc_id", "rank", "score")
+def titles(s, d):
+    """(id, title): the first lines of the documents whose id has a vector."""
+    t = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("title"))
+    return spread(t).join(vectors(s, d).select(F.col("vec_id").alias("id")), "id", "left_semi")
 
 
-def near_dup_pairs(s, d):
-    """Linked pairs within a stated query set: every query against all others at cosine 0.3 or more."""
-    q = q_vec(s, d)
-    sims = vector.similarities(q, vectors(s, d).select(F.col("vec_id").alias("doc_id"), "embedding")).where("qid <> doc_id and score >= 0.3")
-    return r6(sims.select(F.least("qid", "doc_id").alias("a"), F.greatest("qid", "doc_id").alias("b"), F.col("score").alias("cosine")).distinct())
-
-
-def _edges(s, d):
-    q = q_vec(s, d)
-    sims = vector.similarities(q, q.select(F.col("qid").alias("doc_id"), "embedding"))
-    return sims.where("qid < doc_id").select(F.col("qid").alias("a"), F.col("doc_id").alias("b"), "score")
+def near_rows(s, d):
+    """The pairs of _near with the lexical cosine of their titles, equality of three keys of them, and the overlap of
+    their gold sets (the items of the order of the same number)."""
+    pairs, _ = _near(s, d)
+    t = cut(titles(s, d))
+    lex = lexical.pair_cosine(lexical.char_tfidf(t, "id", "title"), pairs.select("a", "b"), "id").withColumnRenamed("cosine", "lexical_cosine")
+    k = t.select("id", F.struct(tx.fold(tx.compact(F.col("title"))), tx.punctuation_key(F.col("title")), tx.accent_key("title")).alias("k")).toDF("id", "k")
+    rows = pairs.join(lex, ["a", "b"]).join(k.toDF("a", "ka"), "a", "left").join(k.toDF("b", "kb"), "b", "left")
+    same = [F.coalesce(F.col("ka")[f"col{i}"] == F.col("kb")[f"col{i}"], F.lit(False)).alias(f"same_{n}_text") for i, n in enumerate(("strict", "punctuation", "accent"), 1)]
+    gold_items = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 20).alias("item"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = gold_items.join(ends, "id", "left_semi").groupBy("id").agg(F.collect_set("item").alias("g"))
+    none = F.array().cast("array<bigint>")
+    rows = rows.join(sets.toDF("a", "ga"), "a", "left").join(sets.toDF("b", "gb"), "b", "left")
+    both, either = F.size(F.array_intersect(F.coalesce("ga", none), F.coalesce("gb", none))), F.size(F.array_union(F.coalesce("ga", none), F.coalesce("gb", none)))
+    return rows.select("a", "b", "cosine", "lexical_cosine", *same, both.cast("long").alias("gold_overlap"), F.when(either > 0, both / either).otherwise(0.0).alias("gold_jaccard"))
 
 
 def components(s, d):
-    """Components of the queries linked at 0.25 or more."""
-    return graph.connected_components(_edges(s, d).where("score >= 0.25"))
+    """Every vector with the least id reachable by pairs of 0.90 or more."""
+    pairs, member = _near(s, d)
+    found = graph.connected_components(pairs.select("a", "b").union(member.where("id <> rep")))
+    return vectors(s, d).select(F.col("vec_id").alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def threshold_sweep(s, d):
-    e = cut(_edges(s, d))
-    out = None
-    for t in (0.2, 0.25, 0.3):
-        part = e.where(F.col("score") >= t)
-        c = graph.connected_components(part).groupBy("component").agg(F.count("*").alias("size"))
-        row = c.agg(F.count("*").alias("components"), F.coalesce(F.max("size"), F.lit(0)).cast("long").alias("max_size")).crossJoin(part.agg(F.count("*").alias("edges"))).withColumn("threshold", F.lit(t))
-        out = row if out is None else out.unionByName(row)
-    return out.select("threshold", "edges", "components", "max_size")
+def leakage_groups(s, d):
+    """Groups that must not be parted: pairs of 0.95, or of 0.94 with a lexical cosine of 0.80, or titles that are alike
+    without accents; equal titles hang on their least id, so a frequent one makes no pairs."""
+    rows = near_rows(s, d)
+    edges = rows.where("cosine >= 0.95 or (cosine >= 0.94 and lexical_cosine >= 0.8)").select("a", "b")
+    member = _near(s, d)[1].where("id <> rep")
+    t = titles(s, d).select("id", F.md5(tx.accent_key("title")).alias("k"))
+    same = t.join(t.groupBy("k").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "k").select("id", "first")
+    found = graph.connected_components(edges.union(member).union(same))
+    return vectors(s, d).select(F.col("vec_id").alias("id")).join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("group_id"))
 
 
-EDGES = ", e AS (SELECT a.qid AS a, b.qid AS b, round(list_dot_product(a.v, b.v), 9) AS score FROM q a JOIN q b ON a.qid < b.qid)\n"
+THRESHOLDS = [0.90, 0.92, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99]
 
 
-def _cc(t: float) -> str:
-    return f"""SELECT a AS node, min(b) AS component FROM (WITH RECURSIVE u AS (SELECT a, b FROM e WHERE score >= {t} UNION SELECT b, a FROM e WHERE score >= {t} UNION SELECT a, a FROM e WHERE score >= {t} UNION SELECT b, b FROM e WHERE score >= {t}),
-r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a, b FROM r) GROUP BY a"""
+def threshold_sweep(s, d):
+    """Edges, groups, their sizes and what the edges share, at eight thresholds; one search for components numbers the
+    nodes of all thresholds."""
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("threshold")) for i, t in enumerate(THRESHOLDS)))).alias("x")
+    e = cut(near_rows(s, d).select("*", at).select("*", "x.i", "x.threshold").where("cosine >= threshold"))
+    n = len(THRESHOLDS)
+    groups = graph.connected_components(e.select((F.col("a") * n + F.col("i")).alias("a"), (F.col("b") * n + F.col("i")).alias("b")))
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size")).select((F.col("component") % n).cast("int").alias("i"), "size")
+    sizes = sizes.groupBy("i").agg(F.count("*").alias("components"), F.sum("size").alias("grouped"), F.max("size").alias("max_size"), F.percentile("size", F.lit(0.95)).alias("p95_size"))
+    edges = e.groupBy("i").agg(F.count("*").alias("edges"), F.avg(F.col("same_strict_text").cast("int")).alias("same_text_rate"), F.avg((F.col("gold_overlap") > 0).cast("int")).alias("gold_overlap_rate"), F.percentile("lexical_cosine", F.lit(0.5)).alias("lexical_median"))
+    every = s.createDataFrame(list(enumerate(THRESHOLDS)), "i int, threshold double")
+    x = every.join(edges, "i", "left").join(sizes, "i", "left").fillna(0).fillna(0.0)
+    return r6(x.select("threshold", "edges", "components", "grouped", F.greatest("max_size", F.lit(1)).alias("max_size"), F.greatest("p95_size", F.lit(1.0)).alias("p95_size"), "same_text_rate", "gold_overlap_rate", "lexical_median"))
+
+
+def _keys_sql(x: str) -> list[str]:
+    fold = f"replace(lower({x}), 'ß', 'ss')"
+    flat = lambda y: f"trim(regexp_replace({y}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+    pun = flat(f"regexp_replace({fold}, '[\\p{{P}}\\p{{S}}]', ' ', 'g')")
+    return [fold.replace(x, flat(x)), pun, flat(f"strip_accents(replace({pun}, 'đ', 'd'))")]
+
+
+_K = _keys_sql("title")
+NEAR = f"""WITH RECURSIVE rp AS (SELECT min(vec_id) AS id, e, list(vec_id) AS ids FROM (SELECT vec_id, embedding[1:8]::DOUBLE[] AS e FROM embeddings) GROUP BY e),
+np AS (SELECT * FROM (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 9) AS cosine FROM rp a JOIN rp b ON a.id < b.id) WHERE cosine >= 0.9),
+mem AS (SELECT id AS b, unnest(ids) AS a FROM rp WHERE len(ids) > 1),
+tt AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS title FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
+tk AS (SELECT id, title, {_K[0]} AS k1, {_K[1]} AS k2, {_K[2]} AS k3 FROM tt),
+tw AS (SELECT id, ' ' || u || ' ' AS w FROM tt, unnest(string_split_regex(replace(lower(title), 'ß', 'ss'), '\s+')) AS x(u) WHERE u <> ''),
+tg AS (SELECT id, substr(w, i, n) AS gram FROM (SELECT id, w, n, unnest(generate_series(1, length(w) - n + 1)) AS i FROM tw, (VALUES (3), (4), (5)) AS v(n) WHERE n <= length(w))),
+tf AS (SELECT id, gram, count(*) AS tf FROM tg GROUP BY ALL), td AS (SELECT gram, count(*) AS df FROM (SELECT gram, count(*) AS df, sum(tf) AS c FROM tf GROUP BY gram HAVING count(*) >= 2 ORDER BY c DESC, gram LIMIT 180000) JOIN tf USING (gram) GROUP BY gram), tn AS (SELECT count(*) AS n FROM tt),
+tv AS (SELECT id, gram, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS v FROM tf JOIN td USING (gram), tn), tu AS (SELECT id, gram, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM tv),
+gs AS (SELECT l_orderkey AS id, list(DISTINCT l_partkey % 20) AS g FROM lineitem GROUP BY 1),
+nl AS (SELECT a, b, any_value(cosine) AS cosine, coalesce(sum(x.v * y.v), 0) AS lexical_cosine FROM np LEFT JOIN tu x ON x.id = a LEFT JOIN tu y ON y.id = b AND y.gram = x.gram GROUP BY a, b),
+nr AS (SELECT a, b, cosine, lexical_cosine, coalesce(ka.k1 = kb.k1, false) AS same_strict_text, coalesce(ka.k2 = kb.k2, false) AS same_punctuation_text, coalesce(ka.k3 = kb.k3, false) AS same_accent_text,
+  len(list_intersect(coalesce(ga.g, []), coalesce(gb.g, []))) AS gold_overlap, len(list_distinct(list_concat(coalesce(ga.g, []), coalesce(gb.g, [])))) AS u
+  FROM nl LEFT JOIN tk ka ON ka.id = a LEFT JOIN tk kb ON kb.id = b LEFT JOIN gs ga ON ga.id = a LEFT JOIN gs gb ON gb.id = b)
+"""
+NEAR_ROWS = NEAR + "SELECT a, b, round(cosine, 6) AS cosine, round(lexical_cosine, 6) AS lexical_cosine, same_strict_text, same_punctuation_text, same_accent_text, gold_overlap, round(CASE WHEN u > 0 THEN gold_overlap / u::DOUBLE ELSE 0 END, 6) AS gold_jaccard FROM nr"
+# Least reachable node over edges ed (a, b), of nodes that may be pairs.
+_REACH = "un AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed UNION SELECT a, a FROM ed UNION SELECT b, b FROM ed), rc AS (SELECT a, b FROM un UNION SELECT rc.a, un.b FROM rc JOIN un ON rc.b = un.a), cc AS (SELECT a AS node, min(b) AS component FROM rc GROUP BY a)"
+COMPONENTS = NEAR + f", ed AS (SELECT a, b FROM np UNION ALL SELECT a, b FROM mem), {_REACH} SELECT vec_id AS node, coalesce(component, vec_id) AS component FROM embeddings LEFT JOIN cc ON node = vec_id"
+LEAKAGE = NEAR + f", ed AS (SELECT a, b FROM nr WHERE cosine >= 0.95 OR (cosine >= 0.94 AND lexical_cosine >= 0.8) UNION ALL SELECT a, b FROM mem UNION ALL SELECT id, min(id) OVER (PARTITION BY k3) FROM tk), {_REACH} SELECT vec_id AS id, coalesce(component, vec_id) AS group_id FROM embeddings LEFT JOIN cc ON node = vec_id"
+SWEEP = NEAR + f", th AS (SELECT unnest({THRESHOLDS})::DOUBLE AS t), eg AS (SELECT * FROM nr JOIN th ON cosine >= t), ed AS (SELECT (t, a) AS a, (t, b) AS b FROM eg), {_REACH}," + """ sz AS (SELECT component[1] AS t, count(*) AS n FROM cc GROUP BY component),
+sa AS (SELECT t, count(*) AS components, sum(n)::BIGINT AS grouped, max(n) AS max_size, quantile_cont(n::DOUBLE, 0.95) AS p95_size FROM sz GROUP BY t),
+ea AS (SELECT t, count(*) AS edges, avg(same_strict_text::INT) AS same_text_rate, avg((gold_overlap > 0)::INT) AS gold_overlap_rate, quantile_cont(lexical_cosine, 0.5) AS lexical_median FROM eg GROUP BY t)
+SELECT t AS threshold, coalesce(edges, 0) AS edges, coalesce(components, 0) AS components, coalesce(grouped, 0) AS grouped, coalesce(max_size, 1) AS max_size, round(coalesce(p95_size, 1), 6) AS p95_size, round(coalesce(same_text_rate, 0), 6) AS same_text_rate, round(coalesce(gold_overlap_rate, 0), 6) AS gold_overlap_rate, round(coalesce(lexical_median, 0), 6) AS lexical_median FROM th LEFT JOIN ea USING (t) LEFT JOIN sa USING (t)"""
 
 
 def fold_slice_metrics(s, d):
@@ -162,8 +222,7 @@ SUBSETS = [list(c) for n in (1, 2, 3) for c in combinations(SOURCES, n)]
 
 def marginal_source(s, d):
     """What the tail source adds to the other two at depth 5."""
-    u = metrics.union_oracle(lists(s, d), gold(s, d), [["full", "head"], SOURCES], 5)
-    return u.agg(F.round(F.max("recall") - F.min("recall"), 6).alias("delta"), F.round(F.max("full") - F.min("full"), 6).alias("full_delta"))
+    return r6(metrics.marginal(lists(s, d), gold(s, d), ["full", "head"], "tail", 5))
 
 
 def missing_gold(s, d):
@@ -287,17 +346,16 @@ def utility_rrf(s, d):
 
 
 def self_knn(s, d):
-    q = q_vec(s, d)
-    x = vector.similarities(q, vectors(s, d).select(F.col("vec_id").alias("doc_id"), "embedding")).where("qid <> doc_id")
-    return r6(fusion.ranked(x).where("rank <= 12").select(F.col("qid").alias("id"), F.col("doc_id").alias("nbr"), "rank", "score"))
+    x = vector.topk(q_vec(s, d), d_vec(s, d), 12)
+    return r6(x.select(F.col("qid").alias("id"), F.col("doc_id").alias("nbr"), "rank", "score"))
 
 
 def wide_pool(s, d):
-    """The union of the sources' first 50 in RRF order, cut at 60; the full source's first 30 always stay."""
+    """The union of the sources' first 100 in RRF order, cut at 160; the full source's first 30 always stay."""
     all_ = lists(s, d)
-    pool = fusion.rrf(all_.where("rank <= 50"), top=10_000)
+    pool = fusion.rrf(all_, top=None)
     old = all_.where("source = 'full' and rank <= 30").select("qid", "doc_id", F.lit(True).alias("old"))
-    return r6(pool.join(old, ["qid", "doc_id"], "left").where("rank <= 60 or old").select("qid", "doc_id", "rrf", "rank"))
+    return r6(pool.join(old, ["qid", "doc_id"], "left").where("rank <= 160 or old").select("qid", "doc_id", "rrf", "rank"))
 
 
 def topk_churn(s, d):
@@ -309,9 +367,7 @@ def topk_churn(s, d):
 
 
 def complementarity(s, d):
-    tops = lists(s, d).where("rank <= 5").groupBy("source", "qid").agg(F.collect_set("doc_id").alias("t"))
-    x = tops.toDF("a", "qid", "ta").join(tops.toDF("b", "qid", "tb"), "qid").where("a < b")
-    return r6(x.groupBy("a", "b").agg(F.avg(F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))).alias("jaccard")))
+    return r6(metrics.complementarity(lists(s, d), gold(s, d), 20))
 
 
 def query_auc(s, d):
@@ -320,43 +376,39 @@ def query_auc(s, d):
 
 
 def posneg_pairs(s, d):
-    """At most 8 positive-negative pairs a query, of the first 10 ranks."""
-    x = full(s, d).where("rank <= 10").join(gold(s, d).withColumn("g", F.lit(1)), ["qid", "doc_id"], "left")
-    p, n = x.where("g = 1").select("qid", F.col("doc_id").alias("pos")), x.where("g is null").select("qid", F.col("doc_id").alias("neg"), F.col("rank").alias("r"))
-    from pyspark.sql import Window as W
-
-    y = p.join(n, "qid").withColumn("nth", F.row_number().over(W.partitionBy("qid").orderBy("pos", "r")))
-    return y.where("nth <= 8").select("qid", "pos", "neg")
+    """At most 48 positive-negative pairs a query of the first 20 ranks, each with its mirror image."""
+    x = full(s, d).where("rank <= 20").join(gold(s, d).withColumn("g", F.lit(1)), ["qid", "doc_id"], "left")
+    return r6(features.mirrored_pairs(x.select("qid", "doc_id", "rank", "score", F.col("g").isNotNull().alias("positive")), 48))
 
 
 QUERIES: dict = {
-    "dense_topk": (dense_topk, BASE + "SELECT qid, doc_id, rank, round(score, 6) AS score FROM f WHERE rank <= 10"),
-    "dense_topk_blocked": (lambda s, d: r6(full(s, d, 10)), BASE + "SELECT qid, doc_id, rank, round(score, 6) AS score FROM f WHERE rank <= 10"),
-    "parent_max_topk": (lambda s, d: r6(vector.parent_max(_sims(s, d), parents(s, d), 10).select("qid", "parent_id", "rank", "score")), BASE + ', m AS (SELECT qid, parent_id, max("full") AS score FROM sims GROUP BY ALL) SELECT qid, parent_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, parent_id) AS rank FROM m) WHERE rank <= 10'),
-    "self_knn": (self_knn, BASE + ", s AS (SELECT qid AS id, vec_id AS nbr, round(list_dot_product(q.v, e.embedding::DOUBLE[]), 9) AS score FROM q, embeddings e WHERE qid <> vec_id) SELECT id, nbr, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, nbr) AS rank FROM s) WHERE rank <= 12"),
-    "nearest_cross_set": (lambda s, d: r6(fusion.ranked(_sims(s, d)).where("rank = 1").select(F.col("qid").alias("id"), F.col("doc_id").alias("nbr"), "score")), BASE + "SELECT qid AS id, doc_id AS nbr, round(score, 6) AS score FROM f WHERE rank = 1"),
-    "near_dup_pairs": (near_dup_pairs, BASE + "SELECT DISTINCT least(qid, vec_id) AS a, greatest(qid, vec_id) AS b, round(round(list_dot_product(q.v, e.embedding::DOUBLE[]), 9), 6) AS cosine FROM q, embeddings e WHERE qid <> vec_id AND round(list_dot_product(q.v, e.embedding::DOUBLE[]), 9) >= 0.3"),
+    "dense_topk": (lambda s, d: r6(full(s, d, 10)), BASE + "SELECT qid, doc_id, rank, round(score, 6) AS score FROM f WHERE rank <= 10"),
+    "dense_topk_blocked": (lambda s, d: r6(vector.topk(q_vec(s, d), d_vec(s, d), 10, block=64)), BASE + "SELECT qid, doc_id, rank, round(score, 6) AS score FROM f WHERE rank <= 10"),
+    "parent_max_topk": (lambda s, d: r6(vector.parent_max(_children(s, d), 10).select("qid", "parent_id", "rank", "score")), BASE + ', m AS (SELECT qid, parent_id, max("full") AS score FROM sims GROUP BY ALL) SELECT qid, parent_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, parent_id) AS rank FROM m) WHERE rank <= 10'),
+    "self_knn": (self_knn, BASE + "SELECT qid AS id, doc_id AS nbr, rank, round(score, 6) AS score FROM f WHERE rank <= 12"),
+    "nearest_cross_set": (lambda s, d: r6(full(s, d, 1).select(F.col("qid").alias("id"), F.col("doc_id").alias("nbr"), "score")), BASE + "SELECT qid AS id, doc_id AS nbr, round(score, 6) AS score FROM f WHERE rank = 1"),
+    "near_dup_pairs": (lambda s, d: r6(near_rows(s, d)), NEAR_ROWS),
     "centroids": (lambda s, d: r6(vector.centroids(d_vec(s, d), parents(s, d))), BASE + ", u AS (SELECT parent_id, unnest(generate_series(0, len(v) - 1)) AS pos, unnest(v) AS x FROM d), m AS (SELECT parent_id, pos, avg(x) AS m FROM u GROUP BY ALL) SELECT parent_id, pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY parent_id)), 6) AS value FROM m"),
-    "witness_select": (lambda s, d: r6(vector.witness(_sims(s, d), parents(s, d))), BASE + 'SELECT qid, parent_id, doc_id AS vec_id, round("full", 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, parent_id ORDER BY "full" DESC, doc_id) AS n FROM sims) WHERE n = 1'),
-    "passage_support": (lambda s, d: r6(vector.support(_sims(s, d), parents(s, d))), BASE + ', x AS (SELECT qid, parent_id, list_reverse_sort(list("full")) AS s FROM sims GROUP BY ALL) SELECT qid, parent_id, round(s[1], 6) AS best, round(s[least(2, len(s))], 6) AS second, round(s[least(3, len(s))], 6) AS third, round(s[1] - s[least(2, len(s))], 6) AS gap, round(ln(1 + len(s)), 6) AS log_n, round(ln(1 + len(list_filter(s, lambda y: y >= s[1] - 0.025))), 6) AS log_close FROM x'),
+    "witness_select": (lambda s, d: r6(vector.witness(_children(s, d))), BASE + 'SELECT qid, parent_id, doc_id AS vec_id, round("full", 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, parent_id ORDER BY "full" DESC, doc_id) AS n FROM sims) WHERE n = 1'),
+    "passage_support": (lambda s, d: r6(vector.support(_children(s, d))), BASE + ', x AS (SELECT qid, parent_id, list_reverse_sort(list("full")) AS s FROM sims GROUP BY ALL) SELECT qid, parent_id, round(s[1], 6) AS best, round(s[least(2, len(s))], 6) AS second, round(s[least(3, len(s))], 6) AS third, round(s[1] - s[least(2, len(s))], 6) AS gap, round(ln(1 + len(s)), 6) AS log_n, round(ln(1 + len(list_filter(s, lambda y: y >= s[1] - 0.025))), 6) AS log_close FROM x'),
     "embedding_norms": (lambda s, d: vectors(s, d).select("vec_id", F.round(vector.norm(F.col("embedding")), 6).alias("norm")), "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings"),
-    "components": (components, BASE + EDGES + _cc(0.25)),
-    "leakage_groups": (lambda s, d: components(s, d).groupBy(F.col("component").alias("group_id")).agg(F.count("*").alias("size")), BASE + EDGES + f"SELECT component AS group_id, count(*) AS size FROM ({_cc(0.25)}) GROUP BY 1"),
-    "threshold_sweep": (threshold_sweep, BASE + EDGES + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, (SELECT count(*) FROM e WHERE score >= {t}) AS edges, count(*) AS components, coalesce(max(n), 0) AS max_size FROM (SELECT component, count(*) AS n FROM ({_cc(t)}) GROUP BY 1)" for t in (0.2, 0.25, 0.3))),
+    "components": (components, COMPONENTS),
+    "leakage_groups": (leakage_groups, LEAKAGE),
+    "threshold_sweep": (threshold_sweep, SWEEP),
     "pool_union": (lambda s, d: lists(s, d).where("rank <= 50").groupBy("qid", "doc_id").agg(F.count("*").alias("n_sources")), BASE + "SELECT qid, doc_id, count(*) AS n_sources FROM lists WHERE rank <= 50 GROUP BY ALL"),
-    "wide_pool": (wide_pool, BASE + ", p AS (SELECT qid, doc_id, round(sum(1 / (60.0::DOUBLE + rank)), 9) AS rrf FROM lists WHERE rank <= 50 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, doc_id) AS rank FROM p) SELECT qid, doc_id, round(rrf, 6) AS rrf, r.rank FROM r LEFT JOIN (SELECT qid, doc_id, true AS old FROM f WHERE rank <= 30) USING (qid, doc_id) WHERE r.rank <= 60 OR old"),
+    "wide_pool": (wide_pool, BASE + ", p AS (SELECT qid, doc_id, round(sum(1 / (60.0::DOUBLE + rank)), 9) AS rrf FROM lists GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, doc_id) AS rank FROM p) SELECT qid, doc_id, round(rrf, 6) AS rrf, r.rank FROM r LEFT JOIN (SELECT qid, doc_id, true AS old FROM f WHERE rank <= 30) USING (qid, doc_id) WHERE r.rank <= 160 OR old"),
     "anchored_merge": (lambda s, d: (lambda x: fusion.anchored_merge(x.where("source = 'full'"), x.where("source = 'tail'"), 3))(lists(s, d)), BASE + ", u AS (SELECT qid, doc_id, min((p, rank)) AS o FROM (SELECT qid, doc_id, 0 AS p, rank FROM f WHERE rank <= 3 UNION ALL SELECT qid, doc_id, 1, rank FROM lists WHERE source = 'tail') GROUP BY ALL) SELECT qid, slot, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o, doc_id) AS slot FROM u) WHERE slot <= 5"),
     "topk_churn": (topk_churn, BASE + ", a AS (SELECT qid, list(doc_id ORDER BY rank) AS a FROM f WHERE rank <= 5 GROUP BY qid), b AS (SELECT qid, list(doc_id ORDER BY rank) AS b FROM lists WHERE source = 'tail' AND rank <= 5 GROUP BY qid) SELECT qid, a <> b AS ordered_churn, list_sort(a) <> list_sort(b) AS set_churn, len(list_filter(b, lambda x: NOT list_contains(a, x)))::BIGINT AS entering, len(list_filter(a, lambda x: NOT list_contains(b, x)))::BIGINT AS leaving FROM a JOIN b USING (qid)"),
     "non_evaluable": (lambda s, d: q_vec(s, d).join(gold(s, d), "qid", "left_anti").select("qid"), BASE + "SELECT qid FROM q WHERE qid NOT IN (SELECT qid FROM gold)"),
-    "posneg_pairs": (posneg_pairs, BASE + ", x AS (SELECT f.qid, f.doc_id, f.rank, g.doc_id IS NOT NULL AS gold FROM f LEFT JOIN gold g USING (qid, doc_id) WHERE rank <= 10) SELECT qid, pos, neg FROM (SELECT p.qid, p.doc_id AS pos, n.doc_id AS neg, row_number() OVER (PARTITION BY p.qid ORDER BY p.doc_id, n.rank) AS k FROM x p JOIN x n ON p.qid = n.qid AND p.gold AND NOT n.gold) WHERE k <= 8"),
+    "posneg_pairs": (posneg_pairs, BASE + ", x AS (SELECT f.qid, f.doc_id, f.rank, f.score, g.doc_id IS NOT NULL AS gold FROM f LEFT JOIN gold g USING (qid, doc_id) WHERE rank <= 20), y AS (SELECT p.qid, p.doc_id AS p, n.doc_id AS n, p.score - n.score AS v, row_number() OVER (PARTITION BY p.qid ORDER BY p.rank, n.rank) AS k FROM x p JOIN x n ON p.qid = n.qid AND p.gold AND NOT n.gold) SELECT qid, p AS first, n AS second, 1 AS label, round(v, 6) AS difference FROM y WHERE k <= 48 UNION ALL SELECT qid, n, p, 0, round(-v, 6) FROM y WHERE k <= 48"),
     "query_metrics": (lambda s, d: r6(_recall(s, d, "full").select("qid", "recall", "precision")), BASE + "SELECT qid, round(recall, 6) AS recall, round(hits / 5.0::DOUBLE, 6) AS precision FROM per WHERE source = 'full'"),
     "macro_metrics": (macro_metrics, BASE + ", m AS (SELECT count(*) AS queries, avg(recall) AS recall, avg(hits / 5.0::DOUBLE) AS precision, avg(recall) FILTER (n = 1) AS single, avg(recall) FILTER (n > 1) AS multi, 5.0::DOUBLE AS mean_returned FROM per WHERE source = 'full') SELECT queries, round(recall, 6) AS recall, round(precision, 6) AS precision, round(single, 6) AS single, round(multi, 6) AS multi, mean_returned, round(CASE WHEN 4 * precision + recall > 0 THEN 5 * precision * recall / (4 * precision + recall) ELSE 0 END, 6) AS f2 FROM m"),
     "fold_slice_metrics": (fold_slice_metrics, BASE + ", p AS (SELECT per.*, (qid // 20) % 5 AS fold, label FROM per JOIN q USING (qid) WHERE source = 'full') SELECT 'all' AS grouping, -1::BIGINT AS name, round(avg(recall), 6) AS recall, count(*) AS n FROM p UNION ALL SELECT 'fold', fold::BIGINT, round(avg(recall), 6), count(*) FROM p GROUP BY fold UNION ALL SELECT 'label', label::BIGINT, round(avg(recall), 6), count(*) FROM p GROUP BY label"),
     "recall_curve": (lambda s, d: r6(metrics.curve(full(s, d), gold(s, d))), BASE + ", k AS (SELECT unnest([1, 5, 10, 20, 50])::BIGINT AS k), h AS (SELECT k, gold.qid, count(*) AS n, count(*) FILTER (rank <= k) AS h FROM gold CROSS JOIN k LEFT JOIN f USING (qid, doc_id) GROUP BY ALL) SELECT k, round(avg(h / n::DOUBLE), 6) AS macro_recall, round(avg((h = n)::INT), 6) AS full_coverage, round(sum(h) / sum(n)::DOUBLE, 6) AS micro_recall FROM h GROUP BY k"),
     "union_oracle": (lambda s, d: r6(metrics.union_oracle(lists(s, d), gold(s, d), SUBSETS, 5)), BASE + ", sub(subset, members) AS (VALUES " + ", ".join(f"('{'+'.join(x)}', {x})" for x in SUBSETS) + "), u AS (SELECT DISTINCT subset, qid, doc_id FROM lists JOIN sub ON list_contains(members, source) WHERE rank <= 5), c AS (SELECT subset, u.qid, count(*) AS pool, count(g.doc_id) AS h FROM u LEFT JOIN gold g USING (qid, doc_id) GROUP BY ALL) SELECT subset, round(avg(coalesce(h, 0) / n::DOUBLE), 6) AS recall, round(avg((coalesce(h, 0) = n)::INT), 6) AS \"full\", round(avg(coalesce(pool, 0)), 6) AS pool FROM ng CROSS JOIN sub LEFT JOIN c USING (subset, qid) GROUP BY subset"),
-    "marginal_source": (marginal_source, BASE + ", u AS (SELECT p, qid, doc_id FROM (SELECT DISTINCT 2 AS p, qid, doc_id FROM lists WHERE rank <= 5 AND source <> 'tail' UNION ALL SELECT DISTINCT 3, qid, doc_id FROM lists WHERE rank <= 5)), c AS (SELECT p, ng.qid, n, count(g.doc_id) AS h FROM ng CROSS JOIN (VALUES (2), (3)) v(p) LEFT JOIN (SELECT p, qid, doc_id FROM u JOIN gold USING (qid, doc_id)) g USING (p, qid) GROUP BY ALL), m AS (SELECT p, avg(h / n::DOUBLE) AS r, avg((h = n)::INT) AS x FROM c GROUP BY p) SELECT round(max(r) - min(r), 6) AS delta, round(max(x) - min(x), 6) AS full_delta FROM m"),
+    "marginal_source": (marginal_source, BASE + ", c AS (SELECT ng.qid, n, count(DISTINCT l.doc_id) FILTER (source <> 'tail') AS hb, count(DISTINCT l.doc_id) AS he FROM ng LEFT JOIN (SELECT lists.* FROM lists JOIN gold USING (qid, doc_id) WHERE rank <= 5) l USING (qid) GROUP BY ALL) SELECT round(avg(hb / n::DOUBLE), 6) AS base_recall, round(avg(he / n::DOUBLE), 6) AS expanded_recall, round(avg(he / n::DOUBLE) - avg(hb / n::DOUBLE), 6) AS delta, count(*) FILTER (he > hb) AS query_rescues, count(*) FILTER (hb < n AND he = n) AS full_rescues, sum(he - hb)::BIGINT AS gold_rescues FROM c"),
     "missing_gold_ranks": (missing_gold, BASE + "SELECT qid, doc_id, " + ", ".join(f"max(rank) FILTER (source = '{x}') AS rank_{x}" for x in SOURCES) + " FROM gold LEFT JOIN lists USING (qid, doc_id) WHERE (qid, doc_id) NOT IN (SELECT (qid, doc_id) FROM f WHERE rank <= 5) GROUP BY ALL"),
-    "complementarity": (complementarity, BASE + ", t AS (SELECT source, qid, list(doc_id) AS t FROM lists WHERE rank <= 5 GROUP BY ALL) SELECT a.source AS a, b.source AS b, round(avg(len(list_intersect(a.t, b.t)) / (10.0::DOUBLE - len(list_intersect(a.t, b.t)))), 6) AS jaccard FROM t a JOIN t b ON a.qid = b.qid AND a.source < b.source GROUP BY ALL"),
+    "complementarity": (complementarity, BASE + ", m AS (SELECT qid, doc_id, list(source) AS s FROM lists WHERE rank <= 20 GROUP BY ALL), pr(a, b) AS (VALUES ('full', 'head'), ('full', 'tail'), ('head', 'tail')), c AS (SELECT a, b, qid, list_contains(s, a) AS ia, list_contains(s, b) AS ib, g.doc_id IS NOT NULL AS gold FROM m LEFT JOIN gold g USING (qid, doc_id), pr), p AS (SELECT a, b, qid, count(*) FILTER (ia AND ib) / count(*) FILTER (ia OR ib)::DOUBLE AS j, count(*) FILTER (gold AND ia AND NOT ib) AS ga, count(*) FILTER (gold AND ib AND NOT ia) AS gb, count(*) FILTER (gold AND (ia OR ib)) AS gu FROM c GROUP BY ALL) SELECT a, b, round(avg(gu / n::DOUBLE), 6) AS union_recall, round(avg((gu = n)::INT), 6) AS union_full, count(*) FILTER (ga > 0) AS a_rescues, count(*) FILTER (gb > 0) AS b_rescues, sum(ga)::BIGINT AS a_unique_gold, sum(gb)::BIGINT AS b_unique_gold, round(avg(j), 6) AS jaccard FROM p JOIN ng USING (qid) GROUP BY a, b"),
     "arm_oracle": (arm_oracle, BASE + "SELECT round(avg(hi), 6) AS oracle, count(*) FILTER (hi > lo) AS differ FROM (SELECT qid, max(recall) AS hi, min(recall) AS lo FROM per GROUP BY qid)"),
     "paired_gain": (lambda s, d: r6(metrics.paired_gain(_recall(s, d, "full"), _recall(s, d, "tail"))), BASE + ", x AS (SELECT a.qid, b.recall - a.recall AS v FROM per a JOIN per b USING (qid) WHERE a.source = 'full' AND b.source = 'tail') SELECT round(avg(v), 6) AS delta, count(*) FILTER (v > 0) AS wins, count(*) FILTER (v < 0) AS losses, count(*) FILTER (v = 0) AS ties, CASE WHEN avg(v) > 0 AND count(*) FILTER (v > 0) > count(*) FILTER (v < 0) THEN 'PROMOTE' ELSE 'KILL' END AS decision FROM x"),
     "query_auc": (query_auc, BASE + ", x AS (SELECT f.qid, score, (g.doc_id IS NOT NULL) AS y FROM f LEFT JOIN gold g USING (qid, doc_id)) SELECT p.qid, round(avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END), 6) AS auc FROM x p JOIN x n ON p.qid = n.qid AND p.y AND NOT n.y GROUP BY p.qid"),
