@@ -15,7 +15,7 @@ from rankloom.llm.op4_records import encoder
 from rankloom.plans.session import cut
 
 #: Permitted sequence lengths, what opening a bin costs besides its length, and pieces packed together.
-CAPACITIES, OVERHEAD, GROUP = (512, 1024, 2048, 4096), 16, 8192
+CAPACITIES, OVERHEAD, GROUP = (512, 1024, 2048, 4096), 16, 4096
 _BATCH_CHARS = 3 << 20
 
 
@@ -67,7 +67,8 @@ def pack(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead:
 
 
 def _encoded(docs: DataFrame, path: str, top: int) -> DataFrame:
-    """doc_id, th (hash of the text), piece, start, n_tokens and ids (their bytes) of every piece of docs' whole texts."""
+    """doc_id, th (hash of the text), piece, start, n_tokens and ids of every piece of docs' whole texts; ids in as few
+    bytes each as the vocabulary needs."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path)
@@ -76,7 +77,7 @@ def _encoded(docs: DataFrame, path: str, top: int) -> DataFrame:
                 rows = []
                 for i, th, blob in zip(y["doc_id"], y["th"], encode(y["text"].tolist()), strict=True):
                     ids = np.frombuffer(blob, encode.dtype)
-                    rows += [(i, th, k, k * top, len(p), p.astype("<u4").tobytes()) for k, p in enumerate(np.split(ids, range(top, len(ids), top)))]
+                    rows += [(i, th, k, k * top, len(p), p.tobytes()) for k, p in enumerate(np.split(ids, range(top, len(ids), top)))]
                 out = pd.DataFrame(rows, columns=["doc_id", "th", "piece", "start", "n_tokens", "ids"])
                 yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
@@ -121,7 +122,7 @@ def best_fit(docs: DataFrame, path: str | None = None, capacities: tuple[int, ..
         at = np.empty(len(n), np.int64)
         at[order] = before - np.maximum.accumulate(np.where(np.r_[True, np.diff(bins[order]) != 0], before, 0))
         x = x.assign(bin_id=(int(x["g"].iloc[0]) << 24) + bins, capacity=caps[bins], fill=np.bincount(bins, n).astype(np.int64)[bins], at=at)
-        x["ids"] = [np.frombuffer(b, "<u4").astype(np.int32) for b in x["ids"]]
+        x["ids"] = [np.frombuffer(b, f"<u{len(b) // k}").astype(np.int32) for b, k in zip(x["ids"], n, strict=True)]
         return x[["doc_id", "piece", "start", "n_tokens", "bin_id", "capacity", "fill", "at", "ids"]]
 
     return rows.groupBy("g").applyInPandas(run, "doc_id long, piece int, start long, n_tokens long, bin_id long, capacity long, fill long, at long, ids array<int>")
