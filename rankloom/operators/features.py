@@ -36,14 +36,6 @@ def title_features(pairs: DataFrame, titles: DataFrame) -> DataFrame:
     return rows.select("qid", "doc_id", "overlap", "query_coverage", "title_coverage", "jaccard", F.coalesce("idf_overlap", F.lit(0.0)).alias("idf_overlap"), F.coalesce(F.col("idf_overlap") / F.col("idf_q"), F.lit(0.0)).alias("idf_ratio"))
 
 
-def list_diagnostics(lists: DataFrame, base: str, depth: int = 10) -> DataFrame:
-    """(qid, source, head_overlap, support_mean, support_max, mean_rr): per arm, how far other arms back its head."""
-    head = lists.where(F.col("rank") <= depth)
-    votes = head.groupBy("qid", "doc_id").agg((F.count("*") - 1).alias("others"), F.max((F.col("source") == base).cast("int")).alias("in_base"))
-    rows = head.join(votes, ["qid", "doc_id"]).groupBy("qid", "source")
-    return rows.agg(F.sum("in_base").cast("long").alias("head_overlap"), F.avg("others").alias("support_mean"), F.max("others").alias("support_max"), F.avg(1 / (10.0 + F.col("rank"))).alias("mean_rr"))
-
-
 def colabel_graph(items: DataFrame) -> DataFrame:
     """items (basket, item): for pairs a < b that share a basket, support, P(b|a), Jaccard and PMI. Baskets are small
     by nature; an item's frequency comes from one aggregate."""
@@ -137,3 +129,98 @@ def agreement(lists: DataFrame, pairs: list[tuple[str, str]], k: int = 5) -> Dat
     per = lists.where((F.col("rank") <= k) & F.col("source").isin(names)).groupBy("qid", "doc_id").agg(*(F.max((F.col("source") == s).cast("int")).alias(f"_{s}") for s in names))
     both = lambda a, b: F.sum(F.col(f"_{a}") * F.col(f"_{b}")) / F.greatest(F.sum(F.greatest(f"_{a}", f"_{b}")), F.lit(1))
     return per.groupBy("qid").agg(*(both(a, b).alias(f"{a}_{b}") for a, b in pairs))
+
+
+def positional_rank(rows: DataFrame, score: str, name: str, position: str = "pos") -> DataFrame:
+    """Rank by score descending where ties keep the candidates' positions."""
+    return ranked(rows, score, position, name=name)
+
+
+def semantic_features(rows: DataFrame, families: list[str], short: int = 30) -> DataFrame:
+    """rows (qid, doc_id, pos, <f>_ce and <f>_sim per family): per family score, z, gap to the top and reciprocal rank, region
+    similarity, its z and reciprocal rank; over the families max, min, mean, spread of the scores, how many have the
+    document in their first five, and how far their ranks are apart. Seven columns a family and six more."""
+    out = rows
+    for f in families:
+        out = positional_rank(positional_rank(out, f"{f}_ce", f"_{f}_r"), f"{f}_sim", f"_{f}_sr")
+    per = []
+    for f in families:
+        ce, sim = F.col(f"{f}_ce"), F.col(f"{f}_sim")
+        per += [ce.alias(f"{f}_raw"), z(ce).alias(f"{f}_z"), gap_to_top(ce).alias(f"{f}_gap"), (1 / (10.0 + F.col(f"_{f}_r"))).alias(f"{f}_rr10")]
+        per += [sim.alias(f"{f}_sim"), z(sim).alias(f"{f}_sim_z"), (1 / (10.0 + F.col(f"_{f}_sr"))).alias(f"{f}_sim_rr10")]
+    ce = [F.col(f"{f}_ce") for f in families]
+    rank = [F.col(f"_{f}_r") for f in families]
+    top5 = sum((r <= 5).cast("int") for r in rank)
+    return out.select("qid", "doc_id", *per, F.greatest(*ce).alias("ce_max"), F.least(*ce).alias("ce_min"), (sum(ce[1:], ce[0]) / len(ce)).alias("ce_mean"), (F.greatest(*ce) - F.least(*ce)).alias("ce_absdiff"), top5.cast("double").alias("top5_support"), ((F.greatest(*rank) - F.least(*rank)) / F.lit(float(short))).alias("rank_diff"))
+
+
+def local_z(rows: DataFrame, columns: list[str], eps: float = 1e-6) -> DataFrame:
+    """Each column as its z-score within the query; the others as they are."""
+    return rows.select(*(z(F.col(c), eps=eps).alias(c) if c in columns else F.col(c) for c in rows.columns))
+
+
+# Score, z and rank of a document that a scorer has not seen.
+UNSEEN = (-20.0, -4.0, 35.0)
+
+
+def arm_diagnostics(arms: DataFrame, lists: DataFrame, shortlist: DataFrame, agree: int = 4) -> DataFrame:
+    """arms (arm, qid, doc_id, rank), source lists (source, qid, doc_id, rank, score), shortlist (qid, doc_id, pos, ce): 18
+    columns on the first five documents of each arm and query: how many sources back them in their first 5 (mean, least,
+    most), 10 and 20, mean reciprocal rank, the scorer's mean and best score, mean z and rank, distinct documents,
+    overlap with the shortlist's first 5 and 10, the arm's own gaps where it is a source, and the share backed by agree."""
+    back = lambda k: F.count_if(F.col("rank") <= k)
+    votes = lists.where(F.col("rank") <= 50).groupBy("qid", "doc_id").agg(back(5).alias("s5"), back(10).alias("s10"), back(20).alias("s20"), F.avg(1 / (10.0 + F.col("rank"))).alias("rr"))
+    seen = ranked(shortlist, "ce", "doc_id", name="ce_rank").select("qid", "doc_id", "pos", "ce", z(F.col("ce")).alias("ce_z"), "ce_rank")
+    at = lambda i: F.max(F.when(F.col("rank") == i, F.col("score")))
+    sd = F.when(F.stddev_pop("score") < 1e-8, 1.0).otherwise(F.stddev_pop("score"))
+    own = lists.groupBy(F.col("source").alias("arm"), "qid").agg(((at(1) - at(5)) / sd).alias("gap_1_5"), ((at(5) - at(6)) / sd).alias("gap_5_6"), (F.stddev_pop(F.when(F.col("rank") <= 10, F.col("score"))) / sd).alias("std_10"), ((at(1) - F.avg("score")) / sd).alias("z_1"))
+    rows = arms.where(F.col("rank") <= 5).select("arm", "qid", "doc_id").join(votes, ["qid", "doc_id"], "left").join(seen, ["qid", "doc_id"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    head = lambda k: (F.count_distinct(F.when(F.col("pos") <= k, F.col("doc_id"))) / 5.0).alias(f"overlap{k}")
+    raw, lost_z, lost_rank = UNSEEN
+    x = rows.groupBy("arm", "qid").agg(F.avg(zero("s5")).alias("support5_mean"), F.min(zero("s5")).cast("double").alias("support5_min"), F.max(zero("s5")).cast("double").alias("support5_max"), F.avg(zero("s10")).alias("support10_mean"), F.avg(zero("s20")).alias("support20_mean"), F.avg(F.coalesce("rr", F.lit(0.0))).alias("mean_rr"), F.avg(F.coalesce("ce", F.lit(raw))).alias("ce_mean"), F.max(F.coalesce("ce", F.lit(raw))).alias("ce_max"), F.avg(F.coalesce("ce_z", F.lit(lost_z))).alias("ce_z_mean"), (F.avg(F.coalesce("ce_rank", F.lit(lost_rank))) / 30).alias("ce_rank_mean"), F.count_distinct("doc_id").cast("double").alias("distinct_docs"), head(5), head(10), (F.count_if(zero("s10") >= agree) / 5.0).alias("agreed"))
+    x = x.join(own, ["arm", "qid"], "left")
+    return x.select(*x.columns[: -4], *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("gap_1_5", "gap_5_6", "std_10", "z_1")))
+
+
+def arm_overlaps(arms: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """(qid, a, b, jaccard<k>): for every two arms a < b of a query the Jaccard similarity of their first k. A document's arms
+    are one short set, so lists never meet each other."""
+    held = arms.where(F.col("rank") <= max(ks)).groupBy("qid", "doc_id").agg(F.collect_list(F.struct("arm", "rank")).alias("s"))
+    names = sorted(r.arm for r in arms.select("arm").distinct().collect())  # arms are few
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for i, a in enumerate(names) for b in names[i + 1 :]))).alias("x")
+    has = lambda c, k: F.exists("s", lambda y: (y["arm"] == F.col(c)) & (y["rank"] <= k))
+    x = held.select("qid", "s", pairs).select("qid", "s", "x.a", "x.b")
+    return x.groupBy("qid", "a", "b").agg(*((F.count_if(has("a", k) & has("b", k)) / F.greatest(F.count_if(has("a", k) | has("b", k)), F.lit(1))).alias(f"jaccard{k}") for k in ks))
+
+
+def slot5_oracle(base: DataFrame, pool: DataFrame, gold: DataFrame) -> DataFrame:
+    """base and pool (qid, doc_id, rank): (qid, old, new, changed): slot 5 as it is, and with the first gold document of the
+    pool that is not in the first four slots, where there is one."""
+    top4 = base.where(F.col("rank") <= 4).select("qid", "doc_id")
+    pick = pool.join(top4, ["qid", "doc_id"], "left_anti").join(gold.distinct(), ["qid", "doc_id"], "left_semi")
+    pick = pick.groupBy("qid").agg(F.min_by("doc_id", "rank").alias("pick"))
+    x = base.where(F.col("rank") == 5).select("qid", F.col("doc_id").alias("old")).join(pick, "qid", "left")
+    new = F.coalesce("pick", "old")
+    return x.select("qid", "old", new.alias("new"), (new != F.col("old")).alias("changed"))
+
+
+def challengers(base: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+    """(qid, nth, doc_id): the first k documents of the pool that are not in the base's first five."""
+    x = pool.join(base.where(F.col("rank") <= 5).select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+    return x.withColumn("nth", F.row_number().over(W.partitionBy("qid").orderBy("rank")).cast("long")).where(F.col("nth") <= k).select("qid", "nth", "doc_id")
+
+
+def training_negatives(rows: DataFrame, per: int = 3, cap: int = 6) -> DataFrame:
+    """rows (qid, doc_id, ra, rb, gold): (qid, doc_id, reason) of all gold documents and, cap a query, the negatives that the
+    base ranks best, that the teacher ranks best and on which they disagree most, per of each; a document has the
+    first reason that takes it."""
+    neg = rows.where(~F.col("gold"))
+    w = W.partitionBy("qid")
+    nth = lambda *o: F.row_number().over(w.orderBy(*o))
+    x = neg.select("qid", "doc_id", nth("ra", "doc_id").alias("base"), nth("rb", "doc_id").alias("teacher"), nth(F.desc(F.abs(F.col("ra") - F.col("rb"))), "doc_id").alias("disagreement"))
+    names = ("base", "teacher", "disagreement")
+    first = F.coalesce(*(F.when(F.col(c) <= per, F.lit(i)) for i, c in enumerate(names)))
+    x = x.withColumn("i", first).where("i is not null")
+    x = x.withColumn("n", F.element_at(F.array(*names), F.col("i") + 1)).withColumn("nth", nth("i", "n")).where(F.col("nth") <= cap)
+    return rows.where("gold").select("qid", "doc_id", F.lit("gold").alias("reason")).unionByName(x.select("qid", "doc_id", F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1).alias("reason")))

@@ -127,3 +127,28 @@ def tournament(scores: DataFrame, configs: list[tuple] | None = None, k: int = 5
     names = ["kind", "w", "c", "hi", "at"]
     out = ranked(x.withColumn("score", F.round(score, 9)), partition=(*names, "qid")).where(F.col("rank") <= k)
     return out.select("kind", "w", F.col("c").cast("long").alias("k"), "hi", "at", "qid", "doc_id", "rank")
+
+
+def fill_up(first: DataFrame, base: DataFrame, size: int) -> DataFrame:
+    """first and base (qid, doc_id, rank): (qid, slot, doc_id): first, then what it lacks of base in base's order, size slots a
+    query; slots still empty repeat the first document."""
+    both = first.select("qid", "doc_id", F.struct(F.lit(0).alias("p"), "rank").alias("o")).unionByName(base.select("qid", "doc_id", F.struct(F.lit(1).alias("p"), "rank").alias("o")))
+    one = both.groupBy("qid", "doc_id").agg(F.min("o").alias("o"))
+    x = one.withColumn("slot", F.row_number().over(by_query().orderBy("o", "doc_id")).cast("long")).where(F.col("slot") <= size)
+    head = x.groupBy("qid").agg(F.max("slot").alias("n"), F.min_by("doc_id", "slot").alias("doc_id")).where(F.col("n") < size)
+    more = head.select("qid", F.explode(F.sequence(F.col("n") + 1, F.lit(size).cast("long"))).alias("slot"), "doc_id")
+    return x.select("qid", "slot", "doc_id").unionByName(more)
+
+
+def residual_grid(rows: DataFrame, signals: list[str], betas: list[float], boundary: tuple[int, int] = (4, 9)) -> DataFrame:
+    """rows (qid, doc_id, pos, base and the signals, all z-scores): (signal, mode, beta, qid, doc_id, rank) of the first five by base +
+    beta * x, where x is the signal, its part orthogonal to base, or that part at the positions of boundary alone. The grid
+    is laid out within the row, and ranks are windows by configuration and query."""
+    orth = {c: orthogonal(F.col(c), F.col("base")) for c in signals}
+    wide = rows.select("qid", "doc_id", "pos", "base", *signals, *(orth[c].alias(f"_{c}") for c in signals))
+    near = F.col("pos").between(*boundary).cast("int")
+    part = lambda c, m, x: F.struct(F.lit(c).alias("signal"), F.lit(m).alias("mode"), x.alias("x"))
+    parts = [y for c in signals for y in (part(c, "raw", F.col(c)), part(c, "orth", F.col(f"_{c}")), part(c, "boundary", F.col(f"_{c}") * near))]
+    x = wide.select("qid", "doc_id", "base", F.explode(F.array(*parts)).alias("p")).select("qid", "doc_id", "base", "p.*", F.explode(F.array(*map(F.lit, betas))).alias("beta"))
+    x = x.withColumn("score", F.round(F.col("base") + F.col("beta") * F.col("x"), 9))
+    return ranked(x, partition=("signal", "mode", "beta", "qid")).where(F.col("rank") <= 5).select("signal", "mode", "beta", "qid", "doc_id", "rank")

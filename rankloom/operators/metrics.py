@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KS = (1, 5, 10, 20, 50)
@@ -36,9 +37,10 @@ def curve(ranks: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS) -> DataFr
     return rows.groupBy("k").agg(F.avg(F.col("h") / F.col("n")).alias("macro_recall"), F.avg((F.col("h") == F.col("n")).cast("double")).alias("full_coverage"), (F.sum("h") / F.sum("n")).alias("micro_recall"))
 
 
-def union_oracle(lists: DataFrame, gold: DataFrame, subsets: list[list[str]], k: int) -> DataFrame:
+def union_oracle(lists: DataFrame, gold: DataFrame, subsets: list[list[str]], k: int, cap: int | None = None) -> DataFrame:
     """(subset, recall, full, pool): what the union of the sources' first k could reach, for each subset. A subset is
-    a bit mask over the sources, and a candidate's sources are one mask, so all subsets share one aggregate."""
+    a bit mask over the sources, and a candidate's sources are one mask, so all subsets share one aggregate. cap: the
+    answers that may be given at most."""
     names = sorted({s for x in subsets for s in x})
     bit = F
     for i, s in enumerate(names):
@@ -50,6 +52,7 @@ def union_oracle(lists: DataFrame, gold: DataFrame, subsets: list[list[str]], k:
     per = rows.groupBy("subset", "qid").agg(F.count("*").alias("pool"), F.count_if(F.expr("gold = 1")).alias("h"))
     size = g.groupBy("qid").agg(F.count("*").alias("n")).crossJoin(F.broadcast(wanted.select("subset")))
     per = size.join(per, ["subset", "qid"], "left").fillna(0, ["pool", "h"])
+    per = per if cap is None else per.withColumn("h", F.least("h", F.lit(cap)))
     return per.groupBy("subset").agg(F.avg(F.col("h") / F.col("n")).alias("recall"), F.avg((F.col("h") == F.col("n")).cast("double")).alias("full"), F.avg("pool").alias("pool"))
 
 
@@ -92,3 +95,40 @@ def complementarity(lists: DataFrame, gold: DataFrame, depth: int) -> DataFrame:
     per = rows.groupBy("a", "b", "qid").agg((F.count_if(ia & ib) / F.count_if(ia | ib)).alias("j"), F.count_if(hit & ia & ~ib).alias("ga"), F.count_if(hit & ib & ~ia).alias("gb"), F.count_if(hit & (ia | ib)).alias("gu"))
     per = per.join(g.groupBy("qid").agg(F.count("*").alias("n")), "qid")
     return per.groupBy("a", "b").agg(F.avg(F.col("gu") / F.col("n")).alias("union_recall"), F.avg((F.col("gu") == F.col("n")).cast("int")).alias("union_full"), F.count_if(F.col("ga") > 0).alias("a_rescues"), F.count_if(F.col("gb") > 0).alias("b_rescues"), F.sum("ga").alias("a_unique_gold"), F.sum("gb").alias("b_unique_gold"), F.avg("j").alias("jaccard"))
+
+
+def arm_wins(per: DataFrame, order: list[str]) -> DataFrame:
+    """per (arm, qid, recall): (arm, wins): how often an arm is the best of a query; of equals the first in order."""
+    at = F
+    for i, a in enumerate(order):
+        at = at.when(F.col("arm") == a, F.lit(i))
+    best = per.groupBy("qid").agg(F.max_by("arm", F.struct("recall", -at.otherwise(F.lit(len(order))))).alias("arm"))
+    return best.groupBy("arm").agg(F.count("*").alias("wins"))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """rows (feature, value), one a fold: (feature, mean, std, low, high, place), place by the mean's size."""
+    x = rows.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return x.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.round(F.abs("mean"), 9)), "feature")).cast("long"))  # one row a feature
+
+
+def paired_folds(a: DataFrame, b: DataFrame, fold: Column, need: int = 3) -> DataFrame:
+    """(fold, delta, wins, losses) of b against a per fold, and a row of fold -1 over all; decision there: PROMOTE if the mean
+    gains, wins outnumber losses and at least need folds gain."""
+    x = a.select("qid", F.col("recall").alias("ra")).join(b.select("qid", F.col("recall").alias("rb")), "qid").select(fold.alias("fold"), F.round(F.col("rb") - F.col("ra"), 12).alias("v"))
+    agg = [F.avg("v").alias("delta"), F.count_if(F.col("v") > 0).alias("wins"), F.count_if(F.col("v") < 0).alias("losses")]
+    per = x.groupBy("fold").agg(*agg)
+    gains = per.agg(F.count_if(F.col("delta") > 0).alias("gains"))
+    total = x.agg(*agg).crossJoin(F.broadcast(gains))  # one row each
+    good = (F.col("delta") > 0) & (F.col("wins") > F.col("losses")) & (F.col("gains") >= need)
+    total = total.select(F.lit(-1).cast("long").alias("fold"), "delta", "wins", "losses", F.when(good, "PROMOTE").otherwise("KILL").alias("decision"))
+    return per.select(F.col("fold").cast("long").alias("fold"), "delta", "wins", "losses", F.lit(None).cast("string").alias("decision")).unionByName(total)
+
+
+def slice_grid(per: DataFrame, members: DataFrame) -> DataFrame:
+    """per (qid, fold, recall), members (slice, qid): (slice, queries, recall) overall, per fold and per slice; slices may
+    overlap. A query's memberships are a short list beside it, so one aggregate gives all rows."""
+    own = members.groupBy("qid").agg(F.collect_set("slice").alias("s"))
+    every = F.concat(F.array(F.lit("all"), F.concat(F.lit("fold_"), F.col("fold").cast("string"))), F.coalesce("s", F.array().cast("array<string>")))
+    x = per.join(own, "qid", "left").select("recall", F.explode(every).alias("slice"))
+    return x.groupBy("slice").agg(F.count("*").alias("queries"), F.avg("recall").alias("recall"))

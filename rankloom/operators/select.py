@@ -135,3 +135,14 @@ def table_digest(rows: DataFrame) -> DataFrame:
     """(n, digest): rows and a sum over their hashes, whatever their order and partitions: the trace of an input."""
     h = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in sorted(rows.columns)))), 1, 8), 16, 10).cast("long")
     return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(h), F.lit(0)).alias("digest"))
+
+
+def nested_alpha(grid: DataFrame) -> DataFrame:
+    """grid (w, fold, recall, n): for each held fold the weight of best recall over the queries of the other folds, the smaller of
+    equals, and its recall on the held fold: (held, alpha, train, recall, n). All folds but one are the total less one."""
+    w = W.partitionBy("w")
+    total, many = F.sum(F.col("recall") * F.col("n")).over(w), F.sum("n").over(w)
+    x = grid.withColumn("train", F.round((total - F.col("recall") * F.col("n")) / (many - F.col("n")), 9))
+    best = W.partitionBy("fold").orderBy(F.desc("train"), "w")
+    x = x.withColumn("k", F.row_number().over(best)).where("k = 1")
+    return x.select(F.col("fold").alias("held"), F.col("w").alias("alpha"), "train", "recall", "n")

@@ -197,3 +197,17 @@ def centroids(docs: DataFrame, parents: DataFrame) -> DataFrame:
     mean = rows.groupBy("parent_id", "pos").agg(F.avg(F.col("v").cast("double")).alias("m"))
     w = W.partitionBy("parent_id")
     return mean.select("parent_id", F.col("pos").cast("long").alias("pos"), (F.col("m") / F.sqrt(F.sum(F.col("m") * F.col("m")).over(w))).alias("value"))
+
+
+def child_ranges(rows: DataFrame) -> DataFrame:
+    """rows (parent_id, row): (parent_id, lo, hi) where a parent's rows are lo to hi, hi exclusive; others raise."""
+    x = rows.groupBy("parent_id").agg(F.min("row").alias("lo"), (F.max("row") + 1).alias("hi"), F.count_distinct("row").alias("n"), F.count("*").alias("m"))
+    bad = F.assert_true((F.col("n") == F.col("hi") - F.col("lo")) & (F.col("n") == F.col("m")), F.concat(F.lit("rows of a parent are not contiguous: "), F.col("parent_id").cast("string")))
+    return x.select("parent_id", "lo", F.coalesce(bad.cast("long"), F.col("hi")).alias("hi"))
+
+
+def normalised(vectors: DataFrame) -> DataFrame:
+    """vectors with embedding at length 1 in double; a zero vector or a number that is not finite raises."""
+    n = norm(F.col("embedding"))
+    bad = F.assert_true((n > 0) & ~F.isnan(n) & (n < float("inf")), F.lit("a vector is zero or not finite"))
+    return vectors.withColumn("embedding", F.transform("embedding", lambda v: v.cast("double") / F.coalesce(bad.cast("double"), n)))

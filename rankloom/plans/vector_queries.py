@@ -335,10 +335,6 @@ def nested_weight(s, d):
     return r6(select.leave_one_fold_out(_grid(s, d)))
 
 
-def list_diagnostics(s, d):
-    return r6(features.list_diagnostics(lists(s, d), "full"))
-
-
 def utility_rrf(s, d):
     all_ = lists(s, d)
     u = all_.where("rank = 1").select("qid", "source", F.col("score").alias("u"))
@@ -416,14 +412,13 @@ QUERIES: dict = {
     "row_z": (row_z, BASE + f", x AS (SELECT qid, doc_id, rank, {Z.format(x='score')} AS z, (max(score) OVER w - score) / CASE WHEN stddev_pop(score) OVER w < 1e-8 THEN 1 ELSE stddev_pop(score) OVER w END AS gap FROM f WINDOW w AS (PARTITION BY qid)) SELECT qid, doc_id, round(z, 6) AS z, round(gap, 6) AS gap FROM x WHERE rank <= 50"),
     "candidate_features": (candidate_features, BASE + f", x AS (SELECT source, qid, doc_id, rank, {Z.format(x='score')} AS z, (max(score) OVER w - score) / CASE WHEN stddev_pop(score) OVER w < 1e-8 THEN 1 ELSE stddev_pop(score) OVER w END AS gap FROM lists WINDOW w AS (PARTITION BY source, qid)) SELECT qid, doc_id, count(*)::DOUBLE AS source_count, round(max(1 / (10.0::DOUBLE + rank)), 6) AS best_rr10, round(sum(1 / (60.0::DOUBLE + rank)), 6) AS rrf60, round(min(rank / 50.0::DOUBLE), 6) AS min_rank, round(avg(rank / 50.0::DOUBLE), 6) AS mean_rank, " + ", ".join(f"count(*) FILTER (rank <= {n})::DOUBLE AS count_top{n}" for n in (5, 10, 20)) + ", round(sum(1 / (10.0::DOUBLE + rank)) / 3, 6) AS mean_rr10, " + ", ".join(f"coalesce(max(1.0::DOUBLE) FILTER (source = '{x}'), 0) AS {x}_present, round(coalesce(max(1 / (10.0::DOUBLE + rank)) FILTER (source = '{x}'), 0), 6) AS {x}_rr10, round(coalesce(max(rank / 50.0::DOUBLE) FILTER (source = '{x}'), 1.2), 6) AS {x}_rank, round(coalesce(max(z) FILTER (source = '{x}'), -3), 6) AS {x}_z, round(coalesce(max(gap) FILTER (source = '{x}'), 4), 6) AS {x}_gap" for x in SOURCES) + " FROM x WHERE rank <= 50 GROUP BY qid, doc_id"),
     "rerank_features": (lambda s, d: r6(features.rerank_features(_scores(s, d).select("qid", "doc_id", "pos", F.col("b").alias("ce")))), BASE + SC + f", x AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY b DESC, doc_id) AS cr, {Z.format(x='b')} AS z, (max(b) OVER w - b) / CASE WHEN stddev_pop(b) OVER w < 1e-8 THEN 1 ELSE stddev_pop(b) OVER w END AS g FROM sc WINDOW w AS (PARTITION BY qid)) SELECT qid, doc_id, pos, round(1 / (10.0::DOUBLE + pos), 6) AS selector_rr10, round(pos / 30.0::DOUBLE, 6) AS selector_rank, round(b, 6) AS ce_raw, round(z, 6) AS ce_z, round(g, 6) AS ce_gap_z, round(1 / (10.0::DOUBLE + cr), 6) AS ce_rr10 FROM x"),
-    "list_diagnostics": (list_diagnostics, BASE + ", h AS (SELECT * FROM lists WHERE rank <= 10), v AS (SELECT qid, doc_id, count(*) - 1 AS o, max((source = 'full')::INT) AS b FROM h GROUP BY ALL) SELECT qid, source, sum(b)::BIGINT AS head_overlap, round(avg(o), 6) AS support_mean, max(o) AS support_max, round(avg(1 / (10.0::DOUBLE + rank)), 6) AS mean_rr FROM h JOIN v USING (qid, doc_id) GROUP BY ALL"),
     "gap_features": (lambda s, d: r6(features.gap_features(full(s, d))), BASE + "SELECT qid, " + ", ".join(f"round(max(score) FILTER (rank = {a}) - max(score) FILTER (rank = {b}), 6) AS s{a}_s{b}" for a, b in ((1, 5), (4, 5), (5, 6), (5, 7), (5, 10))) + ", round(stddev_pop(score) FILTER (rank <= 5), 6) AS std_1_5, round(stddev_pop(score) FILTER (rank BETWEEN 6 AND 10), 6) AS std_6_10 FROM f GROUP BY qid"),
     "z_blend_grid": (z_blend_grid, BASE + GRID + "SELECT w, round(sum(recall * n) / sum(n), 6) AS recall, round(avg(recall) - 0.35 * stddev_pop(recall), 6) AS robust FROM grid GROUP BY w"),
     "nested_weight": (nested_weight, BASE + GRID + ", hd AS (SELECT DISTINCT fold AS held FROM grid), pr AS (SELECT held, w, round(avg(recall) - 0.35 * stddev_pop(recall), 9) AS robust, round(avg(recall), 9) AS m FROM grid JOIN hd ON fold <> held GROUP BY ALL), bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY held ORDER BY robust DESC, m DESC, abs(w - 0.5), w) AS k FROM pr) WHERE k = 1) SELECT bs.held, bs.w, round(robust, 6) AS robust, round(recall, 6) AS recall, n FROM bs JOIN grid ON fold = held AND grid.w = bs.w"),
     "borda": (borda, BASE + TWO + "SELECT qid, doc_id, rank FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(-(0.6::DOUBLE * ra + 0.4::DOUBLE * rb), 6) DESC, doc_id) AS rank FROM two) WHERE rank <= 5"),
     "weighted_rrf": (weighted_rrf, BASE + TWO + "SELECT qid, doc_id, rank FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(0.6::DOUBLE / (61 + ra) + 0.4::DOUBLE / (61 + rb), 9) DESC, doc_id) AS rank FROM two) WHERE rank <= 5"),
     "agreement_blend": (agreement_blend, BASE + TWO + f", g AS (SELECT *, CASE WHEN count(*) FILTER (ra <= 5 AND rb <= 5) OVER w <= 1 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS wt, {Z.format(x='a')} AS za, {Z.format(x='b')} AS zb FROM two WINDOW w AS (PARTITION BY qid)) SELECT qid, doc_id, rank FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(wt * za + (1 - wt) * zb, 9) DESC, doc_id) AS rank FROM g) WHERE rank <= 5"),
-    "orth_residual_sweep": (orth_residual, BASE + SC + f", zz AS (SELECT qid, doc_id, pos, {Z.format(x='a')} AS za, {Z.format(x='b')} AS zb FROM sc WINDOW w AS (PARTITION BY qid)), r AS (SELECT *, zb - sum(zb * za) OVER w / sum(za * za) OVER w * za AS r FROM zz WINDOW w AS (PARTITION BY qid)), x AS (SELECT qid, doc_id, round(za + CASE WHEN pos BETWEEN 4 AND 9 THEN 0.2::DOUBLE * r ELSE 0 END, 9) AS score FROM r) SELECT qid, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 5"),
+    "orth_residual": (orth_residual, BASE + SC + f", zz AS (SELECT qid, doc_id, pos, {Z.format(x='a')} AS za, {Z.format(x='b')} AS zb FROM sc WINDOW w AS (PARTITION BY qid)), r AS (SELECT *, zb - sum(zb * za) OVER w / sum(za * za) OVER w * za AS r FROM zz WINDOW w AS (PARTITION BY qid)), x AS (SELECT qid, doc_id, round(za + CASE WHEN pos BETWEEN 4 AND 9 THEN 0.2::DOUBLE * r ELSE 0 END, 9) AS score FROM r) SELECT qid, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 5"),
     "centred_residual": (centred_residual, BASE + SC + f"SELECT qid, doc_id, round({Z.format(x='a')} + 0.3::DOUBLE * (b - avg(b) OVER w), 6) AS score FROM sc WHERE pos <= 20 WINDOW w AS (PARTITION BY qid)"),
     "boundary_blend": (boundary_blend, BASE + TWO + f", g5 AS (SELECT qid, round(max(a) FILTER (ra = 5) - max(a) FILTER (ra = 6), 9) AS g FROM two GROUP BY qid), md AS (SELECT round(quantile_cont(g, 0.5), 9) AS m FROM g5), g AS (SELECT two.*, CASE WHEN g5.g <= m THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS wt, {Z.format(x='a')} AS za, {Z.format(x='b')} AS zb FROM two JOIN g5 USING (qid), md WINDOW w AS (PARTITION BY qid)) SELECT qid, doc_id, rank FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(wt * za + (1 - wt) * zb, 9) DESC, doc_id) AS rank FROM g) WHERE rank <= 5"),
     "equal_ensemble": (equal_ensemble, BASE + SC + f", x AS (SELECT qid, doc_id, round(({Z.format(x='a')} + {Z.format(x='b')}) / 2, 9) AS score FROM sc WINDOW w AS (PARTITION BY qid)) SELECT qid, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 5"),
