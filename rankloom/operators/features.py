@@ -23,17 +23,25 @@ def gap_features(ranks: DataFrame) -> DataFrame:
     return ranks.groupBy("qid").agg(*((at(a) - at(b)).alias(f"s{a}_s{b}") for a, b in pairs), std(1, 5).alias("std_1_5"), std(6, 10).alias("std_6_10"))
 
 
-def title_features(pairs: DataFrame, titles: DataFrame) -> DataFrame:
-    """pairs (qid, doc_id, q array of distinct terms) with titles (doc_id, t array of distinct terms): overlap, idf
-    overlap and ratio, coverages and Jaccard. idf = ln((N+1)/(df+1)) + 1 over titles."""
+def title_features(pairs: DataFrame, titles: DataFrame, short: int = 30) -> DataFrame:
+    """pairs (qid, doc_id, pos, t, nums, years, kinds) and titles (doc_id, t, nums, years, kinds), t the tokens in order and the
+    others sets: twelve features. idf = ln((N+1)/(df+1)) + 1 over titles, 1 for a token of none; the z of the idf ratio and its
+    rank, ties by position, are within the query. Token counts come from one aggregate over titles."""
     n = titles.count()
-    df = titles.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log((n + 1.0) / (F.col("df") + 1)) + 1)
-    both = pairs.join(titles, "doc_id").select("qid", "doc_id", "q", "t", F.array_intersect("q", "t").alias("x"))
-    base = both.select("qid", "doc_id", F.size("x").cast("long").alias("overlap"), (F.size("x") / F.size("q")).alias("query_coverage"), (F.size("x") / F.size("t")).alias("title_coverage"), (F.size("x") / F.size(F.array_union("q", "t"))).alias("jaccard"))
+    df = titles.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log((n + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
+    whole = pairs.select("qid", F.explode(F.array_distinct("t")).alias("term")).distinct().join(df, "term", "left").groupBy("qid").agg(F.sum(F.coalesce("idf", F.lit(1.0))).alias("idf_q"))
+    y = titles.select("doc_id", F.struct("t", "nums", "years", "kinds").alias("d"))
+    both = pairs.join(y, "doc_id").select("*", F.array_distinct("t").alias("q"), F.array_distinct("d.t").alias("w"))
+    both = both.withColumn("x", F.array_intersect("q", "w"))
     idf = both.select("qid", "doc_id", F.explode("x").alias("term")).join(df, "term").groupBy("qid", "doc_id").agg(F.sum("idf").alias("idf_overlap"))
-    whole = pairs.select("qid", F.explode("q").alias("term")).distinct().join(df, "term").groupBy("qid").agg(F.sum("idf").alias("idf_q"))
-    rows = base.join(idf, ["qid", "doc_id"], "left").join(whole, "qid", "left")
-    return rows.select("qid", "doc_id", "overlap", "query_coverage", "title_coverage", "jaccard", F.coalesce("idf_overlap", F.lit(0.0)).alias("idf_overlap"), F.coalesce(F.col("idf_overlap") / F.col("idf_q"), F.lit(0.0)).alias("idf_ratio"))
+    two = lambda t: F.array_distinct(F.zip_with(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, F.lit(2), F.greatest(F.size(t), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)))
+    share = lambda a, b: F.size(a) / F.greatest(b, F.lit(1))
+    same = lambda c: F.size(F.array_intersect(F.col(c), F.col(f"d.{c}"))).cast("long")
+    rows = both.select("qid", "doc_id", "pos", F.size("x").cast("long").alias("overlap"), share("x", F.size("q")).alias("query_coverage"), share("x", F.size("w")).alias("title_coverage"), share("x", F.size(F.array_union("q", "w"))).alias("jaccard"), same("nums").alias("numbers"), same("years").alias("years"), (same("kinds") > 0).alias("instrument"), share(F.array_intersect(two("t"), two(F.col("d.t"))), F.size(two("t"))).alias("bigram_coverage"))
+    rows = rows.join(idf, ["qid", "doc_id"], "left").join(whole, "qid", "left").fillna(0.0, ["idf_overlap"])
+    rows = rows.withColumn("idf_ratio", F.col("idf_overlap") / F.coalesce("idf_q", F.lit(1.0)))
+    rows = positional_rank(rows.withColumn("_o", F.round("idf_ratio", 9)), "_o", "_r")
+    return rows.select("qid", "doc_id", "overlap", "idf_overlap", "idf_ratio", "query_coverage", "title_coverage", "jaccard", "numbers", "years", "instrument", "bigram_coverage", z(F.col("idf_ratio")).alias("idf_z"), (F.col("_r") / F.lit(float(short))).alias("title_rank"))
 
 
 def colabel_graph(items: DataFrame) -> DataFrame:
@@ -48,16 +56,17 @@ def colabel_graph(items: DataFrame) -> DataFrame:
     return rows.select("a", "b", "support", (F.col("support") / F.col("fa")).alias("cond"), (F.col("support") / (F.col("fa") + F.col("fb") - F.col("support"))).alias("jaccard"), F.log(F.col("support") * F.lit(float(n)) / (F.col("fa") * F.col("fb"))).alias("pmi"))
 
 
-def colabel_best(graph: DataFrame, anchors: DataFrame, min_support: int = 2) -> DataFrame:
-    """(key, best, score): for anchors (key, item, i) the neighbour of best hybrid score, weight 1/(1+i/4) per anchor.
-    hybrid = sqrt(cond*jaccard) * log1p(support) * (1 + max(pmi, 0)/10)."""
+def colabel_best(graph: DataFrame, anchors: DataFrame, min_support: int = 2, mode: str = "hybrid") -> DataFrame:
+    """(key, best, score): for anchors (key, item, i) the neighbour of best score, weight 1/(1+i/4) per anchor. mode: cond, jaccard
+    or hybrid = sqrt(cond*jaccard) * log1p(support) * (1 + max(pmi, 0)/10)."""
     edge = graph.where(F.col("support") >= min_support).select("a", "b", "support", "jaccard", "pmi", "cond")
     back = edge.select(F.col("b").alias("a"), F.col("a").alias("b"), "support", "jaccard", "pmi", "cond")
     hybrid = F.sqrt(F.col("cond") * F.col("jaccard")) * F.log1p(F.col("support").cast("double")) * (1 + F.greatest(F.col("pmi"), F.lit(0.0)) / 10)
+    value = hybrid if mode == "hybrid" else F.col(mode)
     rows = anchors.join(edge.unionByName(back).withColumnRenamed("a", "item"), "item")
-    rows = rows.withColumn("score", F.round(hybrid / (1 + 0.25 * F.col("i")), 9)).join(anchors.select("key", F.col("item").alias("b")), ["key", "b"], "left_anti")
-    w = W.partitionBy("key").orderBy(F.desc("score"), "b")
-    return rows.groupBy("key", "b").agg(F.max("score").alias("score")).withColumn("nth", F.row_number().over(w)).where("nth = 1").select("key", F.col("b").alias("best"), "score")
+    rows = rows.withColumn("score", F.round(value / (1 + 0.25 * F.col("i")), 9)).join(anchors.select("key", F.col("item").alias("b")), ["key", "b"], "left_anti")
+    best = rows.groupBy("key", "b").agg(F.max("score").alias("score")).groupBy("key")
+    return best.agg(F.max(F.struct("score", (-F.col("b")).alias("b"))).alias("x")).select("key", (-F.col("x.b")).alias("best"), "x.score")
 
 
 def propensity(rows: DataFrame, source_folds: int = 4) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -96,6 +97,65 @@ def best_passages(pairs: DataFrame, width: int, stride: int, top: int = 2) -> Da
     return rows.select("qid", "doc_id", "x.start", F.col("x.score").alias("density"), (F.col("nth") + 1).alias("nth"))
 
 
+# What stands between a text's head and a passage from further on.
+JOINT = "\n[ĐOẠN PHÙ HỢP]\n"
+
+
+def top_passages(pairs: DataFrame, stopwords: tuple[str, ...] = (), width: int = 220, overlap: int = 70, header: int = 70, top: int = 2) -> DataFrame:
+    """pairs (qid, doc_id, question, text): (qid, doc_id, nth, passage). A text of no more than width + 80 words is one passage. In
+    others, windows of width words score coverage of the question's content terms (three letters at least, no stop
+    word; 1 and 0.2 for each of up to three occurrences), 3 for each term with a digit and 1.8 for each word pair
+    found, over the square root of the window's tokens; of equals the higher score, then the earlier window. A
+    passage that starts behind the head of header words has it put before it. The first top different ones count."""
+    flat = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")
+    t = F.regexp_extract_all(F.lower(F.col("question")), F.lit(_TOKEN), 0)
+    q = F.array_distinct(t)
+    content = F.filter(q, lambda w: (F.char_length(w) >= 3) & ~F.array_contains(F.array(*map(F.lit, stopwords or ("",))), w))
+    two = F.array_distinct(F.zip_with(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, F.lit(2), F.greatest(F.size(t), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)))
+    x = pairs.select("qid", "doc_id", flat(F.col("text")).alias("w"), content.alias("c"), F.filter(q, lambda w: w.rlike(r"\d")).alias("m"), two.alias("two"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, y: a + y)
+
+    def scored(start: Column) -> Column:
+        words = F.slice("w", (start + 1).cast("int"), width)
+
+        def of(k: Column) -> Column:
+            """k: the window's tokens, a lambda's variable, so that they are found once."""
+            many = lambda y: F.size(F.filter(k, lambda v: v == y))
+            cover = total(F.transform(F.filter("c", lambda y: F.array_contains(k, y)), lambda y: 1 + 0.2 * F.least(many(y), F.lit(3))))
+            joined = F.array_join(k, " ")
+            raw = cover + 3.0 * F.size(F.filter("m", lambda y: F.array_contains(k, y))) + 1.8 * F.size(F.filter("two", lambda y: F.contains(joined, y)))
+            return F.struct(F.round(-raw / F.sqrt(F.greatest(F.size(k), F.lit(1))), 9).alias("density"), F.round(-raw, 9).alias("raw"), start.alias("start"))
+
+        return F.transform(F.array(F.regexp_extract_all(F.lower(F.array_join(words, " ")), F.lit(_TOKEN), 0)), of)[0]
+
+    part = lambda start: F.array_join(F.slice("w", (start + 1).cast("int"), width), " ")
+    head = F.array_join(F.slice("w", 1, header), " ")
+    put = lambda y: F.when(y["start"] < header, part(y["start"])).otherwise(F.concat(head, F.lit(JOINT), part(y["start"])))
+    best = F.array_sort(F.transform(window_starts(F.size("w"), width, width - overlap), scored))
+    found = F.when(F.size("w") <= width + 80, F.array(F.array_join("w", " "))).otherwise(F.slice(F.array_distinct(F.transform(best, put)), 1, top))
+    return x.select("qid", "doc_id", F.posexplode(found).alias("nth", "passage")).select("qid", "doc_id", (F.col("nth") + 1).cast("long").alias("nth"), "passage")
+
+
+_TOKEN = r"[\p{L}\p{N}_]+"
+
+
+def distinct_windows(families: list[Column]) -> Column:
+    """The windows of all families in order, each once."""
+    return F.array_distinct(F.concat(*families))
+
+
+def locate(points: DataFrame, regions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """points (key, x) with the region [start, end) of their parent that holds them: points with region, null where none does.
+    Regions of a parent don't overlap, so points and starts are sorted together and a point takes the last start, instead of a
+    join by range that meets every region of its parent."""
+    both = points.select("*", F.col("x").alias("_at"), F.lit(1).alias("_o"), F.lit(None).cast("long").alias("_e"), F.lit(None).cast("long").alias("_g"))
+    marks = regions.select(key, F.col("start").alias("_at"), F.lit(0).alias("_o"), F.col("end").alias("_e"), F.col("region").alias("_g"))
+    w = W.partitionBy(key).orderBy("_at", "_o")
+    last = lambda c: F.last(c, ignorenulls=True).over(w)
+    x = both.unionByName(marks, allowMissingColumns=True).withColumns({"_le": last("_e"), "_lg": last("_g")}).where("_o = 1")
+    return x.select(*points.columns, F.when(F.col("x") < F.col("_le"), F.col("_lg")).alias("region"))
+
+
 # The least evidence budget, what a pair's format takes besides, and the lexical window.
 LEAST_BUDGET, FORMAT, LEXICAL = 64, 2, (220, 150)
 

@@ -146,3 +146,11 @@ def nested_alpha(grid: DataFrame) -> DataFrame:
     best = W.partitionBy("fold").orderBy(F.desc("train"), "w")
     x = x.withColumn("k", F.row_number().over(best)).where("k = 1")
     return x.select(F.col("fold").alias("held"), F.col("w").alias("alpha"), "train", "recall", "n")
+
+
+def dangling(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+    """(rows, dangling): rows of child, and those whose key is not null and not in parent. Keys are counted first, so that a
+    frequent one is one row of the join."""
+    per = child.groupBy(key).agg(F.count("*").alias("_n"))
+    x = per.join(parent.select(key).distinct().withColumn("_p", F.lit(1)), key, "left")
+    return x.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col(key).isNotNull() & F.col("_p").isNull(), F.col("_n"))), F.lit(0)).alias("dangling"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rankloom.plans import arm_queries, evidence_queries, selection_queries, text_queries, vector_queries
+from rankloom.plans import arm_queries, asked_queries, evidence_queries, selection_queries, text_queries, vector_queries
 
-_ALL = {**text_queries.QUERIES, **vector_queries.QUERIES, **evidence_queries.QUERIES, **selection_queries.QUERIES, **arm_queries.QUERIES}
+_ALL = {**text_queries.QUERIES, **vector_queries.QUERIES, **evidence_queries.QUERIES, **selection_queries.QUERIES, **arm_queries.QUERIES, **asked_queries.QUERIES}
 
 
 def queries() -> dict:

@@ -76,8 +76,8 @@ def text_flags(s, d):
 
 def word_stats(s, d):
     x = docs(s, d).select("lang", tx.word_count(F.col("text")).cast("double").alias("n"))
-    g = x.groupBy("lang").agg(F.min("n").alias("lo"), F.avg("n").alias("mean"), F.max("n").alias("hi"), F.percentile("n", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9)))).alias("p"))
-    return r6(g.select("lang", "lo", "mean", "hi", *(F.col("p")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75", "p90")))))
+    g = x.groupBy("lang").agg(F.min("n").alias("lo"), F.avg("n").alias("mean"), F.max("n").alias("hi"), F.percentile("n", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)))).alias("p"))
+    return r6(g.select("lang", "lo", "mean", "hi", *(F.col("p")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75", "p90", "p95", "p99")))))
 
 
 def archetypes(s, d):
@@ -85,11 +85,6 @@ def archetypes(s, d):
     return r6(x.withColumn("fraction", F.col("n") / F.sum("n").over(W.partitionBy())))
 
 
-def query_features(s, d):
-    t = F.col("question")
-    return r6(questions(s, d).select("qid", (F.least(tx.word_count(t), F.lit(60)) / 60.0).alias("words"), (F.least(F.char_length(t), F.lit(300)) / 300.0).alias("chars"), t.rlike("[0-9]").alias("has_number"), F.regexp_count(t, F.lit("[.,]")).cast("long").alias("marks")))
-
-
 def exact_dup_groups(s, d):
     x = docs(s, d).groupBy(F.md5("text").alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.sum("doc_id").alias("id_sum"))
     return x.where("n > 1")
@@ -135,13 +130,6 @@ def over_budget(s, d):
     return sizes(s, d).agg(F.count("*").alias("docs"), *(F.count_if(F.col("n") > b).alias(f"over_{b}") for b in (128, 512, 1024)))
 
 
-def title_features(s, d):
-    """Titles are the first line of each document."""
-    t = docs(s, d).select("doc_id", F.array_distinct(tx.tokens(F.split("text", "\n")[0])).alias("t")).where(F.size("t") > 0)
-    pairs = _bm(s, d).join(questions(s, d), "qid").select("qid", "doc_id", F.array_distinct(tx.tokens(F.col("question"))).alias("q"))
-    return r6(features.title_features(pairs, t))
-
-
 def char_pairs(s, d):
     """Lexical cosine of neighbouring benchmark items."""
     q = questions(s, d)
@@ -240,9 +228,8 @@ QUERIES: dict = {
     "model_text_lengths": (lambda s, d: docs(s, d).select("doc_id", F.char_length(tx.model_text("text")).cast("long").alias("n")), "SELECT doc_id, length(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))) AS n FROM documents"),
     "nfkc_keys": (lambda s, d: docs(s, d).select("doc_id", F.md5(tx.nfkc_key("text")).alias("key")), None),
     "text_flags": (text_flags, "SELECT unnest(['replacement', 'nul', 'control', 'not_nfc', 'edge_space', 'double_space', 'html_like']) AS flag, unnest([count(*) FILTER (contains(text, chr(65533))), count(*) FILTER (contains(text, chr(0))), count(*) FILTER (regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}]')), count(*) FILTER (nfc_normalize(text) <> text), count(*) FILTER (regexp_matches(text, '^\\s|\\s$')), count(*) FILTER (regexp_matches(text, '\\s\\s')), count(*) FILTER (regexp_matches(text, '<[^>]{1,120}>'))]) AS n FROM documents"),
-    "word_stats": (word_stats, NW.replace("doc_id, len", "lang, len") + "SELECT lang, min(n)::DOUBLE AS lo, round(avg(n), 6) AS mean, max(n)::DOUBLE AS hi, " + ", ".join(f"round(quantile_cont(n::DOUBLE, {q}), 6) AS {a}" for q, a in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.9, "p90"))) + " FROM w GROUP BY lang"),
-    "archetypes": (archetypes, "WITH a AS (SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in tx.ARCHETYPES) + " ELSE 'GENERAL' END AS archetype FROM documents) SELECT archetype, count(*) AS n, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS fraction FROM a GROUP BY archetype"),
-    "query_features": (query_features, f"SELECT item_id AS qid, round(least(len(regexp_extract_all(text, '{WORD}')), 60) / 60.0::DOUBLE, 6) AS words, round(least(length(text), 300) / 300.0::DOUBLE, 6) AS chars, regexp_matches(text, '[0-9]') AS has_number, len(regexp_extract_all(text, '[.,]')) AS marks FROM benchmark"),
+    "word_stats": (word_stats, NW.replace("doc_id, len", "lang, len") + "SELECT lang, min(n)::DOUBLE AS lo, round(avg(n), 6) AS mean, max(n)::DOUBLE AS hi, " + ", ".join(f"round(quantile_cont(n::DOUBLE, {q}), 6) AS {a}" for q, a in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"))) + " FROM w GROUP BY lang"),
+    "rule_classes": (archetypes, "WITH a AS (SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in tx.ARCHETYPES) + " ELSE 'GENERAL' END AS archetype FROM documents) SELECT archetype, count(*) AS n, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS fraction FROM a GROUP BY archetype"),
     "exact_dup_groups": (exact_dup_groups, "SELECT md5(text) AS key, count(*) AS n, min(doc_id) AS first_id, sum(doc_id)::BIGINT AS id_sum FROM documents GROUP BY 1 HAVING count(*) > 1"),
     "dup_expansion": (dup_expansion, "SELECT doc_id, twin_id FROM documents JOIN (SELECT text, min(doc_id) AS twin_id FROM documents GROUP BY text) USING (text) WHERE doc_id <> twin_id"),
     "text_overlap": (text_overlap, "WITH k AS (SELECT doc_id, string_split(text, chr(10))[1] AS k FROM documents) SELECT doc_id AS left_id, n_right FROM k JOIN (SELECT k, count(*) AS n_right FROM k GROUP BY k) USING (k) WHERE n_right > 1"),
@@ -260,11 +247,6 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS pack
     "over_budget_audit": (over_budget, NW + "SELECT count(*) AS docs, " + ", ".join(f"count(*) FILTER (n > {b}) AS over_{b}" for b in (128, 512, 1024)) + " FROM w"),
     "length_buckets": (length_buckets, NW + ", c AS (SELECT floor(quantile_cont(n::DOUBLE, 1 / 3.0::DOUBLE)) AS a, floor(quantile_cont(n::DOUBLE, 2 / 3.0::DOUBLE)) AS b FROM w) SELECT CASE WHEN n <= a THEN 'short' WHEN n <= b THEN 'mid' ELSE 'long' END AS bucket, count(*) AS n FROM w, c GROUP BY 1"),
     "passage_select": (passage_select, BM + f", pt AS (SELECT qid, doc_id, {tok('b.text')} AS q, {tok('d.text')} AS d FROM bm JOIN benchmark b ON qid = item_id JOIN documents d USING (doc_id)), pw AS (SELECT qid, doc_id, q, d, unnest(generate_series(0, greatest(0, ceil((len(d) - 60) / 40.0))::BIGINT)) * 40 AS start FROM pt), pd AS (SELECT qid, doc_id, start, len(list_intersect(list_distinct(d[start + 1:start + 60]), list_distinct(q))) / sqrt(len(d[start + 1:start + 60])) AS density FROM pw) SELECT qid, doc_id, start, round(density, 6) AS density FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY density DESC, start) AS k FROM pd) WHERE k <= 2"),
-    "title_features": (title_features, BM + f""", tt AS (SELECT doc_id, list_distinct({tok('string_split(text, chr(10))[1]')}) AS t FROM documents), ti AS (SELECT * FROM tt WHERE len(t) > 0), tn AS (SELECT count(*) AS c FROM ti),
-ti_df AS (SELECT u AS term, ln((c + 1.0::DOUBLE) / (count(*) + 1)) + 1 AS idf FROM ti, unnest(t) AS x(u), tn GROUP BY u, c),
-pr AS (SELECT qid, doc_id, list_distinct({tok('b.text')}) AS q, t, list_intersect(list_distinct({tok('b.text')}), t) AS x FROM bm JOIN benchmark b ON qid = item_id JOIN ti USING (doc_id)),
-io AS (SELECT qid, doc_id, sum(idf) AS s FROM pr, unnest(x) AS y(u) JOIN ti_df ON term = u GROUP BY ALL), iq AS (SELECT item_id AS qid, sum(idf) AS s FROM (SELECT item_id, unnest(list_distinct({tok('text')})) AS u FROM benchmark) JOIN ti_df ON term = u GROUP BY ALL)
-SELECT qid, doc_id, len(x) AS overlap, round(len(x) / len(q)::DOUBLE, 6) AS query_coverage, round(len(x) / len(t)::DOUBLE, 6) AS title_coverage, round(len(x) / (len(q) + len(t) - len(x))::DOUBLE, 6) AS jaccard, round(coalesce(io.s, 0), 6) AS idf_overlap, round(coalesce(io.s / iq.s, 0), 6) AS idf_ratio FROM pr LEFT JOIN io USING (qid, doc_id) LEFT JOIN iq USING (qid)"""),
     "char_tfidf_pairs": (char_pairs, f"""WITH w AS (SELECT item_id AS id, ' ' || u || ' ' AS w FROM benchmark, unnest(string_split_regex({FOLD.format(x='text')}, '\\s+')) AS x(u) WHERE u <> ''),
 g AS (SELECT id, substr(w, i, n) AS gram FROM (SELECT id, w, n, unnest(generate_series(1, length(w) - n + 1)) AS i FROM w, (VALUES (3), (4), (5)) AS v(n) WHERE n <= length(w))), tf AS (SELECT id, gram, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram HAVING count(*) >= 2), n AS (SELECT count(*) AS n FROM benchmark),
 v AS (SELECT id, gram, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS v FROM tf JOIN df USING (gram), n), u AS (SELECT id, gram, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM v), p AS (SELECT item_id AS a, lead(item_id) OVER (ORDER BY item_id) AS b FROM benchmark)

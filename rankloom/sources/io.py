@@ -4,38 +4,147 @@ from __future__ import annotations
 
 import json
 import zipfile
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Names that a record's id and text go by, and the keys a list of records stands under.
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+# Names that a record's id and text go by.
 ID_NAMES = ("qid", "query_id", "id", "question_id")
 TEXT_NAMES = ("question", "query", "text", "content")
 
 
 def read_query_map(spark: SparkSession, path: str) -> DataFrame:
     """{qid: {question, answer}} or {qid: question}, one file: (qid, pos, question, answer) in file order. A value
-    that has no question is an error; so is a repeated qid, which a JSON map type would hide, so keys are counted."""
-    raw = spark.read.text(path, wholetext=True)
-    rows = raw.select(F.posexplode(F.from_json("value", "map<string,string>")).alias("pos", "qid", "v"))
-    rec = F.from_json("v", "struct<question:string,answer:array<string>>")
-    question = F.when(F.ltrim("v").startswith("{"), rec["question"]).otherwise(F.col("v"))
-    bad = F.assert_true(question.isNotNull(), F.concat(F.lit("no question: "), F.col("qid")))
-    return rows.select("qid", F.col("pos").cast("long").alias("pos"), F.coalesce(bad.cast("string"), question).alias("question"), F.when(F.ltrim("v").startswith("{"), rec["answer"]).alias("answer"))
+    that has no question is an error, and so is a repeated qid: the pairs are read in order, repeats included."""
 
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in it:
+            for text in x["value"]:
+                pairs = json.loads(text, object_pairs_hook=lambda p: p)
+                seen: set[str] = set()
+                rows = []
+                for pos, (qid, v) in enumerate(pairs):
+                    if qid in seen:
+                        raise ValueError(f"repeated qid: {qid}")
+                    seen.add(qid)
+                    v = dict(v) if isinstance(v, list) else {"question": v}
+                    if not isinstance(v.get("question"), str):
+                        raise ValueError(f"no question: {qid}")
+                    answer = v.get("answer")
+                    rows.append((qid, pos, v["question"], None if answer is None else [str(a) for a in answer]))
+                yield pd.DataFrame(rows, columns=["qid", "pos", "question", "answer"])
 
-def _first(schema: T.StructType, names: tuple[str, ...]) -> Column:
-    have = [F.col(n).cast("string") for n in names if n in schema.names]
-    return F.coalesce(*have) if have else F.lit(None).cast("string")
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "qid string, pos long, question string, answer array<string>")
+
+
+# The keys a list of records stands under.
+WRAPPERS = ("data", "queries", "questions", "items")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list or JSON lines of records: (qid, question), by the first alias that is there; a record without an id
-    is named __row_ and its number."""
-    rows = spark.read.option("multiLine", True).json(path)
-    rows = rows.withColumn("_n", F.monotonically_increasing_id())
-    return rows.select(F.coalesce(_first(rows.schema, ID_NAMES), F.format_string("__row_%06d", "_n")).alias("qid"), _first(rows.schema, TEXT_NAMES).alias("question"))
+    """(qid, question) of a JSON file: a list of records, one under a wrapper key, an object from id to record or text, or JSON
+    lines; by the first alias that is there. A record without an id is named __row_ and its number in the file."""
+
+    def records(text: str) -> list[dict]:
+        try:
+            got = json.loads(text)
+        except ValueError:
+            got = [json.loads(line) for line in text.splitlines() if line.strip()]
+        if isinstance(got, dict):
+            under = next((got[k] for k in WRAPPERS if isinstance(got.get(k), list)), None)
+            if under is not None:
+                got = under
+            elif any(isinstance(got.get(k), str) for k in TEXT_NAMES):
+                got = [got]
+            elif all(isinstance(v, (str, dict)) for v in got.values()):
+                got = [{"question": v, "qid": k} if isinstance(v, str) else {"qid": k} | v for k, v in got.items()]
+        if not isinstance(got, list) or not all(isinstance(r, dict) for r in got):
+            raise ValueError("no list of records")
+        return got
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = lambda r, names: next((str(r[n]) for n in names if r.get(n) is not None), None)
+        for x in it:
+            for text in x["value"]:
+                rows = [(first(r, ID_NAMES) or f"__row_{i:06d}", first(r, TEXT_NAMES)) for i, r in enumerate(records(text))]
+                yield pd.DataFrame(rows, columns=["qid", "question"])
+
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "qid string, question string")
+
+
+def read_matrix(spark: SparkSession, path: str, width: int, kind: str = "float32", chunk: int = 65_536) -> DataFrame:
+    """(row, v array) of a dense matrix file: a one-line header of its shape as the array format writes it, then its numbers in
+    row order. The header is checked against width and the file's length; every task reads its own rows."""
+    import numpy as np
+
+    if not path.endswith(".npy"):
+        raise ValueError("a matrix file ends in .npy")
+    fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    with fs.open_input_file(at) as f:
+        version = np.lib.format.read_magic(f)
+        shape, fortran, dtype = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+        offset = f.tell()
+    if fortran or len(shape) != 2 or shape[1] != width or dtype != np.dtype(kind) or fs.get_file_info(at).size != offset + shape[0] * width * dtype.itemsize:
+        raise ValueError(f"the matrix is {dtype} {shape}, not {kind} (n, {width})")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, name = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        for x in it:
+            for lo in x["id"]:
+                n = min(chunk, shape[0] - lo)
+                with own.open_input_file(name) as f:
+                    f.seek(offset + lo * width * dtype.itemsize)
+                    v = np.frombuffer(f.read(n * width * dtype.itemsize), dtype).reshape(n, width)
+                yield pd.DataFrame({"row": np.arange(lo, lo + n), "v": list(v)})
+
+    parts = max(1, -(-shape[0] // chunk))
+    element = {"float32": "float", "float64": "double", "int32": "int", "int64": "long"}[kind]
+    return spark.range(0, shape[0], chunk, numPartitions=parts).mapInPandas(run, f"row long, v array<{element}>")
+
+
+def decode_ranking(index: DataFrame, ids: DataFrame, score: str | None = None) -> DataFrame:
+    """(qid, doc_id, rank[, score]) of index (qid, v array of document numbers, in rank order) and ids (row, doc_id); numbers below
+    zero are empty places, one that is not in ids raises."""
+    cells = F.posexplode("v") if score is None else F.posexplode(F.arrays_zip("v", score))
+    x = index.select("qid", cells.alias("pos", "c"))
+    x = x.select("qid", (F.col("pos") + 1).cast("long").alias("rank"), (F.col("c") if score is None else F.col("c.v")).cast("long").alias("row"), *([] if score is None else [F.col(f"c.{score}").alias("score")]))
+    x = x.where("row >= 0").join(ids, "row", "left")
+    bad = F.assert_true(F.col("doc_id").isNotNull(), F.concat(F.lit("no document of number "), F.col("row").cast("string")))
+    return x.select("qid", F.coalesce(bad.cast(dict(ids.dtypes)["doc_id"]), F.col("doc_id")).alias("doc_id"), "rank", *([] if score is None else ["score"]))
+
+
+def write_corpus(docs: DataFrame, path: str) -> None:
+    """JSON lines with keys in order; text as it is, null fields left out. Each task writes its own file."""
+    docs.select(F.to_json(F.struct(*sorted(docs.columns))).alias("value")).write.mode("errorifexists").text(path, lineSep="\n")
+
+
+def report(rows: DataFrame, title: str) -> tuple[str, str]:
+    """A report of a few rows, such as a metric table: its JSON (indent 2, a last newline) and its Markdown companion. More than
+    10,000 rows are no report and raise."""
+    got = rows.limit(10_001).collect()
+    if len(got) > 10_000:
+        raise ValueError("a report holds 10,000 rows at most")
+    names = rows.columns
+    body = json.dumps({"title": title, "rows": [dict(zip(names, r, strict=True)) for r in got]}, ensure_ascii=False, indent=2, default=str) + "\n"
+    lines = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names), *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in got)]
+    return body, "\n".join(lines) + "\n"
+
+
+def write_report(rows: DataFrame, path: str, title: str) -> None:
+    """report()'s two texts as path.json and path.md, one file each in a folder any session can write."""
+    for text, end in zip(report(rows, title), ("json", "md"), strict=True):
+        one = rows.sparkSession.createDataFrame([(text.removesuffix("\n"),)], "value string")
+        one.coalesce(1).write.mode("errorifexists").text(f"{path}.{end}", lineSep="\n")
+
+
+def register_views(spark: SparkSession, folder: str, tables: tuple[str, ...] = TABLES) -> None:
+    """The tables of a folder as temporary views."""
+    for t in tables:
+        spark.read.parquet(f"{folder}/{t}.parquet").createOrReplaceTempView(t)
 
 
 def read_corpus(spark: SparkSession, path: str, schema: str = "id string, name string, link string, passage string, source_file string") -> DataFrame:

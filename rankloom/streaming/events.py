@@ -15,6 +15,13 @@ def tumbling(events: DataFrame, width: str = "1 hour", late: str | None = None)
     return out.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
+def sliding(events: DataFrame, width: str = "2 hours", step: str = "1 hour", late: str | None = None) -> DataFrame:
+    """(window_start, n, total): overlapping windows, a new one each step."""
+    rows = events.withWatermark("ts", late) if late else events
+    out = rows.groupBy(F.window("ts", width, step)).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return out.select(F.col("window.start").alias("window_start"), "n", "total")
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
     """(user_id, session_start, session_end, n)."""
     rows = events.withWatermark("ts", late) if late else events
