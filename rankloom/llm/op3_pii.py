@@ -9,6 +9,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: may give away before it is generalised or removed.
 REACH, SUPPORT, ALPHA, REMOVE = 8, 3, 1.2, 1.05
 _TERM = re.compile(r"[^\W\d_]{3,}")
-_BUCKETS = 1 << 18
+#: Hash buckets of terms and of repeated texts.
+_BUCKETS, _REPEATS = 1 << 18, 1 << 22
 
 
 def luhn(digits: str) -> bool:
@@ -115,41 +117,59 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text).alias("th")).mapInPandas(run, _ROW)
 
 
+def _bits(buckets: DataFrame, size: int) -> bytes:
+    """A byte for each of size buckets, on where buckets (b) holds it; they come to the driver as bitmaps, so what it gets
+    does not depend on how many there are."""
+    rows = buckets.groupBy((F.col("b") / 32_768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("b") % 32_768).alias("m"))
+    on = np.zeros(size, np.uint8)
+    for r in rows.collect():  # size / 32,768 rows
+        on[r.k * 32_768 : (r.k + 1) * 32_768] = np.unpackbits(np.frombuffer(r.m, np.uint8), bitorder="little")
+    return on.tobytes()
+
+
 def _marked(terms: DataFrame) -> bytes:
-    """A byte for each hash bucket of terms, on where it holds one: its size does not depend on how many there are."""
-    buckets = terms.select((F.crc32(F.col("term").cast("binary")) % _BUCKETS).cast("int").alias("b")).distinct()
-    on = bytearray(_BUCKETS)
-    for r in buckets.collect():  # at most _BUCKETS numbers
-        on[r.b] = 1
-    return bytes(on)
+    """Hash buckets that hold one of the terms."""
+    return _bits(terms.select((F.crc32(F.col("term").cast("binary")) % _BUCKETS).alias("b")), _BUCKETS)
 
 
 def _in(on: bytes, w: str) -> int:
     return on[zlib.crc32(w.encode("utf-8", "surrogatepass")) % _BUCKETS]
 
 
-def least_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, least): the distinct texts of one batch that hold the term, at the batch that has most; for the terms'
-    hash buckets. No more than the distinct texts of all docs, so common terms go before places are listed."""
-    known = docs.sparkSession.sparkContext.broadcast(_marked(terms))
+def least_counts(docs: DataFrame, terms: DataFrame, repeated: bytes) -> DataFrame:
+    """(term, least) for the terms' hash buckets: a number of distinct texts that hold the term, no more than there are. Texts
+    outside the buckets of repeated ones are known to be single and all count; of the others, those of the batch
+    that has most. So common terms go before their places are listed."""
+    known = docs.sparkSession.sparkContext.broadcast((_marked(terms), repeated))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        on = known.value
+        on, twice = known.value
+        single: Counter = Counter()
         most: Counter = Counter()
         for x in it:
             n: Counter = Counter()
-            for t in set(x["text"]):
-                n.update({w.lower() for w in set(_TERM.findall(t or ""))})
+            seen = set()
+            for t, th in zip(x["text"], x["th"], strict=True):
+                again = twice[th % _REPEATS]
+                if again and th in seen:
+                    continue
+                seen.add(th)
+                (n if again else single).update(w for w in {w.lower() for w in set(_TERM.findall(t or ""))} if _in(on, w))
             for w, c in n.items():
-                if c > most[w] and _in(on, w):
-                    most[w] = c
-            if len(most) > 200_000:
-                yield pd.DataFrame(list(most.items()), columns=["term", "c"])
-                most = Counter()
-        yield pd.DataFrame(list(most.items()), columns=["term", "c"])
+                most[w] = max(most[w], c)
+            if len(most) + len(single) > 200_000:
+                yield _counted(single, most)
+                single, most = Counter(), Counter()
+        yield _counted(single, most)
+
+    text = F.col("text").cast("string")
+    got = docs.select(text, F.xxhash64(text).alias("th")).mapInPandas(run, "term string, single long, most long")
+    return got.groupBy("term").agg((F.sum("single") + F.max("most")).alias("least"))
+
 
-    got = docs.select(F.col("text").cast("string")).mapInPandas(run, "term string, c long")
-    return got.groupBy("term").agg(F.max("c").alias("least"))
+def _counted(single: Counter, most: Counter) -> pd.DataFrame:
+    words = list(single | most)
+    return pd.DataFrame({"term": pd.Series(words, dtype=object), "single": [single[w] for w in words], "most": [most[w] for w in words]})
 
 
 def places(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -199,7 +219,8 @@ def revealing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, alpha: f
     near = cut(near)
     if near.isEmpty():
         return None
-    near = cut(near.join(least_counts(docs, near), "term").where(pmi("least") >= ic / alpha))
+    copied = rows.groupBy("th").agg(F.count("*").alias("n")).where("n > 1").select(F.pmod("th", F.lit(_REPEATS)).alias("b"))
+    near = cut(near.join(least_counts(docs, near, _bits(copied, _REPEATS)), "term").where(pmi("least") >= ic / alpha))
     if near.isEmpty():
         return None
     at = cut(places(docs, near))
