@@ -621,6 +621,51 @@ def test_quality_rejects_by_fertility(spark):
     assert all(got[i].kept for i in range(150))
 
 
+def test_quality_bands_reject_junk_and_keep_clean_documents(spark):
+    """On labelled documents that pass the base rules: of the good ones one in five hundred at most is rejected, of the bad ones half."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(4)
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = op10_quality.judge(docs).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.count_if(~F.col("kept")).alias("gone")).collect()
+    gone = {r.quality: r.gone / r.n for r in got}
+    assert gone[1] <= 0.002 and gone[0] >= 0.5
+
+
+def test_quality_bands_are_not_moved_by_copies(spark):
+    r = random.Random(15)
+    text = lambda: " ".join("".join(r.choice("aeiou" if k % 2 else "bcdfgst") for k in range(r.randrange(3, 9))) for _ in range(70))
+    rows = [(i, text(), "en") for i in range(300)]
+    many = rows + [(1000 + i, rows[0][1], "en") for i in range(2000)]
+    one, two = ({x.doc_id: x.kept for x in op10_quality.judge(spark.createDataFrame(q, "doc_id long, text string, lang string")).collect()} for q in (rows, many))
+    assert all(two[i] == k for i, k in one.items())
+
+
+def test_quality_measures_against_plain_tokenisers(spark):
+    import base64
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    texts = ["plain words of a text " * 8, "γράμματα και words " * 9, "x" * 5000 + " and a long word " * 10, "漢字 " * 30]
+    got = {r.doc_id: r for r in op10_quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    second = tiktoken.Encoding("second", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for i, t in enumerate(texts):
+        own = [(w, model.encode(w)) for w in t.split()]
+        ids = [x for _, e in own for x in e]
+        odd = [w for w, e in own if any(map(model.is_byte, e))]
+        share = np.array(list(Counter(ids).values())) / len(ids)
+        want = (sum(len(w) for w, _ in own) / len(ids), sum(map(model.is_byte, ids)) / len(ids), -(share * np.log2(share)).sum())
+        r = got[i]
+        assert (r.chars_per_token, r.byte_share, r.entropy) == pytest.approx(want)
+        if odd:
+            assert r.rare_chars_per_token == pytest.approx(sum(map(len, odd)) / sum(len(second.encode_ordinary(w)) for w in odd))
+        else:
+            assert r.rare_chars_per_token is None or r.rare_chars_per_token != r.rare_chars_per_token
+
+
 def test_quality_keeps_clean_documents_of_small_languages(spark):
     r = random.Random(9)
     word = lambda lo, n: "".join(chr(lo + r.randrange(n)) for _ in range(r.randrange(3, 8)))
@@ -642,6 +687,53 @@ def test_pipeline_runs_and_its_stages_agree(spark, sf, docs, texts):
     assert len(out) and (out.fill <= out.capacity).all() and set(out.doc_id) <= set(texts)
 
 
+def test_pipeline_stages_against_plain_code(spark, docs):
+    """Each stage on all that the one before it kept."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    one, two, three, four, five = (f for _, f in corpus_pipeline.STAGES)
+    plain = lambda df: [tuple(r) for r in df.collect()]
+    a = one(spark, docs, "").cache()
+    b = two(spark, a, "").cache()
+    fps = {r.doc_id: op6_simhash.fingerprint(r.text) for r in a.collect()}
+    ids, fp = np.array(sorted(fps)), np.array([fps[i] for i in sorted(fps)], np.int64)
+    p, q = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp) <= 3, 1))
+    assert sorted(r.doc_id for r in b.collect()) == sorted(set(ids[spanning(len(ids), p, q)].tolist()))
+    c = three(spark, b, "").cache()
+    before, after = {r.doc_id: r for r in b.collect()}, {r.doc_id: r for r in c.collect()}
+    terms = {r.doc_id: [tuple(x) for x in r.terms] for r in op3_pii.find(b).collect()}
+    assert c.columns == docs.columns and set(before) == set(after)
+    for i, r in before.items():
+        assert after[i].text == op3_pii.clean(r.text, terms[i]) and after[i].n_chars == len(after[i].text)
+        assert op3_pii.base_spans(r.text) or terms[i] or after[i].text == r.text
+    d = four(spark, c, "").cache()
+    copies = Counter({r.doc_id: r.copies for r in op1_mix.mix(c).collect() if r.copies})
+    assert Counter(plain(d)) == Counter({tuple(after[i]): n for i, n in copies.items()})
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    whole, part = Counter(), {}
+    for r in five(spark, d, "").collect():
+        assert r.at + r.n_tokens <= r.fill <= r.capacity
+        if r.n_tokens < r.capacity and r.start == 0 and r.n_tokens < 4096:
+            whole[r.doc_id, tuple(r.ids)] += 1
+        else:
+            part[r.doc_id] = part.get(r.doc_id, 0) + r.n_tokens
+    for i, n in copies.items():
+        own = (*t.encode(after[i].text, add_special_tokens=False).ids, 2)
+        assert part.get(i) == n * len(own) if len(own) >= 4096 else whole[i, own] == n
+
+
+def test_pipeline_takes_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    for k, x in enumerate((odd, none)):
+        x.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{k}")
+        assert {"doc_id", "bin_id", "capacity", "fill", "at", "ids"} <= set(got.columns)
+        assert {r.doc_id for r in got.select("doc_id").collect()} <= ({7} if k == 0 else set())
+
+
 def test_hash_matches_the_engine(spark):
     t = "free software foundation general license"
     assert spark.range(1).select(F.xxhash64(F.lit(t))).first()[0] == op7_licenses.shingle_hashes(t.split())[0]
