@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.plans.session import spread
+
 # Fixed value: the word pattern of all operators here.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents, dealt over all cores where their files give fewer tasks."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def word_count(text: Column) -> Column:
