@@ -154,3 +154,19 @@ def dangling(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     per = child.groupBy(key).agg(F.count("*").alias("_n"))
     x = per.join(parent.select(key).distinct().withColumn("_p", F.lit(1)), key, "left")
     return x.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col(key).isNotNull() & F.col("_p").isNull(), F.col("_n"))), F.lit(0)).alias("dangling"))
+
+
+def balance_gates(rows: DataFrame, limits: dict[str, float], size_limit: float, group: str, fold: str = "fold") -> DataFrame:
+    """(gate, deviation, bound, passed): the folds' largest deviation from equal size and from each category's shares against
+    their limits, and the groups that lie in more than one fold against none."""
+    per = rows.groupBy(fold).agg(F.count("*").alias("n"))
+    size = per.agg(F.sum("n").alias("all"), F.count("*").alias("k"), F.max("n").alias("hi"), F.min("n").alias("lo"))
+    ideal = F.col("all") / F.col("k")
+    out = [size.select(F.lit("size").alias("gate"), F.greatest(F.col("hi") - ideal, ideal - F.col("lo")).alias("d"), ideal.alias("i")).select("gate", (F.col("d") / F.col("i")).alias("deviation"), F.lit(size_limit).alias("bound"))]
+    for c, most in limits.items():
+        out.append(balance(rows, c, fold).agg(F.max("max_dev").alias("deviation")).select(F.lit(c).alias("gate"), "deviation", F.lit(most).alias("bound")))
+    out.append(split_groups(rows, group, fold).agg(F.count("*").cast("double").alias("deviation")).select(F.lit("isolation").alias("gate"), "deviation", F.lit(0.0).alias("bound")))
+    x = out[0]
+    for y in out[1:]:
+        x = x.unionByName(y)
+    return x.withColumn("passed", F.round("deviation", 9) <= F.col("bound"))

@@ -179,6 +179,21 @@ def offset_regions(s, d):
     return segment.locate(t, regions(s, d).select("doc_id", "region", "start", "end"))
 
 
+# The largest deviations of a good split.
+LIMITS, SIZE_LIMIT = {"lang": 0.006, "source": 0.012, "length": 0.015}, 0.012
+
+
+def fold_gates(s, d):
+    """Whether folds by id are balanced in size, language, source and length and keep equal texts together."""
+    n = tx.word_count(F.col("text"))
+    x = docs(s, d).select((F.col("doc_id") % 5).alias("fold"), "lang", "source", F.when(n < 100, "short").when(n < 400, "mid").otherwise("long").alias("length"), F.md5("text").alias("k"))
+    return r6(select.balance_gates(cut(x), LIMITS, SIZE_LIMIT, "k"))
+
+
+_GATE = "SELECT '{c}' AS gate, max(abs(coalesce(c.n, 0) / f.n::DOUBLE - a.n / (SELECT count(*) FROM x)::DOUBLE)) AS deviation, {b}::DOUBLE AS bound FROM (SELECT fold, count(*) AS n FROM x GROUP BY fold) f CROSS JOIN (SELECT {c} AS v, count(*) AS n FROM x GROUP BY 1) a LEFT JOIN (SELECT fold, {c} AS v, count(*) AS n FROM x GROUP BY ALL) c ON c.fold = f.fold AND c.v = a.v"
+GATES = f"WITH t AS (SELECT *, len(regexp_extract_all(text, '{WORD}')) AS w FROM documents), x AS (SELECT doc_id % 5 AS fold, lang, source, CASE WHEN w < 100 THEN 'short' WHEN w < 400 THEN 'mid' ELSE 'long' END AS length, md5(text) AS k FROM t), g AS (SELECT 'size' AS gate, max(abs(n - m) / m) AS deviation, {SIZE_LIMIT}::DOUBLE AS bound FROM (SELECT fold, count(*) AS n, (SELECT count(*) / 5.0::DOUBLE FROM x) AS m FROM x GROUP BY fold) UNION ALL " + " UNION ALL ".join(_GATE.format(c=c, b=b) for c, b in LIMITS.items()) + " UNION ALL SELECT 'isolation', count(*)::DOUBLE, 0::DOUBLE FROM (SELECT k FROM x GROUP BY k HAVING count(DISTINCT fold) > 1)) SELECT gate, round(deviation, 6) AS deviation, bound, round(deviation, 9) <= bound AS passed FROM g"
+
+
 REFERENCES = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("labels", "doc_id", "documents", "doc_id"), ("embeddings", "vec_id", "documents", "doc_id")]
 
 
@@ -248,6 +263,7 @@ QUERIES: dict = {
     "offset_regions": (offset_regions, RG + 'SELECT t.doc_id, x, region FROM (SELECT doc_id, length(text) // 2 AS x FROM documents) t LEFT JOIN rg ON rg.doc_id = t.doc_id AND x >= start AND x < "end"'),
     "referential_check": (referential_check, " UNION ALL ".join(f"SELECT '{c}.{k}' AS child, count(*) AS rows, count(*) FILTER ({k} IS NOT NULL AND {k} NOT IN (SELECT {q} FROM {p})) AS dangling FROM {c}" for c, k, p, q in REFERENCES)),
     "dataset_audit": (dataset_audit, AUDIT),
+    "fold_gates": (fold_gates, GATES),
     "colabel_modes": (colabel_modes, MODES),
     "event_sliding": (event_sliding, "WITH w AS (SELECT unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR]) AS b, value FROM events) SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY b"),
     "sql_views": (sql_views, SQL_VIEWS),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zipfile
 from collections.abc import Iterator
@@ -173,10 +174,32 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.toDF(*(("﻿" if i == 0 else "") + c for i, c in enumerate(df.columns))).write.mode("errorifexists").csv(path, header=True)
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size_bytes, sha256) of every file below path, hashed where it is read."""
+def manifest(spark: SparkSession, path: str, chunk: int = 16 << 20) -> DataFrame:
+    """(path, size_bytes, sha256) of every file below path, hashed where it is read, a chunk at a time, so that files of any
+    size can be. Where only the engine can open the store, files go through it whole."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return rows.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    if path.partition("://")[0] not in (path, "file", "hdfs", "s3", "gs", "abfs"):
+        return rows.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in it:
+            out = []
+            for name, size in zip(x["path"], x["length"], strict=True):
+                fs, at = pafs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
+                h = hashlib.sha256()
+                with fs.open_input_stream(at) as f:
+                    while part := f.read(chunk):
+                        h.update(part)
+                out.append((name, size, h.hexdigest()))
+            yield pd.DataFrame(out, columns=["path", "size_bytes", "sha256"])
+
+    return rows.select("path", "length").mapInPandas(run, "path string, size_bytes long, sha256 string")
+
+
+def unsafe_paths(files: DataFrame, root: str) -> DataFrame:
+    """Files of a manifest that lie outside root or reach out of it by a dot-dot part: what a bundle must not unpack."""
+    inside = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/").startswith(root.partition("://")[2] or root)
+    return files.where(~inside | F.col("path").rlike(r"(^|/)\.\.(/|$)"))
 
 
 def manifest_diff(now: DataFrame, then: DataFrame) -> DataFrame:
@@ -203,18 +226,19 @@ def export_bundle(tables: dict[str, DataFrame], path: str) -> DataFrame:
     return spark.read.parquet(f"{path}-manifest")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def cached(spark: SparkSession, root: str, contract: dict, make) -> DataFrame:
-    """The table of make(), kept under the hash of its contract; an existing one is read, never overwritten."""
-    import hashlib
-
-    key = hashlib.sha256(json.dumps(contract, sort_keys=True).encode()).hexdigest()
-    at = f"{root}/{key}"
-    try:
-        return spark.read.parquet(at)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    make().write.mode("errorifexists").parquet(at)
+    """The table of make(), kept under the hash of its contract with the contract beside it. A finished one is read and never
+    written again; a folder without the mark of a finished write is made anew."""
+    text = json.dumps(contract, sort_keys=True)
+    at = f"{root}/{hashlib.sha256(text.encode()).hexdigest()}"
+    if not _exists(spark, f"{at}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(at)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}-contract")
     return spark.read.parquet(at)
 
 
@@ -229,9 +253,20 @@ def top5(ranks: DataFrame, k: int = 5) -> DataFrame:
     return ranks.where(F.col("rank") <= k).groupBy("qid").agg(F.array_distinct(F.transform(pairs, lambda x: x["d"])).alias("answer"))
 
 
-def write_submission(answers: DataFrame, path: str) -> None:
-    """A zip with {qid: {"answer": [...]}}, the same bytes for the same answers; read back and compared. Answers are
+def submission_faults(answers: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
+    """(qid, fault) of answers (qid, answer) that are not k different ids of docs (doc_id)."""
+    ids = answers.select("qid", F.explode_outer("answer").alias("d"))
+    known = docs.select(F.col("doc_id").cast("string").alias("d")).distinct().withColumn("_k", F.lit(1))
+    per = ids.join(known, "d", "left").groupBy("qid").agg(F.count("d").alias("n"), F.count_distinct("d").alias("u"), F.count_if(F.col("d").isNotNull() & F.col("_k").isNull()).alias("bad"))
+    fault = F.when(F.col("n") != k, "not as many answers").when(F.col("u") != F.col("n"), "an answer twice").when(F.col("bad") > 0, "an unknown document")
+    return per.select("qid", fault.alias("fault")).where("fault is not null")
+
+
+def write_submission(answers: DataFrame, path: str, docs: DataFrame | None = None) -> None:
+    """Where docs (doc_id) is given, faulty answers raise. A zip with {qid: {"answer": [...]}}, the same bytes for the same answers; read back and compared. Answers are
     one short row per query of a stated query set."""
+    if docs is not None and (bad := submission_faults(answers, docs).orderBy("qid").first()):
+        raise ValueError(f"{bad.qid}: {bad.fault}")
     got = {r.qid: {"answer": list(r.answer)} for r in answers.selectExpr("cast(qid as string) qid", "answer").orderBy("qid").toLocalIterator()}
     body = json.dumps(got, ensure_ascii=False, sort_keys=True, indent=2) + "\n"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as f:

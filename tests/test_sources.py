@@ -117,3 +117,35 @@ def test_sliding_windows_overlap(spark):
 def test_views_are_registered(spark, sf):
     io.register_views(spark, sf)
     assert spark.sql("SELECT count(*) FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region)").first()[0] == 25
+
+
+def test_half_written_tables_are_made_anew(spark, tmp_path):
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    io.cached(spark, str(tmp_path), {"a": 1}, make)
+    (folder,) = [p for p in tmp_path.iterdir() if not p.name.endswith("-contract")]
+    assert json.loads("".join(p.read_text() for p in (tmp_path / f"{folder.name}-contract").glob("part-*"))) == {"a": 1}
+    assert io.cached(spark, str(tmp_path), {"a": 1}, make).count() == 3 and len(made) == 1
+    (folder / "_SUCCESS").unlink()
+    assert io.cached(spark, str(tmp_path), {"a": 1}, make).count() == 3 and len(made) == 2
+
+
+def test_manifest_hashes_by_chunks_and_tells_unsafe_paths(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in").mkdir()
+    data = np.random.default_rng(2).bytes(100_000)
+    (tmp_path / "in/x").write_bytes(data)
+    got = io.manifest(spark, str(tmp_path / "in"), chunk=4096).collect()
+    assert [(r.size_bytes, r.sha256) for r in got] == [(100_000, hashlib.sha256(data).hexdigest())]
+    x = spark.createDataFrame([("file:/a/b/c",), ("file:///a/b/../c",), ("/a/other",), ("/a/b/d",)], "path string")
+    assert sorted(r.path for r in io.unsafe_paths(x, "/a/b").collect()) == ["/a/other", "file:///a/b/../c"]
+
+
+def test_faulty_submissions_raise(spark, tmp_path):
+    docs = spark.createDataFrame([(i,) for i in range(9)], "doc_id long")
+    x = spark.createDataFrame([(1, ["0", "1", "2", "3", "4"]), (2, ["0", "1"]), (3, ["0", "0", "1", "2", "3"]), (4, ["0", "1", "2", "3", "77"])], "qid long, answer array<string>")
+    assert rows(io.submission_faults(x, docs)) == [(2, "not as many answers"), (3, "an answer twice"), (4, "an unknown document")]
+    io.write_submission(x.where("qid = 1"), str(tmp_path / "z"), docs)
+    with pytest.raises(ValueError, match="2: not as many"):
+        io.write_submission(x, str(tmp_path / "z"), docs)
