@@ -44,11 +44,15 @@ def title_features(pairs: DataFrame, titles: DataFrame, short: int = 30) -> Data
     return rows.select("qid", "doc_id", "overlap", "idf_overlap", "idf_ratio", "query_coverage", "title_coverage", "jaccard", "numbers", "years", "instrument", "bigram_coverage", z(F.col("idf_ratio")).alias("idf_z"), (F.col("_r") / F.lit(float(short))).alias("title_rank"))
 
 
-def colabel_graph(items: DataFrame) -> DataFrame:
-    """items (basket, item): for pairs a < b that share a basket, support, P(b|a), Jaccard and PMI. Baskets are small
-    by nature; an item's frequency comes from one aggregate."""
+def colabel_graph(items: DataFrame, most: int = 10_000) -> DataFrame:
+    """items (basket, item): for pairs a < b that share a basket, support, P(b|a), Jaccard and PMI. Every pair of a basket is an
+    edge of the result, so one of over most different items raises instead of growing with its square; an item's
+    frequency comes from one aggregate, and equal pairs are counted before they are shuffled."""
     d = items.distinct()
-    n = d.select("basket").distinct().count()
+    size = d.groupBy("basket").agg(F.count("*").alias("n")).agg(F.count("*").alias("n"), F.max("n").alias("most")).first()
+    n = size.n
+    if (size.most or 0) > most:
+        raise ValueError(f"a basket holds {size.most} items, over {most}")
     freq = d.groupBy("item").agg(F.count("*").alias("f"))
     pairs = d.select("basket", F.col("item").alias("a")).join(d.select("basket", F.col("item").alias("b")), "basket").where("a < b")
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("support"))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset, as on a
+    single machine, which goes when the process ends."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='rankloom-')}"
+        own = tempfile.mkdtemp(prefix="rankloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)

@@ -1,4 +1,5 @@
 import os
+import shutil
 import sys
 
 import pytest
@@ -9,13 +10,16 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
+    shared = tmp_path_factory.mktemp("shared")
+
+    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").config("spark.checkpoint.dir", f"file://{shared}").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+    shutil.rmtree(shared, ignore_errors=True)
 
 
 @pytest.fixture(scope="session")
