@@ -295,7 +295,9 @@ def held_out(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
     """Train on labelled documents outside the held-out fifth: at most max_toxic and max_clean rows, least hash
-    first. Only the sampled documents' distinct units come to the driver, so its memory is bounded by the sample."""
+    first. Only the sampled documents' distinct units come to the driver, so its memory is bounded by the sample. Null
+    labels and ids teach nothing, a document labelled twice counts as toxic if either label says so, texts that repeat
+    teach once; without labels of both kinds every text scores the prior."""
     lab = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     lab = lab.groupBy("doc_id").agg(F.max("toxic").alias("y")).withColumn("h", F.xxhash64("doc_id", F.lit(7)))
     take = lab.where("y = 1").orderBy("h").limit(max_toxic).union(lab.where("y = 0").orderBy("h").limit(max_clean))
@@ -312,6 +314,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row of docs, over whole texts; null and empty texts have no unit and score lowest.
 
+    Repeated rows score alike, a score of 0.5 predicts toxic, an empty table gives an empty result, other columns are
+    not read; words longer than WINDOW are scored in overlapping windows, so long ones cost in proportion.
     The model is a few hundred kilobytes whatever the input. A worker remembers margins of _CACHE units at most.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
