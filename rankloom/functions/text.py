@@ -31,20 +31,6 @@ def punctuation_key(t: Column) -> Column:
     return compact(F.regexp_replace(fold(t), r"[\p{P}\p{S}]", " "))
 
 
-@F.pandas_udf(T.StringType())
-def accent_key(t: pd.Series) -> pd.Series:
-    """The punctuation key without any accent: đ as d, decomposed, combining marks dropped."""
-
-    def key(x: str | None) -> str | None:
-        if x is None:
-            return None
-        x = x.lower().replace("ß", "ss").replace("đ", "d")
-        x = unicodedata.normalize("NFD", "".join(" " if unicodedata.category(c)[0] in "PS" else c for c in x))
-        return " ".join("".join(c for c in x if unicodedata.category(c) != "Mn").split())
-
-    return t.map(key)
-
-
 def word_count(t: Column) -> Column:
     return F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -55,15 +41,32 @@ def model_text(t: pd.Series) -> pd.Series:
     return t.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFC", x).split()))
 
 
+@F.pandas_udf(T.StringType())
+def strict_key(t: pd.Series) -> pd.Series:
+    """model_text, case-folded: the general form of fold(compact(t))."""
+    return t.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFC", x).split()).casefold())
+
+
+def _plain(x: str) -> str:
+    x = unicodedata.normalize("NFKC", x).casefold()
+    return " ".join("".join(" " if unicodedata.category(c)[0] in "PS" else c for c in x).split())
+
+
 @F.pandas_udf(T.StringType())
 def nfkc_key(t: pd.Series) -> pd.Series:
     """NFKC, case-folded, punctuation and symbols as spaces: the general form of punctuation_key."""
+    return t.map(lambda x: None if x is None else _plain(x))
+
+
+@F.pandas_udf(T.StringType())
+def accent_key(t: pd.Series) -> pd.Series:
+    """nfkc_key without any accent: đ as d, decomposed, combining marks dropped."""
 
     def key(x: str | None) -> str | None:
         if x is None:
             return None
-        x = unicodedata.normalize("NFKC", x).casefold()
-        return " ".join("".join(" " if unicodedata.category(c)[0] in "PS" else c for c in x).split())
+        x = unicodedata.normalize("NFD", _plain(x).replace("đ", "d"))
+        return " ".join("".join(c for c in x if unicodedata.category(c) != "Mn").split())
 
     return t.map(key)
 

@@ -34,6 +34,23 @@ def pieces(n: Column, budget: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / budget)).cast("long")
 
 
+def token_counts(docs: DataFrame, path: str, key: str = "doc_id", special: int = 2) -> DataFrame:
+    """(key, n_tokens) under a vocabulary file of the tokenizers library, with special tokens on top; null counts as empty."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        for x in it:
+            for lo in range(0, len(x), 256):
+                y = x.iloc[lo : lo + 256]
+                got = t.encode_batch_fast([v or "" for v in y["text"]], add_special_tokens=False)
+                yield pd.DataFrame({"k": y["k"], "n_tokens": [len(e.ids) + special for e in got]})
+
+    rows = docs.select(F.col(key).alias("k"), F.col("text").cast("string").alias("text"))
+    return rows.mapInPandas(run, f"k {dict(rows.dtypes)['k']}, n_tokens long").withColumnRenamed("k", key)
+
+
 def atomic_split(regions: DataFrame, budget: int, n: str = "n") -> DataFrame:
     """Each region in ceil(n/budget) pieces without overlap, one at least: adds piece and n_tokens."""
     rows = regions.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces(F.col(n), budget) - 1)))

@@ -223,9 +223,9 @@ def stress_grid(s, d):
     t = spread(s.read.parquet(f"{d}/documents.parquet")).select("doc_id", F.md5("text").alias("k"), (F.regexp_count("text", F.lit(r"\S+")) < 20).alias("short"))
     copies = t.groupBy("k").agg(F.count("*").alias("c"))
     about = g.join(t.join(copies, "k"), "doc_id", "left").groupBy("qid").agg(F.coalesce(F.bool_or("short"), F.lit(False)).alias("some_short"), F.coalesce(F.bool_and("short"), F.lit(False)).alias("all_short"), F.coalesce(F.bool_or(F.col("c") > 1), F.lit(False)).alias("copied"))
-    pairs, _ = _near(s, d)
-    dense = pairs.select(F.explode(F.array("a", "b")).alias("qid")).distinct().withColumn("dense", F.lit(True))
-    group = components(s, d)
+    near = _near(s, d)
+    dense = near[0].select(F.explode(F.array("a", "b")).alias("qid")).distinct().withColumn("dense", F.lit(True))
+    group = components(s, d, near)
     many = group.join(group.groupBy("component").agg(F.count("*").alias("c")).where("c > 1"), "component", "left_semi").select(F.col("node").alias("qid"), F.lit(True).alias("grouped"))
     x = _gold_stats(s, d).join(about, "qid", "left").join(dense, "qid", "left").join(many, "qid", "left")
     rules = {"single_gold": F.col("n") == 1, "multi_gold": F.col("n") > 1, "three_plus_gold": F.col("n") >= 3, "short_gold_but_evaluable": F.col("some_short") & ~F.col("all_short"), "copied_gold": F.col("copied"), "near_duplicate_member": F.col("grouped"), "dense_90": F.col("dense"), "rare_gold_only": F.col("most") == 1, "frequent_gold_16p": F.col("most") >= 16}

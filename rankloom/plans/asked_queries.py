@@ -154,6 +154,14 @@ GOLD = f", gd AS (SELECT item_id AS qid, doc_id, len(regexp_extract_all(d.text,
 OVER = "WITH bu AS (SELECT unnest([128, 512, 1024])::BIGINT AS b)" + GOLD + ", pq AS (SELECT b, qid, count(*) AS m, count(*) FILTER (n > b) AS o FROM gd, bu GROUP BY ALL), un AS (SELECT DISTINCT doc_id, n FROM gd) SELECT (SELECT count(*) FROM un) AS gold_docs, b AS budget, (SELECT count(*) FROM un WHERE n > b) AS gold_over, sum(o)::BIGINT AS occurrences_over, count(*) FILTER (o > 0) AS any_q, count(*) FILTER (o = m) AS all_q FROM pq GROUP BY b"
 
 
+def token_counts(s, d):
+    """Tokens of each document under a public vocabulary, and which budgets they exceed."""
+    import public_tokenizers
+
+    x = segment.token_counts(docs(s, d), public_tokenizers.path("word_bpe_49k.json"))
+    return x.select("doc_id", "n_tokens", *((F.col("n_tokens") > b).alias(f"over_{b}") for b in (512, 1024, 2048, 4096)))
+
+
 def region_top30(s, d):
     """The 30 documents of most regions, with their characters."""
     x = regions(s, d).groupBy("doc_id").agg(F.count("*").alias("regions"), F.sum(F.col("end") - F.col("start")).alias("chars"), F.sum("n").alias("words"))
@@ -258,6 +266,7 @@ QUERIES: dict = {
     "top_passages": (top_passages, PASSAGES),
     "window_dedup": (window_dedup, DEDUP),
     "over_budget_gold": (over_budget_gold, OVER),
+    "token_counts": (token_counts, None),
     "region_top30": (region_top30, RG + 'SELECT doc_id, count(*) AS regions, sum("end" - start)::BIGINT AS chars, sum(n)::BIGINT AS words FROM rg GROUP BY doc_id ORDER BY regions DESC, doc_id LIMIT 30'),
     "region_spread": (region_spread, SPREAD),
     "offset_regions": (offset_regions, RG + 'SELECT t.doc_id, x, region FROM (SELECT doc_id, length(text) // 2 AS x FROM documents) t LEFT JOIN rg ON rg.doc_id = t.doc_id AND x >= start AND x < "end"'),

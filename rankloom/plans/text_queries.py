@@ -226,7 +226,7 @@ QUERIES: dict = {
     "bm25_recall_curve": (lambda s, d: r6(metrics.curve(_bm(s, d), gold_text(s, d), (1, 5, 10))), BM + ", gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), k AS (SELECT unnest([1, 5, 10])::BIGINT AS k), h AS (SELECT k, gold.qid, count(*) AS n, count(*) FILTER (rank <= k) AS h FROM gold CROSS JOIN k LEFT JOIN bm USING (qid, doc_id) GROUP BY ALL) SELECT k, round(avg(h / n::DOUBLE), 6) AS macro_recall, round(avg((h = n)::INT), 6) AS full_coverage, round(sum(h) / sum(n)::DOUBLE, 6) AS micro_recall FROM h GROUP BY k"),
     "match_keys": (match_keys, "SELECT doc_id, md5(" + FOLD.format(x=CMP.format(x="text")) + ") AS strict_key, md5(" + PUN + ") AS punctuation_key, md5(trim(regexp_replace(strip_accents(replace(" + PUN + ", 'đ', 'd')), ' +', ' ', 'g'))) AS accent_key FROM documents"),
     "model_text_lengths": (lambda s, d: docs(s, d).select("doc_id", F.char_length(tx.model_text("text")).cast("long").alias("n")), "SELECT doc_id, length(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))) AS n FROM documents"),
-    "nfkc_keys": (lambda s, d: docs(s, d).select("doc_id", F.md5(tx.nfkc_key("text")).alias("key")), None),
+    "nfkc_keys": (lambda s, d: docs(s, d).select("doc_id", F.md5(tx.strict_key("text")).alias("strict_key"), F.md5(tx.nfkc_key("text")).alias("punctuation_key"), F.md5(tx.accent_key("text")).alias("accent_key")), None),
     "text_flags": (text_flags, "SELECT unnest(['replacement', 'nul', 'control', 'not_nfc', 'edge_space', 'double_space', 'html_like']) AS flag, unnest([count(*) FILTER (contains(text, chr(65533))), count(*) FILTER (contains(text, chr(0))), count(*) FILTER (regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}]')), count(*) FILTER (nfc_normalize(text) <> text), count(*) FILTER (regexp_matches(text, '^\\s|\\s$')), count(*) FILTER (regexp_matches(text, '\\s\\s')), count(*) FILTER (regexp_matches(text, '<[^>]{1,120}>'))]) AS n FROM documents"),
     "word_stats": (word_stats, NW.replace("doc_id, len", "lang, len") + "SELECT lang, min(n)::DOUBLE AS lo, round(avg(n), 6) AS mean, max(n)::DOUBLE AS hi, " + ", ".join(f"round(quantile_cont(n::DOUBLE, {q}), 6) AS {a}" for q, a in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"))) + " FROM w GROUP BY lang"),
     "rule_classes": (archetypes, "WITH a AS (SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in tx.ARCHETYPES) + " ELSE 'GENERAL' END AS archetype FROM documents) SELECT archetype, count(*) AS n, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS fraction FROM a GROUP BY archetype"),

@@ -117,10 +117,10 @@ def titles(s, d):
     return spread(t).join(vectors(s, d).select(F.col("vec_id").alias("id")), "id", "left_semi")
 
 
-def near_rows(s, d):
+def near_rows(s, d, near=None):
     """The pairs of _near with the lexical cosine of their titles, equality of three keys of them, and the overlap of
     their gold sets (the items of the order of the same number)."""
-    pairs, _ = _near(s, d)
+    pairs, _ = near or _near(s, d)
     t = cut(titles(s, d))
     lex = lexical.pair_cosine(lexical.char_tfidf(t, "id", "title"), pairs.select("a", "b"), "id").withColumnRenamed("cosine", "lexical_cosine")
     k = t.select("id", F.struct(tx.fold(tx.compact(F.col("title"))), tx.punctuation_key(F.col("title")), tx.accent_key("title")).alias("k")).toDF("id", "k")
@@ -135,9 +135,9 @@ def near_rows(s, d):
     return rows.select("a", "b", "cosine", "lexical_cosine", *same, both.cast("long").alias("gold_overlap"), F.when(either > 0, both / either).otherwise(0.0).alias("gold_jaccard"))
 
 
-def components(s, d):
+def components(s, d, near=None):
     """Every vector with the least id reachable by pairs of 0.90 or more."""
-    pairs, member = _near(s, d)
+    pairs, member = near or _near(s, d)
     found = graph.connected_components(pairs.select("a", "b").union(member.where("id <> rep")))
     return vectors(s, d).select(F.col("vec_id").alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -145,9 +145,10 @@ def components(s, d):
 def leakage_groups(s, d):
     """Groups that must not be parted: pairs of 0.95, or of 0.94 with a lexical cosine of 0.80, or titles that are alike
     without accents; equal titles hang on their least id, so a frequent one makes no pairs."""
-    rows = near_rows(s, d)
+    near = _near(s, d)
+    rows = near_rows(s, d, near)
     edges = rows.where("cosine >= 0.95 or (cosine >= 0.94 and lexical_cosine >= 0.8)").select("a", "b")
-    member = _near(s, d)[1].where("id <> rep")
+    member = near[1].where("id <> rep")
     t = titles(s, d).select("id", F.md5(tx.accent_key("title")).alias("k"))
     same = t.join(t.groupBy("k").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "k").select("id", "first")
     found = graph.connected_components(edges.union(member).union(same))

@@ -163,6 +163,6 @@ def test_no_query_set_is_missing_its_twin():
 
     rest = set(catalog.queries()) - set(catalog.oracle_sql())
     fitted = {"logistic_oof", "boosted_oof", "kmeans_profile", "kmeans_choice", "nested_priors", "pairwise_logistic", "routed_arms"}
-    assert rest == fitted | {"nfkc_keys", "snapshot_fingerprint"}  # SQL has no NFKC, and its tables have no files
+    assert rest == fitted | {"nfkc_keys", "snapshot_fingerprint", "token_counts"}  # SQL has no NFKC, files or vocabularies
     with pytest.raises(KeyError):
         catalog.queries()["none"]

@@ -103,15 +103,20 @@ def test_character_grams_follow_word_bounds(spark):
 def test_accents_of_every_letter_go(spark):
     texts = ["Đường ĐỀ ạ ữ ệ Ở ỹ – Straße!", "éạ ḗ", "ậ ặ", None, "漢字 Ω"]
 
+    def marks(t):
+        t = unicodedata.normalize("NFKC", " ".join(unicodedata.normalize("NFC", t).split())).casefold()
+        return " ".join("".join(" " if unicodedata.category(c)[0] in "PS" else c for c in t).split())
+
     def plain(t):
-        t = t.lower().replace("ß", "ss").replace("đ", "d")
-        t = "".join(" " if unicodedata.category(c)[0] in "PS" else c for c in t)
-        return " ".join("".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").split())
+        t = unicodedata.normalize("NFD", marks(t).replace("đ", "d"))
+        return " ".join("".join(c for c in t if unicodedata.category(c) != "Mn").split())
 
     x = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {r.i: (r.a, r.n) for r in x.select("i", tx.accent_key("t").alias("a"), tx.nfkc_key("t").alias("n")).collect()}
     assert [got[i][0] for i in range(5)] == [None if t is None else plain(t) for t in texts]
+    assert [got[i][1] for i in range(5)] == [None if t is None else marks(t) for t in texts]
     assert got[0][0] == "duong de a u e o y strasse"
+    assert [r[0] for r in x.select(tx.strict_key("t")).collect()][:2] == ["đường đề ạ ữ ệ ở ỹ – strasse!", "éạ ḗ"]
     flags = x.select(*(c.alias(k) for k, c in tx.flags(F.col("t")).items())).collect()
     assert [r.not_nfc for r in flags] == [False, True, False, None, False]
 
@@ -146,6 +151,17 @@ def test_top_passages(spark):
     assert len({got[1, 1], got[1, 2]}) == 2
 
 
+def test_tokens_are_those_of_the_vocabulary(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [None, "", "some plain words, 12", "漢字 é"]
+    t = Tokenizer.from_file(path)
+    got = rows(segment.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path))
+    assert got == [(i, len(t.encode(x or "", add_special_tokens=False).ids) + 2) for i, x in enumerate(texts)]
+
+
 def test_points_fall_into_regions(spark):
     r = spark.createDataFrame([(1, 0, 0, 5), (1, 1, 6, 9), (2, 0, 3, 4)], "doc_id long, region long, start long, end long")
     p = spark.createDataFrame([(1, 0), (1, 4), (1, 5), (1, 8), (1, 9), (2, 0), (2, 3), (3, 1)], "doc_id long, x long")
