@@ -2,46 +2,76 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import fold, tokens
+from rankloom.operators.vector import Best
 from rankloom.plans.session import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, term, tf, dl)."""
-    rows = docs.select(key, tokens(F.col("text")).alias("t")).select(key, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    return rows.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, top: int = 10, block: int = 4096) -> DataFrame:
     """(qid, doc_id, rank, score): Okapi BM25 with k1 1.5, b 0.75; a negative idf becomes 0.25 times the mean idf over
     the vocabulary; one contribution per occurrence of a term in the query. Documents without a query term are not
-    listed. Texts are tokenised once, into postings that are counted where they are read and written once; document
-    frequencies are one aggregate over them. The terms of the queries (a stated query set) then meet the postings, by
-    broadcast up to a checked count, and each query and document has one partial sum per task."""
-    post = cut(postings(docs))
-    size = post.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.sum("dl")).first()[0] or 0
-    n = docs.count()
-    raw = post.groupBy("term").agg(F.count("*").alias("df"))
-    raw = cut(raw.withColumn("idf", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    listed. Texts are tokenised once and written once; document frequencies are one aggregate, counted where they are
+    read. The queries are a stated set, taken in blocks by hash: a task scores its documents against a block and passes
+    on the top ones of each query, so that neither a common word nor a long list of hits is ever shuffled."""
+    rows = cut(docs.select("doc_id", tokens(F.col("text")).alias("t")))
+    size = rows.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl")).first()
+    raw = rows.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = cut(raw.withColumn("idf", F.log(F.lit(float(size.n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     mean = raw.agg(F.avg("idf")).first()[0]
     q = queries.select("qid", F.explode(tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qf"))
     idf = F.when(F.col("idf") < 0, F.lit(mean) * EPSILON).otherwise(F.col("idf"))
     q = cut(q.join(raw, "term").select("qid", "term", (F.col("qf") * idf).alias("weight")))
-    hits = post.join(F.broadcast(q) if q.count() <= 200_000 else q, "term")
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(size / max(1, n))))
-    scored = hits.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    k = max(1, -(-q.select("qid").distinct().count() // block))
+    out = None
+    for b in range(k):
+        asked = q.where(F.pmod(F.xxhash64("qid"), F.lit(k)) == b).collect()
+        if asked:
+            run = partial(_scored, asked=[tuple(r) for r in asked], top=top, avgdl=size.avgdl)
+            found = rows.mapInPandas(run, "qid long, doc_id long, score double")
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], "qid long, doc_id long, rank long, score double")
     w = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top).select("qid", "doc_id", "rank", "score")
+    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top).select("qid", "doc_id", "rank", "score")
+
+
+def _scored(it: Iterator[pd.DataFrame], asked: list[tuple[int, str, float]], top: int, avgdl: float) -> Iterator[pd.DataFrame]:
+    ids = np.unique([a for a, _, _ in asked])
+    terms: dict[str, tuple[list[int], list[float]]] = {}
+    for a, term, weight in asked:
+        own = terms.setdefault(term, ([], []))
+        own[0].append(int(np.searchsorted(ids, a)))
+        own[1].append(weight)
+    kept = Best(ids, top)
+    for x in it:
+        for at in range(0, len(x), 1024):
+            y = x.iloc[at : at + 1024]
+            where: dict[str, tuple[list[int], list[float]]] = {}
+            for i, t in enumerate(y["t"]):
+                long = K1 * (1 - B + B * len(t) / avgdl)
+                for term, tf in Counter(w for w in t if w in terms).items():
+                    own = where.setdefault(term, ([], []))
+                    own[0].append(i)
+                    own[1].append(tf * (K1 + 1) / (tf + long))
+            score, hit = np.zeros((len(ids), len(y))), np.zeros((len(ids), len(y)), bool)
+            for term in sorted(where):
+                cell = np.ix_(terms[term][0], where[term][0])
+                score[cell] += np.outer(terms[term][1], where[term][1])
+                hit[cell] = True
+            kept.add(np.where(hit, np.round(score, 6), -np.inf), y["doc_id"].to_numpy(np.int64))
+    yield kept.rows()
 
 
 def holding(docs: DataFrame, queries: DataFrame, block: int = 100_000) -> DataFrame:

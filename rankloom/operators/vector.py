@@ -66,20 +66,37 @@ def topk(queries: DataFrame, docs: DataFrame, k: int, lo: int = 0, hi: int | Non
 
 
 def _best(it: Iterator[pd.DataFrame], ids: np.ndarray, q: np.ndarray, k: int, lo: int, hi: int | None, itself: bool) -> Iterator[pd.DataFrame]:
-    score, doc = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+    kept = Best(ids, k)
     for x in it:
         for at in range(0, len(x), 1024):
             y = x.iloc[at : at + 1024]
-            s = np.hstack([score, _scores(q, ids, y, lo, hi, itself)])
-            d = np.hstack([doc, np.broadcast_to(y["doc_id"].to_numpy(np.int64), (len(q), len(y)))])
-            wide = min(k, s.shape[1])
-            score, doc, least = np.empty((len(q), wide)), np.empty((len(q), wide), np.int64), np.partition(-s, wide - 1, axis=1)[:, wide - 1]
-            for i in range(len(q)):
-                some = np.flatnonzero(-s[i] <= least[i])
-                some = some[np.lexsort((d[i, some], -s[i, some]))[:wide]]
-                score[i], doc[i] = s[i, some], d[i, some]
-    row, col = np.nonzero(score > -np.inf)
-    yield pd.DataFrame({"qid": ids[row], "doc_id": doc[row, col], "score": score[row, col]})
+            kept.add(_scores(q, ids, y, lo, hi, itself), y["doc_id"].to_numpy(np.int64))
+    yield kept.rows()
+
+
+class Best:
+    """The k best documents of each query over the batches of a task, ties by document id; -inf is no document."""
+
+    def __init__(self, ids: np.ndarray, k: int) -> None:
+        self.ids, self.k = ids, k
+        self.score, self.doc = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+
+    def add(self, s: np.ndarray, docs: np.ndarray) -> None:
+        s = np.hstack([self.score, s])
+        d = np.hstack([self.doc, np.broadcast_to(docs, (len(s), len(docs)))])
+        wide = min(self.k, s.shape[1])
+        if not wide:
+            return
+        least = np.partition(-s, wide - 1, axis=1)[:, wide - 1]
+        self.score, self.doc = np.empty((len(s), wide)), np.empty((len(s), wide), np.int64)
+        for i in range(len(s)):
+            some = np.flatnonzero(-s[i] <= least[i])
+            some = some[np.lexsort((d[i, some], -s[i, some]))[:wide]]
+            self.score[i], self.doc[i] = s[i, some], d[i, some]
+
+    def rows(self) -> pd.DataFrame:
+        row, col = np.nonzero(self.score > -np.inf)
+        return pd.DataFrame({"qid": self.ids[row], "doc_id": self.doc[row, col], "score": self.score[row, col]})
 
 
 def children(queries: DataFrame, docs: DataFrame, parents: DataFrame, close: float = 0.025, block: int = BLOCK) -> DataFrame:
