@@ -427,7 +427,9 @@ def test_licenses_against_exact_windows(spark):
     near = mit.replace("free of charge", "without any charge")
     x = spark.createDataFrame([(1, "a b c " * 30 + mit + " d e f" * 10), (2, near), (3, " ".join(reversed(mit.split()))), (4, mit), (4, mit), (5, "license " * 500)], "doc_id long, text string")
     got = sorted((r.doc_id, r.license, round(r.containment, 3)) for r in op7_licenses.scan(x).where("license = 'mit-grant'").collect())
-    assert [g[0] for g in got] == [1, 4, 4] + ([] if len(got) == 3 else [2]) or [g[0] for g in got] == [1, 2, 4, 4]
+    grams_of = lambda t: {tuple(w[i : i + 5]) for w in [op7_licenses.plain(t)] for i in range(len(w) - 4)}
+    share = len(grams_of(mit) & grams_of(near)) / len(grams_of(mit))
+    assert share != 0.8 and [g[0] for g in got] == sorted([1, 4, 4] + [2] * (share > 0.8))
     assert got[0][2] == got[-1][2] == 1.0
     for t in op7_licenses.TEMPLATES.values():
         w = op7_licenses.plain(t)
