@@ -287,4 +287,5 @@ def sanitise(docs: DataFrame, **params) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find(documents(spark, sf_dir))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    n = F.size(F.filter(F.split("spans", ","), lambda x: x != "")).cast("long")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", n.alias("n_spans"))

@@ -273,6 +273,13 @@ def test_pii_terms_go_wherever_they_stand(spark):
     assert text[9] == filler[4]
 
 
+def test_pii_query_counts_its_spans(spark, tmp_path):
+    x = spark.createDataFrame([(1, "a@b.example 10.0.0.1"), (2, None), (3, "nothing")], "doc_id long, text string")
+    x.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, op3_pii.op3_pii(spark, str(tmp_path)).select("doc_id", "n_email", "n_ip", "spans", "n_spans").collect()))
+    assert got == [(1, 1, 1, "email:0:11,ip:12:20", 2), (2, 0, 0, "", 0), (3, 0, 0, "", 0)]
+
+
 def test_pii_copies_change_no_verdict(spark):
     far, filler = _told()
     spans = []
