@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators import features, fusion, metrics, select, vector
@@ -12,7 +12,10 @@ from rankloom.plans.vector_queries import BASE, COMPONENTS, GRID, NEAR, SC, SOUR
 ARMS = [*SOURCES, "fused"]
 DEPTHS = (5, 10, 15, 20, 30, 40, 50)
 BETAS = [round(k / 40, 3) for k in range(-12, 13) if k]
-FOLD = F.floor(F.col("qid") / 20) % 5
+
+
+def _fold() -> Column:
+    return F.floor(F.col("qid") / 20) % 5
 
 
 def fused(all_: DataFrame, top: int | None = 100) -> DataFrame:
@@ -88,7 +91,7 @@ def coefficient_summary(s, d):
     """Mean, deviation and range over folds of each feature's fold mean among gold less that among the others."""
     x = features.rerank_features(_shortlist(s, d)).join(gold(s, d).withColumn("g", F.lit(1)), ["qid", "doc_id"], "left")
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in LOCAL))).alias("x")
-    y = x.select(FOLD.alias("fold"), F.col("g").isNotNull().alias("g"), cells).select("fold", "g", "x.*")
+    y = x.select(_fold().alias("fold"), F.col("g").isNotNull().alias("g"), cells).select("fold", "g", "x.*")
     y = y.groupBy("fold", "feature").agg((F.avg(F.when(F.col("g"), F.col("v"))) - F.avg(F.when(~F.col("g"), F.col("v")))).alias("value"))
     return r6(metrics.summary(y))
 
@@ -111,7 +114,7 @@ def residual_sweep(s, d):
     base = per.where("beta = 0 and mode = 'raw' and signal = 'head'").select("qid", F.col("r").alias("r0"))
     x = per.where("beta <> 0").join(base, "qid")
     by = ["signal", "mode", "beta"]
-    folds = x.groupBy(*by, FOLD.alias("fold")).agg(F.sum("r").alias("s"), F.count("*").alias("n"), F.count_if(F.col("r") > F.col("r0")).alias("w"), F.count_if(F.col("r") < F.col("r0")).alias("l"))
+    folds = x.groupBy(*by, _fold().alias("fold")).agg(F.sum("r").alias("s"), F.count("*").alias("n"), F.count_if(F.col("r") > F.col("r0")).alias("w"), F.count_if(F.col("r") < F.col("r0")).alias("l"))
     m = F.col("s") / F.col("n")
     return r6(folds.groupBy(*by).agg((F.sum("s") / F.sum("n")).alias("recall"), (F.avg(m) - 0.35 * F.stddev_pop(m)).alias("robust"), F.sum("w").alias("wins"), F.sum("l").alias("losses")))
 
@@ -159,7 +162,7 @@ def arm_wins(s, d):
 
 def dev_cert(s, d):
     """Recall of each arm on the development folds 0 to 2 and on the certification folds 3 and 4."""
-    x = _per_arm(s, d).withColumn("split", F.when(FOLD <= 2, "dev").otherwise("cert"))
+    x = _per_arm(s, d).withColumn("split", F.when(_fold() <= 2, "dev").otherwise("cert"))
     return r6(x.groupBy("split", "arm").agg(F.count("*").alias("queries"), F.avg("recall").alias("recall")))
 
 
@@ -171,7 +174,7 @@ def nested_alpha(s, d):
 
 
 def paired_folds(s, d):
-    return r6(metrics.paired_folds(_recall(s, d, "full"), _recall(s, d, "tail"), FOLD))
+    return r6(metrics.paired_folds(_recall(s, d, "full"), _recall(s, d, "tail"), _fold()))
 
 
 def training_negatives(s, d):
@@ -230,7 +233,7 @@ def stress_grid(s, d):
     x = _gold_stats(s, d).join(about, "qid", "left").join(dense, "qid", "left").join(many, "qid", "left")
     rules = {"single_gold": F.col("n") == 1, "multi_gold": F.col("n") > 1, "three_plus_gold": F.col("n") >= 3, "short_gold_but_evaluable": F.col("some_short") & ~F.col("all_short"), "copied_gold": F.col("copied"), "near_duplicate_member": F.col("grouped"), "dense_90": F.col("dense"), "rare_gold_only": F.col("most") == 1, "frequent_gold_16p": F.col("most") >= 16}
     members = x.select("qid", F.explode(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items()))).alias("slice")).where("slice is not null")
-    return r6(metrics.slice_grid(_recall(s, d, "full").withColumn("fold", FOLD), members))
+    return r6(metrics.slice_grid(_recall(s, d, "full").withColumn("fold", _fold()), members))
 
 
 _B = BASE.replace("WITH q AS", ", q AS", 1)

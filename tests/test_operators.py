@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -166,3 +167,13 @@ def test_no_query_set_is_missing_its_twin():
     assert rest == fitted | {"nfkc_keys", "snapshot_fingerprint", "token_counts"}  # SQL has no NFKC, files or vocabularies
     with pytest.raises(KeyError):
         catalog.queries()["none"]
+
+
+def test_the_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) < set(q) and len(q) > 150; print('fine')"
+    got = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=120)
+    assert got.stdout.strip().endswith("fine"), got.stderr[-2000:]
