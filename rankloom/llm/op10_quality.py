@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -70,20 +71,26 @@ class Fertility:
     never span spaces, so a text's tokens are its words'; a cache holds _CACHE words at most."""
 
     def __init__(self, path: str, second: str) -> None:
-        import base64
-
-        import public_tokenizers
         import sentencepiece
-        import tiktoken
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        with open(second, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.second = tiktoken.Encoding("second", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.path = second
         self.known: dict[bytes, bytes] = {}
         self.rare: dict[bytes, tuple[int, int]] = {}
 
+    @cached_property
+    def second(self):
+        """Loaded when the first rare word is met; most workers meet none."""
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(self.path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding("second", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def _learn(self, new: list[bytes]) -> None:
         text = [w.decode("utf-8", "replace") for w in new]
         for w, t, ids in zip(new, text, self.model.encode(text, num_threads=1), strict=True):
