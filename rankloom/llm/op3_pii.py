@@ -8,6 +8,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: may give away before it is generalised or removed.
 REACH, SUPPORT, ALPHA, REMOVE = 8, 3, 1.2, 1.05
 _TERM = re.compile(r"[^\W\d_]{3,}")
-#: Hash buckets of terms and of repeated texts.
-_BUCKETS, _REPEATS = 1 << 18, 1 << 22
+#: Terms are looked for in parts of the distinct texts, by hash, all of them in the end: a term that the parts up to one
+#: of these bounds show to be common is not looked for in the next.
+_PARTS = (0, 2, 12, 64)
 
 
 def luhn(digits: str) -> bool:
@@ -117,63 +119,21 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text).alias("th")).mapInPandas(run, _ROW)
 
 
-def _bits(buckets: DataFrame, size: int) -> bytes:
-    """A byte for each of size buckets, on where buckets (b) holds it; they come to the driver as bitmaps, so what it gets
-    does not depend on how many there are."""
-    rows = buckets.groupBy((F.col("b") / 32_768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("b") % 32_768).alias("m"))
+def _marked(terms: DataFrame) -> bytes:
+    """A byte for each hash bucket, on where it holds one of the terms. Buckets are 256 a term or more (up to 16 million),
+    so the share of other words that fall in one does not grow with the terms; they come to the driver as bitmaps."""
+    size = 1 << min(24, max(18, (256 * terms.count()).bit_length()))
+    b = F.crc32(F.col("term").cast("binary")) % size
+    rows = terms.select(b.alias("b")).groupBy((F.col("b") / 32_768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("b") % 32_768).alias("m"))
     on = np.zeros(size, np.uint8)
     for r in rows.collect():  # size / 32,768 rows
         on[r.k * 32_768 : (r.k + 1) * 32_768] = np.unpackbits(np.frombuffer(r.m, np.uint8), bitorder="little")
     return on.tobytes()
 
 
-def _marked(terms: DataFrame) -> bytes:
-    """Hash buckets that hold one of the terms."""
-    return _bits(terms.select((F.crc32(F.col("term").cast("binary")) % _BUCKETS).alias("b")), _BUCKETS)
-
-
-def _in(on: bytes, w: str) -> int:
-    return on[zlib.crc32(w.encode("utf-8", "surrogatepass")) % _BUCKETS]
-
-
-def least_counts(docs: DataFrame, terms: DataFrame, repeated: bytes) -> DataFrame:
-    """(term, least) for the terms' hash buckets: a number of distinct texts that hold the term, no more than there are. Texts
-    outside the buckets of repeated ones are known to be single and all count; of the others, those of the batch
-    that has most. So common terms go before their places are listed."""
-    known = docs.sparkSession.sparkContext.broadcast((_marked(terms), repeated))
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        on, twice = known.value
-        single: Counter = Counter()
-        most: Counter = Counter()
-        for x in it:
-            n: Counter = Counter()
-            seen = set()
-            for t, th in zip(x["text"], x["th"], strict=True):
-                again = twice[th % _REPEATS]
-                if again and th in seen:
-                    continue
-                seen.add(th)
-                (n if again else single).update(w for w in {w.lower() for w in set(_TERM.findall(t or ""))} if _in(on, w))
-            for w, c in n.items():
-                most[w] = max(most[w], c)
-            if len(most) + len(single) > 200_000:
-                yield _counted(single, most)
-                single, most = Counter(), Counter()
-        yield _counted(single, most)
-
-    text = F.col("text").cast("string")
-    got = docs.select(text, F.xxhash64(text).alias("th")).mapInPandas(run, "term string, single long, most long")
-    return got.groupBy("term").agg((F.sum("single") + F.max("most")).alias("least"))
-
-
-def _counted(single: Counter, most: Counter) -> pd.DataFrame:
-    words = list(single | most)
-    return pd.DataFrame({"term": pd.Series(words, dtype=object), "single": [single[w] for w in words], "most": [most[w] for w in words]})
-
-
-def places(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(th, term, at) of the terms in every distinct text; at: the places in no base span, over the whole text."""
+def places(docs: DataFrame, terms: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(th, term, at) of the terms in every distinct text of the parts lo to hi - 1 of _PARTS[-1]; at: the places in no base
+    span, over the whole text."""
     known = docs.sparkSession.sparkContext.broadcast(_marked(terms))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,16 +142,17 @@ def places(docs: DataFrame, terms: DataFrame) -> DataFrame:
             rows = []
             for t, th in zip(x["text"], x["th"], strict=True):
                 t = t or ""
-                found = {w for w in {w.lower() for w in set(_TERM.findall(t))} if _in(on, w)}
-                at: dict[str, list] = {w: [] for w in found}
-                for m in outside(t, base_spans(t)) if found else ():
+                at: dict[str, list] = {w: [] for w in {w.lower() for w in set(_TERM.findall(t))} if on[zlib.crc32(w.encode("utf-8", "surrogatepass")) % len(on)]}
+                for m in outside(t, base_spans(t)) if at else ():
                     if m[0].lower() in at:
                         at[m[0].lower()].append({"s": m.start(), "e": m.end()})
                 rows += [(th, w, v) for w, v in at.items()]
             yield pd.DataFrame(rows, columns=["th", "term", "at"])
 
     text = F.col("text").cast("string")
-    got = docs.select(text, F.xxhash64(text).alias("th")).mapInPandas(run, "th long, term string, at array<struct<s:int,e:int>>")
+    part = F.pmod("th", F.lit(_PARTS[-1]))
+    got = docs.select(text, F.xxhash64(text).alias("th")).where((part >= lo) & (part < hi))
+    got = got.mapInPandas(run, "th long, term string, at array<struct<s:int,e:int>>")
     return got.join(terms.select("term").distinct(), "term", "left_semi").dropDuplicates(["th", "term"])
 
 
@@ -215,17 +176,20 @@ def revealing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, alpha: f
     total = rows.select("th").distinct().count()
     ic, n = F.log2(F.lit(float(total)) / F.col("w")), F.lit(float(total))
     pmi = lambda c: F.log2(F.col("both") * n / (F.col("w") * F.col(c)))
-    near = near.where(F.col("n_own") >= support).drop("n_own").join(wide, "ent").where((ic > 0) & (pmi("both") >= ic / alpha))
-    near = cut(near)
-    if near.isEmpty():
-        return None
-    copied = rows.groupBy("th").agg(F.count("*").alias("n")).where("n > 1").select(F.pmod("th", F.lit(_REPEATS)).alias("b"))
-    near = cut(near.join(least_counts(docs, near, _bits(copied, _REPEATS)), "term").where(pmi("least") >= ic / alpha))
-    if near.isEmpty():
-        return None
-    at = cut(places(docs, near))
-    x = near.join(at.groupBy("term").agg(F.count("*").alias("c")), "term").where(pmi("c") >= ic / alpha)
-    x = x.groupBy("term").agg(F.max(pmi("c") >= ic / REMOVE).alias("removed"))
+    near = near.where(F.col("n_own") >= support).drop("n_own").join(wide, "ent").where(ic > 0)
+    # c: distinct texts known to hold the term, first of those with entities; at the end of all.
+    held = texts.select("th", F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("c"))
+    near = cut(near.join(held, "term").where(pmi("c") >= ic / alpha))
+    at = None
+    for lo, hi in pairwise(_PARTS):
+        if near.isEmpty():
+            return None
+        more = cut(places(docs, near, lo, hi))
+        at = more if at is None else at.unionByName(more)
+        c = at.groupBy("term").agg(F.count("*").alias("found"))
+        near = near.join(c, "term", "left").withColumn("c", F.greatest("c", "found")).drop("found")
+        near = cut(near.where(pmi("c") >= ic / alpha))
+    x = near.groupBy("term").agg(F.max(pmi("c") >= ic / REMOVE).alias("removed"))
     return at.join(x, "term")
 
 

@@ -289,6 +289,40 @@ def test_pii_copies_change_no_verdict(spark):
     assert "term" in spans[0][0] and spans[0] == spans[1]
 
 
+def test_pii_rows_grow_with_the_texts_not_with_tasks_times_terms(spark, monkeypatch):
+    word = lambda *k: "w" + "".join(chr(97 + i // 26) + chr(97 + i % 26) for i in k)
+    made, kind = [], type(spark.range(1))
+    plain = kind.mapInPandas
+
+    def counted(self, func, schema):
+        n = spark.sparkContext.accumulator(0)
+        made.append(n)
+
+        def run(it):
+            for x in func(it):
+                n.add(len(x))
+                yield x
+
+        return plain(self, run, schema)
+
+    monkeypatch.setattr(kind, "mapInPandas", counted)
+    rows = []
+    for groups in (4, 20):  # each of ten terms that only its three texts hold, and ten that a hundred others hold too
+        texts, want = [], {}
+        for g in range(groups):
+            common, own = ([word(g, j) for j in range(k, k + 10)] for k in (0, 10))
+            for i in range(3):
+                t = f"{word(g, 50, i)} m{g}@mail.example.com {word(g, 51, i)} {' '.join(common + own)}"
+                want[len(texts)] = ",".join([f"email:{t.index('m' + str(g))}:{t.index('.com') + 4}", *(f"term:{t.index(w)}:{t.index(w) + len(w)}" for w in own)])
+                texts.append(t)
+            texts += [f"{word(g, 52, i)} {' '.join(common)}" for i in range(100)]
+        made.clear()
+        found = op3_pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(groups))
+        assert {r.doc_id: r.spans for r in found.where("spans != ''").collect()} == want
+        rows.append(sum(n.value for n in made[1:]))  # after the scan, which makes one row per text
+    assert rows[0] and rows[1] <= 8 * rows[0], rows  # five times the texts, tasks and terms
+
+
 def test_records_round_trip(spark, odd, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
