@@ -44,20 +44,29 @@ def title_features(pairs: DataFrame, titles: DataFrame, short: int = 30) -> Data
     return rows.select("qid", "doc_id", "overlap", "idf_overlap", "idf_ratio", "query_coverage", "title_coverage", "jaccard", "numbers", "years", "instrument", "bigram_coverage", z(F.col("idf_ratio")).alias("idf_z"), (F.col("_r") / F.lit(float(short))).alias("title_rank"))
 
 
-def colabel_graph(items: DataFrame, most: int = 10_000) -> DataFrame:
+def colabel_graph(items: DataFrame, most: int = 10_000, rows: int = 400_000) -> DataFrame:
     """items (basket, item): for pairs a < b that share a basket, support, P(b|a), Jaccard and PMI. Every pair of a basket is an
     edge of the result, so one of over most different items raises instead of growing with its square; an item's
-    frequency comes from one aggregate, and equal pairs are counted before they are shuffled."""
-    d = items.distinct()
-    size = d.groupBy("basket").agg(F.count("*").alias("n")).agg(F.count("*").alias("n"), F.max("n").alias("most")).first()
-    n = size.n
-    if (size.most or 0) > most:
-        raise ValueError(f"a basket holds {size.most} items, over {most}")
-    freq = d.groupBy("item").agg(F.count("*").alias("f"))
-    pairs = d.select("basket", F.col("item").alias("a")).join(d.select("basket", F.col("item").alias("b")), "basket").where("a < b")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("support"))
-    rows = pairs.join(freq.toDF("a", "fa"), "a").join(freq.toDF("b", "fb"), "b")
-    return rows.select("a", "b", "support", (F.col("support") / F.col("fa")).alias("cond"), (F.col("support") / (F.col("fa") + F.col("fb") - F.col("support"))).alias("jaccard"), F.log(F.col("support") * F.lit(float(n)) / (F.col("fa") * F.col("fb"))).alias("pmi"))
+    frequency comes from one aggregate, and equal pairs are counted before they are shuffled. Baskets are dealt once, about
+    rows rows a task and pairs alike, whatever their number, and pairs are made within the basket."""
+    m = F.col("m")
+    size = items.groupBy("basket").agg(F.count("*").alias("m")).where("basket is not null")
+    size = size.agg(F.count("*").alias("n"), F.sum("m").alias("rows"), F.sum(m * (m - 1) / 2).alias("pairs"), F.max("m").alias("most")).first()
+    if (size.most or 0) > most:  # repeats count above, so look closer
+        wide = items.where("basket is not null").distinct().groupBy("basket").agg(F.count("*").alias("m")).agg(F.max("m").alias("most")).first()
+        if wide.most > most:
+            raise ValueError(f"a basket holds {wide.most} items, over {most}")
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    dealt, counted = (max(cores, int(-(-(x or 0) // rows))) for x in (size.rows, size.pairs))
+    # What is dealt by a part of the baskets is also grouped by it, so pairs are counted where they are made.
+    part = F.pmod(F.xxhash64("basket"), F.lit(64 * dealt)).alias("part")
+    held = items.where("basket is not null and item is not null").select(part, "basket", "item").repartition(dealt, "part")
+    held = held.groupBy("part", "basket").agg(F.sort_array(F.collect_set("item")).alias("s"))
+    freq = held.select(F.explode("s").alias("item")).groupBy("item").agg(F.count("*").alias("f")).hint("merge")
+    pairs = held.select("part", "s", F.posexplode("s").alias("i", "a")).select("part", "a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
+    pairs = pairs.groupBy("part", "a", "b").agg(F.count("*").alias("c")).repartition(counted, "a", "b").groupBy("a", "b").agg(F.sum("c").alias("support"))
+    found = pairs.join(freq.toDF("a", "fa"), "a").join(freq.toDF("b", "fb"), "b")
+    return found.select("a", "b", "support", (F.col("support") / F.col("fa")).alias("cond"), (F.col("support") / (F.col("fa") + F.col("fb") - F.col("support"))).alias("jaccard"), F.log(F.col("support") * F.lit(float(size.n)) / (F.col("fa") * F.col("fb"))).alias("pmi"))
 
 
 def colabel_best(graph: DataFrame, anchors: DataFrame, min_support: int = 2, mode: str = "hybrid") -> DataFrame:
