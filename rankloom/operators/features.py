@@ -72,14 +72,45 @@ def colabel_graph(items: DataFrame, most: int = 10_000, rows: int = 400_000) ->
 def colabel_best(graph: DataFrame, anchors: DataFrame, min_support: int = 2, mode: str = "hybrid") -> DataFrame:
     """(key, best, score): for anchors (key, item, i) the neighbour of best score, weight 1/(1+i/4) per anchor. mode: cond, jaccard
     or hybrid = sqrt(cond*jaccard) * log1p(support) * (1 + max(pmi, 0)/10)."""
-    edge = graph.where(F.col("support") >= min_support).select("a", "b", "support", "jaccard", "pmi", "cond")
-    back = edge.select(F.col("b").alias("a"), F.col("a").alias("b"), "support", "jaccard", "pmi", "cond")
+    return colabel_bests(graph, anchors, min_support, (mode,)).drop("mode")
+
+
+#: Values of one item nearer than this may give equal rounded scores, for anchors up to the ten thousandth.
+NEAR = 3e-6
+
+
+def colabel_bests(graph: DataFrame, anchors: DataFrame, min_support: int, modes: tuple[str, ...]) -> DataFrame:
+    """(key, best, score, mode): colabel_best of several modes over one reading of the graph.
+
+    A key of n items leaves out n - 1 neighbours of an item at most, so an item keeps only the neighbours that fewer than n
+    others surely beat, n being its largest key; an anchor then finds its best within its row, and keys meet one row an
+    anchor instead of all neighbours of all their items."""
     hybrid = F.sqrt(F.col("cond") * F.col("jaccard")) * F.log1p(F.col("support").cast("double")) * (1 + F.greatest(F.col("pmi"), F.lit(0.0)) / 10)
-    value = hybrid if mode == "hybrid" else F.col(mode)
-    rows = anchors.join(edge.unionByName(back).withColumnRenamed("a", "item"), "item")
-    rows = rows.withColumn("score", F.round(value / (1 + 0.25 * F.col("i")), 9)).join(anchors.select("key", F.col("item").alias("b")), ["key", "b"], "left_anti")
-    best = rows.groupBy("key", "b").agg(F.max("score").alias("score")).groupBy("key")
-    return best.agg(F.max(F.struct("score", (-F.col("b")).alias("b"))).alias("x")).select("key", (-F.col("x.b")).alias("best"), "x.score")
+    low = [(-(hybrid if m == "hybrid" else F.col(m))).alias(f"low{j}") for j, m in enumerate(modes)]
+    names = [f"low{j}" for j in range(len(modes))]
+    edge = graph.where(F.col("support") >= min_support).select("a", "b", *low)
+    ways = F.explode(F.array(F.struct(F.col("a").alias("item"), F.col("b").alias("to")), F.struct(F.col("b").alias("item"), F.col("a").alias("to")))).alias("x")
+    edge = edge.select(ways, *names).select("x.item", "x.to", *names)
+
+    held = anchors.groupBy("key").agg(F.collect_list(F.struct("item", "i")).alias("g"))
+    own = F.when(F.col("key").isNull(), F.array().cast("array<bigint>")).otherwise(F.filter(F.transform("g", lambda x: x["item"].cast("bigint")), lambda x: x.isNotNull()))
+    held = held.select("key", own.alias("own"), F.explode("g").alias("x")).select("key", "own", "x.item", "x.i")
+    most = held.groupBy("item").agg(F.max(F.greatest(F.size("own"), F.lit(1))).alias("m"))
+
+    edge = edge.join(most.hint("merge"), "item")
+    for v in names:
+        over = W.partitionBy("item").orderBy(v)
+        twin = F.row_number().over(W.partitionBy("item").orderBy(v, "to")) - F.rank().over(over)
+        beaten = F.expr(f"count(1) over (partition by item order by {v} range between unbounded preceding and {NEAR}D preceding)")
+        edge = edge.withColumn(f"_{v}", (twin < F.col("m")) & (beaten < F.col("m")))
+    edge = edge.where(" or ".join(f"_{v}" for v in names))
+    tops = edge.groupBy("item").agg(F.collect_list(F.struct("to", *names)).alias("tops"))
+
+    x = held.join(tops.hint("merge"), "item").select("key", "i", F.filter("tops", lambda t: ~F.array_contains("own", t["to"])).alias("tops"))
+    best = lambda v: F.array_max(F.transform("tops", lambda t: F.struct(F.round(-t[v] / (1 + 0.25 * F.col("i")), 9).alias("score"), (-t["to"]).alias("b"))))
+    x = x.select("key", *(best(v).alias(v) for v in names)).groupBy("key").agg(*(F.max(v).alias(v) for v in names))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.col(v).alias("x")) for m, v in zip(modes, names, strict=True)))).alias("y")
+    return x.select("key", each).where("y.x is not null").select("key", (-F.col("y.x.b")).alias("best"), F.col("y.x.score").alias("score"), F.col("y.mode").alias("mode"))
 
 
 def propensity(rows: DataFrame, source_folds: int = 4) -> DataFrame:

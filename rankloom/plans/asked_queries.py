@@ -233,10 +233,8 @@ AUDIT = f"WITH x AS (SELECT text, len(regexp_extract_all(text, '{WORD}')) AS n,
 
 def colabel_modes(s, d):
     """Each basket's best co-labelled item by conditional share and by Jaccard."""
-    g = cut(features.colabel_graph(baskets(s, d)))
-    a = cut(baskets(s, d).distinct().select(F.col("basket").alias("key"), "item", (F.row_number().over(W.partitionBy("basket").orderBy("item")) - 1).alias("i")))
-    one = [features.colabel_best(g, a, 1, m).withColumn("mode", F.lit(m)) for m in ("cond", "jaccard")]
-    return r6(one[0].unionByName(one[1]))
+    a = baskets(s, d).distinct().select(F.col("basket").alias("key"), "item", (F.row_number().over(W.partitionBy("basket").orderBy("item")) - 1).alias("i"))
+    return r6(features.colabel_bests(features.colabel_graph(baskets(s, d)), a, 1, ("cond", "jaccard")))
 
 
 MODES = CG + ", k AS (SELECT basket AS key, item, row_number() OVER (PARTITION BY basket ORDER BY item) - 1 AS i FROM i), ed AS (SELECT a AS item, b AS other, cond, jaccard FROM g UNION ALL SELECT b, a, cond, jaccard FROM g), vs AS (SELECT key, other, max(round(cond / (1 + 0.25::DOUBLE * i), 9)) AS cond, max(round(jaccard / (1 + 0.25::DOUBLE * i), 9)) AS jaccard FROM k JOIN ed USING (item) WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.key = k.key AND o.item = ed.other) GROUP BY ALL) " + " UNION ALL ".join(f"SELECT key, best, round(score, 6) AS score, '{m}' AS mode FROM (SELECT key, other AS best, {m} AS score, row_number() OVER (PARTITION BY key ORDER BY {m} DESC, other) AS r FROM vs) WHERE r = 1" for m in ("cond", "jaccard"))
