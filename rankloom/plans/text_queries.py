@@ -149,7 +149,7 @@ g AS (SELECT a, b, support, support / fa.f::DOUBLE AS cond, support / (fa.f + fb
 
 
 def colabel_score(s, d):
-    g = cut(features.colabel_graph(baskets(s, d)))
+    g = features.colabel_graph(baskets(s, d))
     keys = baskets(s, d).distinct()
     a = keys.select(F.col("basket").alias("key"), "item", (F.row_number().over(W.partitionBy("basket").orderBy("item")) - 1).alias("i"))
     return r6(features.colabel_best(g, a))
