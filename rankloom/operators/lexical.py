@@ -121,3 +121,115 @@ def pair_cosine(weights: DataFrame, pairs: DataFrame, key: str = "id") -> DataFr
     right = weights.select(F.col(key).alias("b"), "gram", F.col("weight").alias("wb"))
     hit = pairs.join(left, "a").join(right, ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
     return pairs.join(hit, ["a", "b"], "left").select("a", "b", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
+
+
+def _grams(word: str, sizes: tuple[int, ...]) -> list[str]:
+    return [w[i : i + n] for w in (f" {word} ",) for n in sizes for i in range(len(w) - n + 1)]
+
+
+def char_vocabulary(texts: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), min_df: int = 2, most: int = 180_000, hold: int = 500_000) -> DataFrame:
+    """(gram, df) of char_tfidf's vocabulary for texts with words, folded and joined by spaces. Tasks count what they read and
+    pass on a row a gram, so rows grow with the vocabulary instead of with the texts."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, tf = Counter(), Counter()
+        known: dict[str, list[str]] = {}
+
+        def made() -> pd.DataFrame:
+            return pd.DataFrame({"gram": list(tf), "df": [df[g] for g in tf], "c": list(tf.values())})
+
+        for x in it:
+            for t in x["words"]:
+                own: Counter = Counter()
+                for w in (t or "").split(" "):
+                    if w:
+                        if w not in known:
+                            if len(known) > 50_000:
+                                known.clear()
+                            known[w] = _grams(w, sizes)
+                        own.update(known[w])
+                df.update(own.keys())
+                tf.update(own)
+                if len(tf) > hold:
+                    yield made()
+                    df, tf = Counter(), Counter()
+        yield made()
+
+    part = texts.select("words").mapInPandas(run, "gram string, df long, c long")
+    part = part.groupBy("gram").agg(F.sum("df").alias("df"), F.sum("c").alias("c")).where(F.col("df") >= min_df)
+    return part.orderBy(F.desc("c"), "gram").limit(most).select("gram", "df")
+
+
+def pair_lexical(pairs: DataFrame, texts: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), chars: int = 8_000_000) -> DataFrame:
+    """pairs (a, b, cosine) with lexical_cosine, the cosine of their character n-gram weights as char_tfidf gives them, and what
+    texts (id, words, k array, g long) say of both: same<n> for each key of k, both, either: the bits set in both and in any g.
+
+    Texts are dealt into chunks of about chars characters, and a block of two chunks holds the vectors of its texts, a row a
+    text, and meets its pairs as a stream: a text is shuffled once a chunk and never once a pair or a gram."""
+    spark = texts.sparkSession
+    texts = cut(texts)
+    size = texts.agg(F.count("words").alias("n"), F.sum(F.char_length("words")).alias("c")).first()
+    rows = cut(char_vocabulary(texts, sizes)).collect()  # bounded by the vocabulary's stated size
+    at = {r.gram: i for i, r in enumerate(rows)}
+    idf = np.array([np.log((1 + size.n) / (1 + r.df)) + 1 for r in rows])
+    del rows
+    k = max(1, -(-(size.c or 0) // chars))
+    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    own = texts.withColumn("c", chunk("id")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    own = own.select(F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("cosine"), "words", "k", "g")
+    met = pairs.select(F.least(chunk("a"), chunk("b")).alias("i"), F.greatest(chunk("a"), chunk("b")).alias("j"), F.lit(1).alias("kind"), "a", "b", "cosine")
+    tasks = spark.sparkContext.defaultParallelism * 4
+    both = own.unionByName(met, allowMissingColumns=True).repartition(tasks, "i", "j").sortWithinPartitions("i", "j", "kind", "a")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, np.ndarray] = {}
+        dense, block = np.zeros(len(idf)), None
+        none, blank = (np.zeros(0, np.int32), np.zeros(0)), ([None] * 3, 0)
+        where: dict[int, int] = {}
+
+        def vector(t: str | None) -> tuple[np.ndarray, np.ndarray]:
+            found = []
+            for w in (t or "").split(" "):
+                if w:
+                    if w not in known:
+                        if len(known) > 50_000:
+                            known.clear()
+                        known[w] = np.array([at[g] for g in _grams(w, sizes) if g in at], np.int32)
+                    found.append(known[w])
+            if not found:
+                return none
+            i, n = np.unique(np.concatenate(found), return_counts=True)
+            v = (1 + np.log(n)) * idf[i]
+            return i, v / (np.sqrt((v * v).sum()) or 1.0)
+
+        for x in it:
+            keys = x[["i", "j"]].to_numpy()
+            kinds = x["kind"].to_numpy()
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1) | (kinds[1:] != kinds[:-1])) + 1), len(x)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo == hi:
+                    continue
+                if block != tuple(keys[lo]):
+                    block, where, vectors, about = tuple(keys[lo]), {}, [], []
+                y = x.iloc[lo:hi]
+                if not kinds[lo]:
+                    for i, t, k, g in zip(y["a"], y["words"], y["k"], y["g"], strict=True):
+                        where[i] = len(vectors)
+                        vectors.append(vector(t))
+                        about.append(([None] * 3 if k is None else list(k), 0 if pd.isna(g) else int(g)))
+                    continue
+                out, last, held = [], None, none[0]
+                for a, b, c in zip(y["a"], y["b"].astype("int64"), y["cosine"], strict=True):
+                    p, q = where.get(a, -1), where.get(b, -1)
+                    va, vb = (vectors[p] if p >= 0 else none), (vectors[q] if q >= 0 else none)
+                    if a != last:
+                        dense[held] = 0
+                        held, last = va[0], a
+                        dense[held] = va[1]
+                    lex = float(np.dot(dense.take(vb[0]), vb[1]))
+                    (ka, ga), (kb, gb) = (about[p] if p >= 0 else blank), (about[q] if q >= 0 else blank)
+                    out.append((a, b, c, lex, *(u is not None and u == v for u, v in zip(ka, kb, strict=True)), (ga & gb).bit_count(), (ga | gb).bit_count()))
+                dense[held] = 0
+                yield pd.DataFrame(out, columns=["a", "b", "cosine", "lexical_cosine", "same1", "same2", "same3", "both", "either"])
+
+    return both.mapInPandas(run, "a long, b long, cosine double, lexical_cosine double, same1 boolean, same2 boolean, same3 boolean, both long, either long")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from rankloom.plans.session import cut
 
-#: Queries held by each task at a time in the blocked search, and vectors aimed at in a bucket of near_pairs.
-BLOCK, BUCKET = 4096, 1024
+#: Queries held by each task at a time in the blocked search, and vectors of a chunk (and aimed at in a bucket) of near_pairs.
+BLOCK, BUCKET = 4096, 16_384
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -152,9 +152,10 @@ def near_pairs(vectors: DataFrame, least: float, miss: float = 1e-6, bucket: int
     more, and the representative, the least id, of every row. Equal vectors are one class, so copies are never paired.
 
     Signs of random projections deal the classes into buckets, of about bucket rows, in as many tables as keep the
-    chance that a pair at exactly least meets in none below miss; one bucket while the classes fit in it. Buckets
-    are compared in blocks of two chunks, each pair where its first common table has it. Null and zero vectors
-    and those with a null or not finite number are in no pair and stand for themselves.
+    chance that a pair at exactly least meets in none below miss, where that compares at most a quarter of all pairs;
+    else all are one bucket and nothing is missed. A bucket is compared in blocks of two chunks of bucket rows, in
+    parts of bounded size, each pair where its first common table has it. Null and zero vectors and those with a null
+    or not finite number are in no pair and stand for themselves.
     """
     e = F.col("embedding").cast("array<double>")
     fine = F.coalesce(~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(e, lambda v: v != 0), F.lit(False))
@@ -164,6 +165,8 @@ def near_pairs(vectors: DataFrame, least: float, miss: float = 1e-6, bucket: int
     n = classes.count()
     bits = max(0, math.ceil(math.log2(max(1, n) / bucket)))
     tables = 1 if not bits else math.ceil(math.log(miss) / math.log1p(-((1 - math.acos(least) / math.pi) ** bits)))
+    if tables > 2**bits / 4:
+        bits, tables = 0, 1
     keys = ["t", "code", "i", "j"]
 
     def units(e: pd.Series) -> np.ndarray:
@@ -173,7 +176,7 @@ def near_pairs(vectors: DataFrame, least: float, miss: float = 1e-6, bucket: int
 
     def codes(v: np.ndarray, upto: int) -> np.ndarray:
         planes = np.random.default_rng(seed).standard_normal((tables, bits, v.shape[1]))[:upto]
-        return ((np.einsum("nd,tbd->ntb", v, planes) > 0) << np.arange(bits)).sum(axis=2)
+        return np.concatenate([((np.einsum("nd,tbd->ntb", v[lo : lo + 2048], planes) > 0) << np.arange(bits)).sum(axis=2) for lo in range(0, len(v), 2048)])
 
     def place(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in it:
@@ -183,29 +186,56 @@ def near_pairs(vectors: DataFrame, least: float, miss: float = 1e-6, bucket: int
                 for t in range(tables):
                     yield y.assign(t=t, code=c[:, t])
 
-    def compare(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        t, _, i, j = (int(v) for v in key)
+    def compare(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        t, _, i, j = (int(v) for v in x[keys].iloc[0])
         x = x.sort_values("rep")
-        v, rep, found = units(x["e"]), x["rep"].to_numpy(), []
-        side = x["c"].to_numpy() == i
-        for lo in range(0, len(v), 512):
-            s = np.round(v[lo : lo + 512] @ v.T, 9)
-            near = (s >= least) & (rep[lo : lo + 512, None] < rep[None, :])
-            if i != j:
-                near &= side[lo : lo + 512, None] != side[None, :]
-            p, q = np.nonzero(near)
-            if t and len(p):
-                met = (codes(v[lo + p], t) == codes(v[q], t)).any(axis=1)
-                p, q = p[~met], q[~met]
-            found.append(pd.DataFrame({"a": rep[lo + p], "b": rep[q], "cosine": s[p, q]}))
-        return pd.concat(found)
+        v, rep, side = units(x["e"]), x["rep"].to_numpy(), x["c"].to_numpy()
+        own, other = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        if not len(own) or not len(other):
+            return
+        seen = codes(v, t) if t else None
+        small, slack = v.astype(np.float32), (v.shape[1] + 4) * 1.2e-7
+        to = np.ascontiguousarray(small[other].T)
+        for lo in range(0, len(own), step := max(1, 2**22 // len(other))):
+            at = own[lo : lo + step]
+            first = lo if i == j else 0  # rows are in order, so what lies before is met elsewhere
+            p, q = np.nonzero(small[at] @ to[:, first:] >= np.float32(least - slack))
+            for k in range(0, len(p), 65_536):
+                a, b = at[p[k : k + 65_536]], other[q[k : k + 65_536] + first]
+                s = np.round(np.einsum("nd,nd->n", v[a], v[b]), 9)
+                near = (s >= least) & (a < b if i == j else a != b)
+                if t:
+                    near &= ~(seen[a] == seen[b]).any(axis=1)
+                a, b, s = a[near], b[near], s[near]
+                yield pd.DataFrame({"a": rep[np.minimum(a, b)], "b": rep[np.maximum(a, b)], "cosine": s})
 
     placed = classes.mapInPandas(place, "e array<double>, rep long, t int, code long")
-    full = placed.groupBy("t", "code").agg(F.count("*").alias("n")).where("n > 1").select("t", "code", F.ceil(F.col("n") / (2 * bucket)).cast("int").alias("k"))
-    blocks = placed.join(full, ["t", "code"]).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    full = placed.groupBy("t", "code").agg(F.count("*").alias("n")).where("n > 1").select("t", "code", F.ceil(F.col("n") / bucket).cast("int").alias("k"))
+    if not bits:
+        placed, full = classes.select("*", F.lit(0).alias("t"), F.lit(0).cast("long").alias("code")), None
+    chunks = F.lit(max(-(-n // bucket), min(4, n // 2048 + 1)))  # so that a few thousand rows already make ten blocks
+    blocks = (placed.withColumn("k", chunks.cast("int")) if full is None else placed.join(full, ["t", "code"])).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
     blocks = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     blocks = blocks.select("e", "rep", "c", "t", "code", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
-    return blocks.groupBy(*keys).applyInPandas(compare, "a long, b long, cosine double"), member
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism * 4
+    return blocks.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(partial(by_runs, keys=keys, run=compare), "a long, b long, cosine double"), member
+
+
+def by_runs(it: Iterator[pd.DataFrame], keys: list[str], run: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+    """run over each stretch of rows with equal keys of a sorted stream, its results passed on as they come."""
+    held: list[pd.DataFrame] = []
+    for x in it:
+        if not len(x):
+            continue
+        k = x[keys].to_numpy()
+        edges = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1), len(x)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if held and (held[-1][keys].iloc[-1].to_numpy() != k[lo]).any():
+                yield from run(pd.concat(held))
+                held = []
+            held.append(x.iloc[lo:hi])
+    if held:
+        yield from run(pd.concat(held))
 
 
 def centroids(docs: DataFrame, parents: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import features
+from rankloom.operators import features, lexical, vector
 
 
 def rows(df):
@@ -71,3 +72,29 @@ def test_a_wide_basket_raises_and_repeats_do_not(spark):
     assert features.colabel_graph(many, most=5).count() == 10
     with pytest.raises(ValueError, match="5 items, over 4"):
         features.colabel_graph(many, most=4)
+
+
+def test_pair_lexical_against_tfidf_in_chunks(spark):
+    r = random.Random(2)
+    words = ["luật", "đất", "strasse", "a", "bbbb", "condition", "no", "xyz123"]
+    texts = [(i, " ".join(r.choice(words) for _ in range(r.randrange(12))) if i % 9 else None, i % 3, 1 << i % 4) for i in range(60)]
+    x = spark.createDataFrame(texts, "id long, words string, key int, g long").withColumn("k", F.array(*[F.unhex(F.md5(F.col("key").cast("string")))] * 3)).drop("key")
+    pairs = spark.createDataFrame([(a, b, 0.5) for a, b in combinations(range(62), 2) if (a + b) % 5], "a long, b long, cosine double")
+    old = lexical.pair_cosine(lexical.char_tfidf(x.where("words is not null"), "id", "words"), pairs.select("a", "b"), "id")
+    want = {(p.a, p.b): p.cosine for p in old.collect()}
+    for chars in (8_000_000, 300):
+        got = {(p.a, p.b): p for p in lexical.pair_lexical(pairs, x, chars=chars).collect()}
+        assert set(got) == set(want)
+        assert all(p.lexical_cosine == pytest.approx(want[k], abs=1e-9) for k, p in got.items() if max(k) < 60 and all(texts[i][1] is not None for i in k))
+        assert all((p.same1, p.both, p.either) == (((a % 3 == b % 3), int(a % 4 == b % 4), len({a % 4, b % 4})) if b < 60 else (False, 0, int(a < 60))) for (a, b), p in got.items())
+
+
+def test_near_pairs_in_many_buckets_and_chunks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((700, 6))
+    x = np.vstack([x, x[:200] + 0.02 * rng.standard_normal((200, 6)), x[0] + 0.01 * rng.standard_normal((60, 6))])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for least, bucket in ((0.9, 64), (0.9, 1000), (0.995, 2)):  # chunks of one bucket, one chunk, sign buckets
+        want = sorted(zip(*(v.tolist() for v in np.nonzero(np.triu(np.round(u @ u.T, 9) >= least, 1))), strict=True))
+        assert [(p[0], p[1]) for p in rows(vector.near_pairs(df, least, bucket=bucket)[0])] == want
