@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import features, lexical, vector
+from rankloom.operators import features, fusion, lexical, model, segment, vector
 
 
 def rows(df):
@@ -98,3 +98,73 @@ def test_near_pairs_in_many_buckets_and_chunks(spark):
     for least, bucket in ((0.9, 64), (0.9, 1000), (0.995, 2)):  # chunks of one bucket, one chunk, sign buckets
         want = sorted(zip(*(v.tolist() for v in np.nonzero(np.triu(np.round(u @ u.T, 9) >= least, 1))), strict=True))
         assert [(p[0], p[1]) for p in rows(vector.near_pairs(df, least, bucket=bucket)[0])] == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_search_in_small_blocks_is_one_pass(spark):
+    """With a branch a block, every task reported on all branches: messages grew with the square of the blocks."""
+    x = spark.range(300).select(F.col("id").alias("doc_id"), F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 3)).alias("embedding"))
+    q = x.where("doc_id % 3 = 0").withColumnRenamed("doc_id", "qid")
+    got = vector.topk(q, x, 5, block=7)
+    assert plan(got).count("MapInPandas") == 1
+    assert rows(got) == rows(vector.topk(q, x, 5))
+    parts = vector.topk_parts(q, x, 5, {"all": (0, None), "two": (0, 2)}, block=7)
+    assert plan(parts).count("MapInPandas") == 2
+    assert rows(parts.where("part = 'two'").drop("part")) == rows(vector.topk(q, x, 5, 0, 2))
+
+
+def test_best_keeps_ties_by_id_over_batches():
+    rng = np.random.default_rng(1)
+    s = rng.integers(0, 6, (9, 500)).astype(float)
+    s[rng.random(s.shape) < 0.5] = -np.inf
+    s[4] = -np.inf
+    kept, ids = vector.Best(np.arange(9), 7), rng.permutation(500)
+    for at in range(0, 500, 90):
+        for lo in (0, 4):
+            kept.add(s[lo : lo + (4 if not lo else 5), at : at + 90], ids[at : at + 90], lo)
+    got = [tuple(r) for x in kept.rows() for r in x.itertuples(index=False)]
+    want = [(i, int(ids[j]), s[i, j]) for i in range(9) for j in np.lexsort((ids, -s[i]))[:7] if s[i, j] > -np.inf]
+    assert got == want
+
+
+def test_lines_are_taken_apart_in_parts(spark):
+    long = "\n".join(f"đường {i}." if i % 3 else "" for i in range(60_000))
+    texts = ["a\n\nb.", None, "", long, "x\n", long + "\n", "漢字\n𝒳y."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    got = segment.line_regions(df)
+    assert "MapInArrow" in plan(got)  # no text becomes Python's
+    want = []
+    for i, t in enumerate(texts):
+        at = 0
+        for j, line in enumerate((t or "").split("\n")):
+            want.append((i, j, at, at + len(line), "body" if line.endswith(".") else "gap", line))
+            at += len(line) + 1
+    assert rows(got) == sorted(want)
+
+
+def test_the_grid_of_a_tournament_is_not_shuffled(spark):
+    x = spark.createDataFrame([(q, d, float(d * q % 7), float(d % 5)) for q in range(4) for d in range(12)], "qid long, doc_id long, a double, b double")
+    top = fusion.tournament(x)
+    assert "Window" not in plan(top).split("posexplode")[0] and top.count() == 110 * 4 * 5
+
+
+def test_models_read_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for x in it:
+            seen.add(len(x))
+            yield x
+
+    n = 40
+    x = spark.createDataFrame([(i, i % 4, float(i % 2), float(i % 5)) for i in range(n)], "id long, fold int, label double, v double").mapInPandas(count, "id long, fold int, label double, v double")
+    assert model.logistic_oof(x, ["v"]).count() == n and seen.value == n
+    seen.value = 0
+    pairs = x.select(F.array("v").alias("x"), F.array("label").alias("y"))
+    assert model.pairwise_logistic(pairs, ["v"]).count() == 1 and seen.value <= 2 * n
+    seen.value = 0
+    arms = x.select("id", "fold", F.array("v", "label", F.col("v") * 2).alias("embedding"), F.col("v").alias("p"), F.col("label").alias("q"))
+    assert model.route_arms(arms, ["p", "q"], components=2, trees=2).count() == n and seen.value == n
