@@ -71,7 +71,7 @@ def _scored(it: Iterator[pd.DataFrame], asked: list[tuple[int, str, float]], top
                 score[cell] += np.outer(terms[term][1], where[term][1])
                 hit[cell] = True
             kept.add(np.where(hit, np.round(score, 6), -np.inf), y["doc_id"].to_numpy(np.int64))
-    yield kept.rows()
+    yield from kept.rows()
 
 
 def holding(docs: DataFrame, queries: DataFrame, block: int = 100_000) -> DataFrame:

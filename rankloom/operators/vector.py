@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from rankloom.plans.session import cut
 
-#: Queries held by each task at a time in the blocked search, and vectors of a chunk (and aimed at in a bucket) of near_pairs.
+#: Queries that children hold at a time, and vectors of a chunk (and aimed at in a bucket) of near_pairs.
 BLOCK, BUCKET = 4096, 16_384
 
+#: Queries of one pass of the search, and queries and documents scored at a time within it.
+PASS, PART, ROWS = 65_536, 256, 4096
+
 
 def dot(a: Column, b: Column) -> Column:
     """Dot product in double, summed in order."""
@@ -31,47 +34,62 @@ def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.nda
     """A stated query set in blocks of about block rows by hash: (ids in order, matrix)."""
     k = max(1, -(-queries.count() // block))
     for b in range(k):
-        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(k)) == b).select("qid", "embedding").toPandas().sort_values("qid")
+        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(k)) == b).select("qid", "embedding").toArrow().combine_chunks()
         if len(rows):
-            yield rows["qid"].to_numpy(), np.array(rows["embedding"].tolist(), np.float64).reshape(len(rows), -1)
+            ids = rows["qid"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            v = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in rows["embedding"].chunks])
+            yield ids[order], v.astype(np.float64).reshape(len(rows), -1)[order]
+
+
+def _matrix(x: pd.DataFrame, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    return np.ascontiguousarray(np.array(x["embedding"].tolist(), np.float64)[:, lo:hi])
 
 
-def _scores(q: np.ndarray, ids: np.ndarray, x: pd.DataFrame, lo: int, hi: int | None, itself: bool) -> np.ndarray:
-    """Scores of all queries with the rows of x; a query with itself gets -inf unless itself is set."""
-    s = np.round(q @ np.array(x["embedding"].tolist(), np.float64)[:, lo:hi].T, 9)
+def _scores(q: np.ndarray, ids: np.ndarray, docs: np.ndarray, v: np.ndarray, itself: bool) -> np.ndarray:
+    """Scores of all queries with documents of vectors v; a query with itself gets -inf unless itself is set."""
+    s = np.round(q @ v.T, 9)
     if not itself:
-        own = np.searchsorted(ids, x["doc_id"].to_numpy())
-        hit = np.flatnonzero((own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == x["doc_id"].to_numpy()))
+        own = np.searchsorted(ids, docs)
+        hit = np.flatnonzero((own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == docs))
         s[own[hit], hit] = -np.inf
     return s
 
 
-def topk(queries: DataFrame, docs: DataFrame, k: int, lo: int = 0, hi: int | None = None, itself: bool = False, block: int = BLOCK) -> DataFrame:
+def topk(queries: DataFrame, docs: DataFrame, k: int, lo: int = 0, hi: int | None = None, itself: bool = False, block: int = PART) -> DataFrame:
     """(qid, doc_id, rank, score): the k documents of largest dot product over dimensions lo to hi, ties by doc_id; a
     document of the query's own id is left out unless itself is set.
 
-    queries is a stated query set; it reaches the driver in blocks and each block is one pass over docs. A task keeps
-    its k best of every query and passes these on at its end, so what is shuffled is the number of tasks times
-    the queries times k, whatever the size of docs.
+    queries is a stated query set; up to PASS of them reach the driver for one pass over docs, in which a task scores
+    block of them at a time. It keeps its k best of every query and passes these on at its end, so what is shuffled is
+    the number of tasks times the queries times k, whatever the size of docs.
     """
+    return topk_parts(queries, docs, k, {"": (lo, hi)}, itself, block).drop("part")
+
+
+def topk_parts(queries: DataFrame, docs: DataFrame, k: int, parts: dict[str, tuple[int, int | None]], itself: bool = False, block: int = PART) -> DataFrame:
+    """(part, qid, doc_id, rank, score): topk over each of several ranges of dimensions; the queries are fetched once."""
     out = None
-    for ids, q in _blocks(queries, block):
-        run = partial(_best, ids=ids, q=q[:, lo:hi], k=k, lo=lo, hi=hi, itself=itself)
-        found = docs.select("doc_id", "embedding").mapInPandas(run, "qid long, doc_id long, score double")
-        out = found if out is None else out.unionByName(found)
+    for ids, q in _blocks(queries, PASS):
+        for name, (lo, hi) in parts.items():
+            run = partial(_best, ids=ids, q=np.ascontiguousarray(q[:, lo:hi]), k=k, lo=lo, hi=hi, itself=itself, block=block)
+            found = docs.select("doc_id", "embedding").mapInPandas(run, "qid long, doc_id long, score double").withColumn("part", F.lit(name))
+            out = found if out is None else out.unionByName(found)
     if out is None:
-        return docs.sparkSession.createDataFrame([], "qid long, doc_id long, rank long, score double")
-    w = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("qid", "doc_id", "rank", "score")
+        return docs.sparkSession.createDataFrame([], "part string, qid long, doc_id long, rank long, score double")
+    w = W.partitionBy("part", "qid").orderBy(F.desc("score"), "doc_id")
+    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("part", "qid", "doc_id", "rank", "score")
 
 
-def _best(it: Iterator[pd.DataFrame], ids: np.ndarray, q: np.ndarray, k: int, lo: int, hi: int | None, itself: bool) -> Iterator[pd.DataFrame]:
+def _best(it: Iterator[pd.DataFrame], ids: np.ndarray, q: np.ndarray, k: int, lo: int, hi: int | None, itself: bool, block: int) -> Iterator[pd.DataFrame]:
     kept = Best(ids, k)
     for x in it:
-        for at in range(0, len(x), 1024):
-            y = x.iloc[at : at + 1024]
-            kept.add(_scores(q, ids, y, lo, hi, itself), y["doc_id"].to_numpy(np.int64))
-    yield kept.rows()
+        for at in range(0, len(x), ROWS):
+            y = x.iloc[at : at + ROWS]
+            docs, v = y["doc_id"].to_numpy(np.int64), _matrix(y, lo, hi)
+            for first in range(0, len(ids), block):
+                kept.add(_scores(q[first : first + block], ids[first : first + block], docs, v, itself), docs, first)
+    yield from kept.rows()
 
 
 class Best:
@@ -79,24 +97,28 @@ class Best:
 
     def __init__(self, ids: np.ndarray, k: int) -> None:
         self.ids, self.k = ids, k
-        self.score, self.doc = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-
-    def add(self, s: np.ndarray, docs: np.ndarray) -> None:
-        s = np.hstack([self.score, s])
-        d = np.hstack([self.doc, np.broadcast_to(docs, (len(s), len(docs)))])
-        wide = min(self.k, s.shape[1])
-        if not wide:
-            return
-        least = np.partition(-s, wide - 1, axis=1)[:, wide - 1]
-        self.score, self.doc = np.empty((len(s), wide)), np.empty((len(s), wide), np.int64)
-        for i in range(len(s)):
-            some = np.flatnonzero(-s[i] <= least[i])
-            some = some[np.lexsort((d[i, some], -s[i, some]))[:wide]]
-            self.score[i], self.doc[i] = s[i, some], d[i, some]
-
-    def rows(self) -> pd.DataFrame:
-        row, col = np.nonzero(self.score > -np.inf)
-        return pd.DataFrame({"qid": self.ids[row], "doc_id": self.doc[row, col], "score": self.score[row, col]})
+        self.n = np.zeros(len(ids), np.int64)
+        self.score, self.doc = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+
+    def add(self, s: np.ndarray, docs: np.ndarray, first: int = 0) -> None:
+        """Scores of the queries from the first on with docs."""
+        k = self.k
+        better = (s >= self.score[first : first + len(s), -1:]) & (s > -np.inf) if k else np.zeros_like(s, bool)
+        for i in np.flatnonzero(better.any(axis=1)):
+            at, new = first + i, np.flatnonzero(better[i])
+            if len(new) > 4 * k:
+                x = s[i, new]
+                new = new[x >= np.partition(x, len(x) - k)[len(x) - k]]
+            n = self.n[at]
+            x, d = np.r_[self.score[at, :n], s[i, new]], np.r_[self.doc[at, :n], docs[new]]
+            order = np.lexsort((d, -x))[:k]
+            self.n[at] = len(order)
+            self.score[at, : len(order)], self.doc[at, : len(order)] = x[order], d[order]
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        for lo in range(0, len(self.ids), 1024):
+            row, col = np.nonzero(np.arange(self.k) < self.n[lo : lo + 1024, None])
+            yield pd.DataFrame({"qid": self.ids[lo + row], "doc_id": self.doc[lo + row, col], "score": self.score[lo + row, col]})
 
 
 def children(queries: DataFrame, docs: DataFrame, parents: DataFrame, close: float = 0.025, block: int = BLOCK) -> DataFrame:
@@ -117,7 +139,7 @@ def _children(it: Iterator[pd.DataFrame], ids: np.ndarray, q: np.ndarray, close:
         edges = np.flatnonzero(np.r_[True, np.diff(x["parent_id"].to_numpy()) != 0, True]) if len(x) else [0]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             y = x.iloc[lo:hi]
-            s = _scores(q, ids, y, 0, None, False)
+            s = _scores(q, ids, y["doc_id"].to_numpy(np.int64), _matrix(y), False)
             n = (s > -np.inf).sum(axis=1)
             some = np.flatnonzero(n)
             order = np.argsort(-s, axis=1, kind="stable")
