@@ -114,19 +114,20 @@ def tournament(scores: DataFrame, configs: list[tuple] | None = None, k: int = 5
     x = scores.withColumn("za", z(F.col("a"))).withColumn("zb", z(F.col("b")))
     x = ranked(ranked(x, "a", name="ra"), "b", name="rb")
     down = lambda c: F.sort_array(F.collect_list(F.round(c, 9)), asc=False)
-    per = x.groupBy("qid").agg(F.sum(((F.col("ra") <= k) & (F.col("rb") <= k)).cast("long")).alias("shared"), down(BASE_WEIGHT * F.col("za") + (1 - BASE_WEIGHT) * F.col("zb")).alias("s"), down(F.col("za")).alias("p"))
-    per = per.select("qid", "shared", F.round(F.get("s", F.lit(k - 1)) - F.get("s", F.lit(k)), 9).alias("gap"), F.round(F.get("p", F.lit(k - 1)) - F.get("p", F.lit(k + 2)), 9).alias("spread"))
+    per = x.groupBy("qid").agg(F.sum(((F.col("ra") <= k) & (F.col("rb") <= k)).cast("long")).alias("shared"), down(BASE_WEIGHT * F.col("za") + (1 - BASE_WEIGHT) * F.col("zb")).alias("s"), down(F.col("za")).alias("p"), F.collect_list(F.struct("doc_id", "za", "zb", "ra", "rb")).alias("list"))
+    per = per.select("qid", "shared", "list", F.round(F.get("s", F.lit(k - 1)) - F.get("s", F.lit(k)), 9).alias("gap"), F.round(F.get("p", F.lit(k - 1)) - F.get("p", F.lit(k + 2)), 9).alias("spread"))
     levels = sorted({c[4] for c in (config_grid() if configs is None else configs) if c[0] in ("boundary", "plateau")}) or [0.5]
     limit = per.agg(*(F.percentile(c, F.array(*map(F.lit, levels))).alias(f"{c}_at") for c in ("gap", "spread")))
-    x = x.join(per, "qid").crossJoin(F.broadcast(limit)).crossJoin(F.broadcast(grid.withColumnRenamed("k", "c")))
+    x = per.crossJoin(F.broadcast(limit)).crossJoin(F.broadcast(grid.withColumnRenamed("k", "c")))
     nth = F.array_position(F.array(*map(F.lit, levels)), F.col("at")).cast("int")
     low = lambda c: F.col(c) <= F.round(F.get(f"{c}_at", nth - 1), 9)
     raised = F.when(F.col("kind") == "agree", F.col("shared") <= F.col("at")).when(F.col("kind") == "boundary", low("gap")).when(F.col("kind") == "plateau", low("spread")).otherwise(F.lit(False))
     w = F.when(raised, F.col("hi")).otherwise(F.col("w"))
-    score = F.when(F.col("kind") == "borda", -(F.col("w") * F.col("ra") + (1 - F.col("w")) * F.col("rb"))).when(F.col("kind") == "rrf", F.col("w") / (F.col("c") + F.col("ra")) + (1 - F.col("w")) / (F.col("c") + F.col("rb"))).otherwise(w * F.col("za") + (1 - w) * F.col("zb"))
-    names = ["kind", "w", "c", "hi", "at"]
-    out = ranked(x.withColumn("score", F.round(score, 9)), partition=(*names, "qid")).where(F.col("rank") <= k)
-    return out.select("kind", "w", F.col("c").cast("long").alias("k"), "hi", "at", "qid", "doc_id", "rank")
+    score = lambda y: F.when(F.col("kind") == "borda", -(F.col("w") * y["ra"] + (1 - F.col("w")) * y["rb"])).when(F.col("kind") == "rrf", F.col("w") / (F.col("c") + y["ra"]) + (1 - F.col("w")) / (F.col("c") + y["rb"])).otherwise(w * y["za"] + (1 - w) * y["zb"])
+    # A query's short list is ranked within one row per configuration, so the grid is neither shuffled nor sorted.
+    best = F.slice(F.sort_array(F.transform("list", lambda y: F.struct((-F.round(score(y), 9)).alias("low"), y["doc_id"].alias("doc_id")))), 1, k)
+    out = x.select("kind", "w", F.col("c").cast("long").alias("k"), "hi", "at", "qid", F.posexplode(best).alias("rank", "y"))
+    return out.select("kind", "w", "k", "hi", "at", "qid", "y.doc_id", (F.col("rank") + 1).cast("long").alias("rank"))
 
 
 def fill_up(first: DataFrame, base: DataFrame, size: int) -> DataFrame:

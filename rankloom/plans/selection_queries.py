@@ -43,7 +43,8 @@ def _config_recall(s, d, top):
     hit = top.join(g, ["qid", "doc_id"]).groupBy(*names, "qid").agg(F.count("*").alias("h"))
     total = size.agg(F.count("*").alias("n"))
     per = hit.join(size, "qid").groupBy(*names).agg(F.sum(F.col("h") / F.col("n_gold")).alias("s"))
-    every = top.select(names).distinct().join(per, names, "left").crossJoin(F.broadcast(total))
+    every = s.createDataFrame(fusion.config_grid(), "kind string, w double, k long, hi double, at double")
+    every = every.join(per, names, "left").crossJoin(F.broadcast(total)).where("n > 0")
     return every.select(*names, (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("recall"))
 
 
