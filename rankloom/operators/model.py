@@ -15,11 +15,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.operators.segment import best_windows
+from rankloom.plans.session import cut
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """rows written once, in as many parts as there are cores at most: what each of a fit's many jobs reads, and reports on, is
+    the numbers alone and not the plan that made them."""
+    return cut(rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism))
 
 
 def logistic_oof(rows: DataFrame, features: list[str], c: float = 0.15, trees: bool = False, only: int | None = None) -> DataFrame:
     """rows (id, fold, label, features): (id, fold, score), each fold scored by a model of the others. Scaling is fitted
     on the training folds, classes are balanced, and the penalty is 1/(c * weight). only: the one fold to score."""
+    rows = _kept(rows.select("id", "fold", "label", *features))
     data = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep").transform(rows.fillna(0.0, features)).select("id", "fold", "label", "raw")
     out = []
     for (held,) in data.select("fold").distinct().orderBy("fold").collect():
@@ -109,7 +117,7 @@ def pairwise_logistic(rows: DataFrame, features: list[str], c: float = 0.1) -> D
     rows hold per pair x and y, arrays of features of the winner and the loser."""
     diff = lambda a, b: F.zip_with(a, b, lambda p, q: p - q)
     both = rows.select(diff("x", "y").alias("d"), F.lit(1.0).alias("label")).unionByName(rows.select(diff("y", "x").alias("d"), F.lit(0.0).alias("label")))
-    both = both.select(array_to_vector("d").alias("features"), "label")
+    both = _kept(both).select(array_to_vector("d").alias("features"), "label")
     n = both.count()
     model = LogisticRegression(fitIntercept=False, regParam=1 / (c * max(1, n)), standardization=False, maxIter=80).fit(both)
     return rows.sparkSession.createDataFrame(list(zip(features, [float(w) for w in model.coefficients.toArray()], strict=True)), "feature string, weight double")
@@ -118,7 +126,7 @@ def pairwise_logistic(rows: DataFrame, features: list[str], c: float = 0.1) -> D
 def route_arms(rows: DataFrame, arms: list[str], components: int = 8, trees: int = 20) -> DataFrame:
     """(id, fold, arm, predicted) for rows (id, fold, embedding, one utility per arm): principal components and one forest
     per arm, fitted on the other folds; arm is the one of highest predicted utility, the first of equals."""
-    data = rows.select("id", "fold", array_to_vector("embedding").alias("raw"), *arms)
+    data = _kept(rows.select("id", "fold", "embedding", *arms)).select("id", "fold", array_to_vector("embedding").alias("raw"), *arms)
     out = []
     for (held,) in data.select("fold").distinct().orderBy("fold").collect():
         train, test = data.where(F.col("fold") != held), data.where(F.col("fold") == held)
